@@ -60,11 +60,12 @@ def build_samples(
 ) -> DataFrame:
     """Samples of all splits in one plan: matrix, log label, split, shard and place in it.
 
-    The narrow label table is split and ranked first, and its columns reach the bucket with
+    The narrow label table is split (unless it comes with one) and ranked first, and its columns reach the bucket with
     the anchor row: the wide matrices take part in no join.
     """
     split_code = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
-    placed = assign_shards(assign_split(labels), shard_size, group=["split"])
+    split = labels if "split" in labels.columns else assign_split(labels)
+    placed = assign_shards(split, shard_size, group=["split"])
     index = placed.withColumn("split_code", split_code.cast("int"))
     carry = ("target", "split_code", "shard_id", "pos")
     features = bucket_features(index, book, trade, keep_trade_only, carry)

@@ -94,7 +94,7 @@ class Trained:
     loss: str
     reg: float
     fitted: LinearRegressionModel
-    epochs: DataFrame
+    epochs: DataFrame | None = None
 
     def predict_log(self, rows: DataFrame, name: str = "y_log_pred") -> DataFrame:
         """Add the log prediction. The percentage-error fit predicts the real scale."""
@@ -117,7 +117,7 @@ def fit_job(
     candidates, scores = [], []
     for epoch, reg in enumerate(regs):
         fitted = FITS[loss](train, features, reg=reg)
-        trained = Trained(features, loss, reg, fitted, rows.limit(0))
+        trained = Trained(features, loss, reg, fitted)
         report = metrics.eval_report(trained.predict_log(validation), pred_log="y_log_pred").first()
         candidates.append(trained)
         scores.append((epoch, float(reg), float(report["rmspe"])))
@@ -193,7 +193,7 @@ def main() -> None:
     elif args.stage == "build":
         build_job(
             spark,
-            tables.read_index(spark, args.index).drop("split"),
+            tables.read_index(spark, args.index),
             tables.read_book(spark, args.book),
             tables.read_trade(spark, args.trade),
             args.out,

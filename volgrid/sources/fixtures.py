@@ -65,6 +65,11 @@ def trade(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
     return _latest_per_slot(trades, TRADE_VALUES)
 
 
+def raw_slots(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+    """Slot of every event, copies included."""
+    return _keyed_events(spark, sf_dir, stocks).select(*SLOT_KEY)
+
+
 def buckets(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
     return _keyed_events(spark, sf_dir, stocks).select(*BUCKET_KEY).distinct()
 
