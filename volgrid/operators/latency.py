@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EPS
+from ..session import cut_lineage
 
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 # Ranges per unit of the natural logarithm, and the offset that keeps indexes of tiny values
@@ -20,6 +21,8 @@ RESOLUTION = 2048
 LOG_OFFSET = 746
 LARGEST = 1.7e308
 SUB_RANGES = 65536
+# Hit ranges are broadcast up to this many rows (of about 100 bytes), else joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def value_range(value: Column) -> Column:
@@ -65,6 +68,12 @@ def _narrow(counts: DataFrame, parent: list[str], cell: str, names: list[str]) -
     return placed.withColumns(local).where(held).drop("_before", "_rows")
 
 
+def _hits(cells: DataFrame) -> DataFrame:
+    """The few cells that were hit, written once; broadcast if the counted rows allow it."""
+    written = cut_lineage(cells)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def percentiles(
     timings: DataFrame,
     by: list[str],
@@ -75,7 +84,8 @@ def percentiles(
 
     Three narrowing passes over the rows: fixed ranges, parts of the hit ranges, values of the
     hit parts. Each pass is a partial count, so what is shuffled are counts; a pass after the
-    first only looks at rows of ranges that were hit, at most one per group and quantile.
+    first only looks at rows of ranges that were hit, at most one per group and quantile. The
+    first two passes run when this is called.
     """
     ranks = {_rank_name(q): p for q, p in quantiles.items()}
     rows = timings.where(F.col(value).isNotNull()).select(
@@ -87,16 +97,19 @@ def percentiles(
     counts = rows.groupBy(*by, "_range").agg(total, *bounds)
     n = F.sum("_rows").over(Window.partitionBy(*by))
     wanted = counts.withColumns({r: floor_rank(n, p) for r, p in ranks.items()})
-    in_range = _narrow(wanted, by, "_range", list(ranks))
+    in_range = _hits(_narrow(wanted, by, "_range", list(ranks)))
 
     range_key = [*by, "_range", "_low", "_high", *ranks]
     parts = rows.join(in_range, [*by, "_range"]).withColumn("_part", _part_index())
-    in_part = _narrow(
-        parts.groupBy(*range_key, "_part").agg(total), range_key[: -len(ranks)], "_part", list(ranks)
+    part_counts = parts.groupBy(*range_key, "_part").agg(total)
+    in_part = _hits(
+        _narrow(part_counts, range_key[: -len(ranks)], "_part", list(ranks)).withColumnRenamed(
+            "_part", "_hit"
+        )
     )
 
     values = (
-        rows.join(in_part.withColumnRenamed("_part", "_hit"), [*by, "_range"])
+        rows.join(in_part, [*by, "_range"])
         .where(_part_index() == F.col("_hit"))
         .groupBy(*range_key, "_hit", "_value")
         .agg(total)

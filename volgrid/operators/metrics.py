@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses
 from ..schemas import BUCKET_KEY, LOG_INTERVAL
+from ..session import cut_lineage
 from .ordering import running_totals
 
 
@@ -79,9 +80,10 @@ def running_metric(steps: DataFrame, interval: int = LOG_INTERVAL) -> DataFrame:
     """Root of the weighted mean loss so far, at every ``interval``-th step of an epoch.
 
     ``steps`` has ``epoch, step, loss, n`` with steps 1, 2, 3... Steps are summed per block of
-    one interval first, in parallel; the running part sees one row per block.
+    one interval first, in parallel; the running part sees one row per block and reads the
+    written blocks.
     """
-    blocks = (
+    blocks = cut_lineage(
         steps.withColumn("_block", F.floor((F.col("step") - 1) / interval))
         .groupBy("epoch", "_block")
         .agg(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit, key_digest
 from ..schemas import BUCKET_KEY, SHARD_SIZE, SHUFFLE_SEED, SPLIT_SEED
+from ..session import cut_lineage
 
 INTERVALS = 65536
 CHUNK = 1024
@@ -78,8 +79,9 @@ def hash_rank(
     )
     within = Window.partitionBy(*part).orderBy("_unit", *tie_break)
     numbered = rows.withColumn("_local", F.row_number().over(within) - 1)
-    # The numbered rows keep their partitioning in this join; only the counts move.
-    return numbered.join(starts, part).select(
+    # The numbered rows keep their partitioning in this join; only the counts move. Every part
+    # has a start: the left join merely spares a null filter on the hash.
+    return numbered.join(starts, part, "left").select(
         *[F.col(c) for c in df.columns],
         (F.col("_start") + F.col("_local")).alias(name),
     )
@@ -121,7 +123,7 @@ def shuffle_samples(
     """Add ``sample_pos``: a seeded permutation within each shard (at most one shard a task)."""
     digest = key_digest([F.lit(epoch), *keys], seed)
     within = Window.partitionBy("shard_id").orderBy(digest, *keys)
-    return samples.withColumn("sample_pos", F.row_number().over(within) - 1)
+    return samples.withColumn("sample_pos", F.row_number().over(within).cast("long") - 1)
 
 
 def slice_consumers(shuffled: DataFrame, consumers: int) -> DataFrame:
@@ -145,9 +147,11 @@ def assign_batches(
     """Add ``consumer`` and ``batch``: each consumer reads its shards in shuffled order.
 
     A sample's place in its consumer's stream is the size of the shards read before its own
-    plus its place in the shard, so samples are never sorted across shards.
+    plus its place in the shard, so samples are never sorted across shards. The shard table
+    (one row per shard) is written once, as its order and totals read it several times.
     """
-    shards = slice_consumers(shuffle_shards(shard_table(samples), seed, epoch), consumers)
+    sizes = cut_lineage(shard_table(samples))
+    shards = slice_consumers(shuffle_shards(sizes, seed, epoch), consumers)
     starts = running_totals(shards, "shard_pos", {"_before": "samples"})
     # Samples read by earlier consumers come off again: what is left counts from 0.
     firsts = starts.groupBy("consumer").agg(F.min("_before").alias("_first"))

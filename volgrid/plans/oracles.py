@@ -387,17 +387,39 @@ SQL["score_linear"] = f"""{PREDICTIONS}, line AS (
 SELECT {KEY}, {r("intercept + slope * pred_log", 6, "y_log_pred")} FROM predictions, line"""
 
 
-def score_batch() -> str:
+
+
+def mean_model(features: str, train: str, normal: bool = True) -> str:
+    """``y_log_pred`` per bucket: mean of all cells, normalized by the train rows' statistics."""
     one = ", ".join(
         f"avg({c}::DOUBLE) AS mean_{c}, {STD.format(c=c)} AS std_{c}" for c in FEATURES
     )
-    cells = " + ".join(
-        f"coalesce(({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE), 0)" for c in FEATURES
-    )
-    return f"""{ALL}, norm AS (SELECT {one} FROM features),
+    scaled = "({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE)" if normal else "{c}"
+    cells = " + ".join(f"coalesce({scaled.format(c=c)}, 0)" for c in FEATURES)
+    return f"""norm AS (SELECT {one} FROM {train}),
 scored AS (
-  SELECT stock_id, time_id, avg(({cells}) / {len(FEATURES)}) AS y_log_pred FROM features, norm GROUP BY ALL)
-SELECT stock_id, time_id, {r("y_log_pred", 3)}, {r("exp(y_log_pred) - 1e-8::DOUBLE", 3, "y_pred")} FROM scored"""
-
-
-SQL["score_batch"] = score_batch()
+  SELECT stock_id, time_id, avg(({cells}) / {len(FEATURES)}) AS y_log_pred FROM {features}, norm GROUP BY ALL)"""
+
+
+REAL = r("exp(y_log_pred) - 1e-8::DOUBLE", 3, "y_pred")
+SQL["score_batch"] = f"""{ALL}, {mean_model("features", "features")}
+SELECT stock_id, time_id, {r("y_log_pred", 3)}, {REAL} FROM scored"""
+SQL["score_json_requests"] = f"""{ALL}, {mean_model("features", "features", normal=False)}
+SELECT stock_id || '-' || time_id AS request_id, {r("least(20, greatest(-20, y_log_pred))", 3, "y_log")} FROM scored"""
+
+# The built samples hold the labelled buckets; statistics come from their train split.
+BUILT_FEATURES = f"""{BUILT},
+built AS (SELECT features.*, split FROM features JOIN placed USING (stock_id, time_id)),
+built_train AS (SELECT * FROM built WHERE split = 'train')"""
+SQL["score_stream"] = f"""{BUILT_FEATURES}, {mean_model("built", "built_train")}
+SELECT stock_id, time_id, split, {r("y_log_pred", 3)}, {REAL} FROM scored JOIN placed USING (stock_id, time_id)"""
+SQL["manifest"] = f"""{BUILT_FEATURES},
+shards AS (SELECT split, count(DISTINCT rank // 64) AS num_shards FROM placed GROUP BY split),
+norm AS ({" UNION ALL ".join(f"""
+  SELECT '{c}' AS feature, avg({c}::FLOAT::DOUBLE) AS mean,
+         sqrt(greatest(var_pop({c}::FLOAT::DOUBLE), 1e-12::DOUBLE)) AS std FROM built_train"""
+  for c in FEATURES)})
+SELECT split, num_shards, 64::BIGINT AS shard_size,
+  CASE WHEN split = 'train' THEN (SELECT count(*) FROM built_train) ELSE 0 END::BIGINT AS count_seconds,
+  'train' AS source, feature, {rs("mean, std", 3)}
+FROM shards, norm"""

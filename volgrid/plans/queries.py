@@ -119,8 +119,23 @@ def shards_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_built(spark, sf_dir)}/manifest/*"
-    return tables.read_manifest(spark, path)
+    """Manifest of every split, its statistics as one row per feature."""
+    built = _built(spark, sf_dir)
+    rows = []
+    for name in splits.SPLITS:
+        one = tables.read_manifest(spark, f"{built}/manifest/{name}")
+        zipped = F.arrays_zip("feature_cols", "norm.mean", "norm.std")
+        rows.append(
+            one.select(
+                F.lit(name).alias("split"),
+                "num_shards",
+                "shard_size",
+                "norm.count_seconds",
+                "norm.source",
+                F.inline(zipped).alias("feature", "mean", "std"),
+            )
+        )
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]), 3)
 
 
 def _mean_model() -> model.Predictor:
@@ -141,7 +156,7 @@ def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per instrument and day: its sample as JSON text, answered as JSON text."""
+    """One request per bucket: its sample as JSON text, answered as JSON text."""
     name = F.concat_ws("-", *BUCKET_KEY).alias("request_id")
     body = F.to_json(F.struct(F.array("x").alias("x"))).alias("body")
     sent = _tensors(spark, sf_dir).select(name, body)
@@ -150,7 +165,9 @@ def score_json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = model.score_requests(
         parsed, _mean_model(), [0.0] * width, [1.0] * width, ["request_id"]
     )
-    return requests.encode_json_responses(answers)
+    replies = requests.encode_json_responses(answers)
+    y = F.from_json("response", "y array<double>")["y"][0]
+    return rounded(replies.select("request_id", F.ln(y + scalars.EPS).alias("y_log")), 3)
 
 
 @query
@@ -579,7 +596,7 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = jobs.read_norm(spark, built).first()
     out = scratch_path(spark, "scored")
     samples = scoring.read_sample_stream(spark, f"{built}/samples", SAMPLE)
-    keep = [*BUCKET_KEY, "y_log"]
+    keep = [*BUCKET_KEY, "split"]
     scoring.score_sample_stream(
         samples,
         _mean_model(),
