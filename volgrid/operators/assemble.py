@@ -13,14 +13,18 @@ from .split import SPLITS, assign_split
 
 
 def attach_labels(
-    labels: DataFrame, book: DataFrame, trade: DataFrame, keep_trade_only: bool = True
+    labels: DataFrame,
+    book: DataFrame,
+    trade: DataFrame,
+    keep_trade_only: bool = True,
+    unique_slots: bool = False,
 ) -> DataFrame:
     """Feature rows of every labelled bucket with its ``target``.
 
     The label table drives: a bucket absent from book and trade still gives 600 rows. Labels
     travel with the bucket's anchor row, so this adds no join.
     """
-    return bucket_features(labels, book, trade, keep_trade_only, ("target",))
+    return bucket_features(labels, book, trade, keep_trade_only, ("target",), unique_slots)
 
 
 def bucket_tensor(
@@ -57,6 +61,7 @@ def build_samples(
     columns: list[str] = FEATURES,
     shard_size: int = SHARD_SIZE,
     keep_trade_only: bool = True,
+    unique_slots: bool = False,
 ) -> DataFrame:
     """Samples of all splits in one plan: matrix, log label, split, shard and place in it.
 
@@ -68,7 +73,7 @@ def build_samples(
     placed = assign_shards(split, shard_size, group=["split"])
     index = placed.withColumn("split_code", split_code.cast("int"))
     carry = ("target", "split_code", "shard_id", "pos")
-    features = bucket_features(index, book, trade, keep_trade_only, carry)
+    features = bucket_features(index, book, trade, keep_trade_only, carry, unique_slots)
     return bucket_tensor(features, columns, carry).select(
         *BUCKET_KEY,
         "pos",

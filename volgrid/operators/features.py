@@ -64,13 +64,14 @@ def slot_states(
     trade: DataFrame,
     keep_trade_only: bool = True,
     carry: tuple[str, ...] = (),
+    unique_slots: bool = False,
 ) -> DataFrame:
     """State after each observed slot: filled values, last-seen seconds and log return.
 
     Between two slots the filled price does not move, so its log return is 0 there and the
     slots hold every non-zero return of the bucket.
     """
-    raw = merged_slots(index, book, trade, keep_trade_only, carry).select(
+    raw = merged_slots(index, book, trade, keep_trade_only, carry, unique_slots).select(
         *SLOT_KEY,
         *carry,
         "_anchor",
@@ -122,9 +123,10 @@ def bucket_features(
     trade: DataFrame,
     keep_trade_only: bool = True,
     carry: tuple[str, ...] = (),
+    unique_slots: bool = False,
 ) -> DataFrame:
     """600 rows per indexed bucket: second, carried columns and the features in order."""
-    states = slot_states(index, book, trade, keep_trade_only, carry)
+    states = slot_states(index, book, trade, keep_trade_only, carry, unique_slots)
     seconds_since_trade = staleness("_trade_second")
 
     def at_slot(value: Column) -> Column:
@@ -161,11 +163,15 @@ def bucket_features(
 
 
 def bucket_rv(
-    index: DataFrame, book: DataFrame, trade: DataFrame, keep_trade_only: bool = True
+    index: DataFrame,
+    book: DataFrame,
+    trade: DataFrame,
+    keep_trade_only: bool = True,
+    unique_slots: bool = False,
 ) -> DataFrame:
     """Realized volatility of each bucket: root of the summed squared log returns.
 
     Works on the sparse slots alone; no grid is generated.
     """
-    states = slot_states(index, book, trade, keep_trade_only)
+    states = slot_states(index, book, trade, keep_trade_only, (), unique_slots)
     return states.groupBy(*BUCKET_KEY).agg(F.sqrt(F.sum(square(F.col("log_return")))).alias("rv"))

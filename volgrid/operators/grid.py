@@ -87,11 +87,16 @@ def merged_slots(
     trade: DataFrame,
     keep_trade_only: bool = True,
     carry: tuple[str, ...] = (),
+    unique_slots: bool = False,
 ) -> DataFrame:
     """Observed slots plus an anchor at second 0 of each indexed bucket, placed by bucket.
 
     Numeric ``carry`` columns of the index (such as the label) ride along on the anchor, which
     attaches them to the bucket without a join.
+
+    ``unique_slots=True`` promises that each source has at most one row per slot, hence at
+    most 1,201 rows per bucket. Rows then move to their bucket at once, which saves the shuffle
+    that combines copies. The result is the same either way.
     """
     anchors = index.select(
         *BUCKET_KEY, F.lit(0).alias(SECOND), *carry, F.lit(1).alias("_anchor")
@@ -101,13 +106,17 @@ def merged_slots(
         .unionByName(on_grid(trade.select(*SLOT_KEY, *TRADE_VALUES)), allowMissingColumns=True)
         .unionByName(anchors, allowMissingColumns=True)
     )
-    merged = _merge_rows(rows, [*BOOK_VALUES, *TRADE_VALUES, "_has_book", "_anchor", *carry])
-    if not keep_trade_only:
-        merged = _only_with_book(merged)
     # A sparse slot stands for many grid rows, so the size of this shuffle says little about
     # the work behind it: the partition count is given instead of being left to coalescing.
     partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return merged.drop("_has_book").repartition(partitions, *BUCKET_KEY)
+    if unique_slots:
+        rows = rows.repartition(partitions, *BUCKET_KEY)
+    merged = _merge_rows(rows, [*BOOK_VALUES, *TRADE_VALUES, "_has_book", "_anchor", *carry])
+    if not keep_trade_only:
+        merged = _only_with_book(merged)
+    if not unique_slots:
+        merged = merged.repartition(partitions, *BUCKET_KEY)
+    return merged.drop("_has_book")
 
 
 def slot_marks(carry: tuple[str, ...] = ()) -> list[Column]:

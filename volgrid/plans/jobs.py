@@ -50,22 +50,24 @@ def build_job(
     trade: DataFrame,
     out: str,
     shard_size: int = SHARD_SIZE,
+    unique_slots: bool = False,
 ) -> None:
     """Samples of all splits, and a manifest per split with the train statistics.
 
     The sample table is written once and the statistics are taken from it, so features are
     computed a single time.
     """
-    tables.write_samples(
-        assemble.build_samples(labels, book, trade, shard_size=shard_size), f"{out}/samples"
+    samples = assemble.build_samples(
+        labels, book, trade, shard_size=shard_size, unique_slots=unique_slots
     )
+    tables.write_samples(samples, f"{out}/samples")
     train = tables.read_samples(spark, f"{out}/samples", "train")
     norm = stats.fit_norm(assemble.tensor_rows(train))
     tables.write_json(norm, f"{out}/norm")
     saved = read_norm(spark, out)
-    samples = tables.read_samples(spark, f"{out}/samples")
+    stored = tables.read_samples(spark, f"{out}/samples")
     for name in split.SPLITS:
-        shards = samples.where(F.col("split") == name).select("shard_id").distinct()
+        shards = stored.where(F.col("split") == name).select("shard_id").distinct()
         tables.write_json(
             tables.manifest(shards, saved, shard_size=shard_size, is_train=name == "train"),
             f"{out}/manifest/{name}",
@@ -170,6 +172,11 @@ def _arguments() -> argparse.Namespace:
     build.add_argument("--trade", required=True)
     build.add_argument("--out", required=True)
     build.add_argument("--shard-size", type=int, default=SHARD_SIZE)
+    build.add_argument(
+        "--unique-slots",
+        action="store_true",
+        help="book and trade have at most one row per second: saves a shuffle",
+    )
 
     fit = stages.add_parser("evaluate", help="fit, choose by validation and evaluate")
     fit.add_argument("--built", required=True)
@@ -198,6 +205,7 @@ def main() -> None:
             tables.read_trade(spark, args.trade),
             args.out,
             args.shard_size,
+            args.unique_slots,
         )
     elif args.stage == "evaluate":
         trained, report = train_eval_job(spark, args.built, args.loss)
