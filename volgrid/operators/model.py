@@ -209,5 +209,5 @@ def score_requests(
     scored = checked.mapInArrow(
         _request_scorer(load, mean, std, seconds, kept), f"{fields}, y_log array<double>"
     )
-    answers = F.when(F.col("error").isNull(), F.transform("y_log", safe_exp))
+    answers = F.when(F.col("error").isNull(), F.transform("y_log", lambda v: safe_exp(v)))
     return scored.select(*keep, answers.alias("y"), "error")
