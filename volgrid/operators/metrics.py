@@ -69,11 +69,8 @@ def mspe_gradient(
     df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log", name: str = "gradient"
 ) -> DataFrame:
     """Add the gradient of the batch loss by each row's log prediction."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    # The broadcast side is a total: always one row.
-    return df.crossJoin(F.broadcast(total)).select(
-        *df.columns, losses.mspe_gradient(pred_log, y_log, "_n").alias(name)
-    )
+    n = df.agg(F.count(F.lit(1))).scalar()
+    return df.withColumn(name, losses.mspe_gradient(pred_log, y_log, n))
 
 
 def running_metric(steps: DataFrame, interval: int = LOG_INTERVAL) -> DataFrame:

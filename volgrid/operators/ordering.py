@@ -15,7 +15,8 @@ from ..functions.hashing import hash_unit, key_digest
 from ..schemas import BUCKET_KEY, SHARD_SIZE, SHUFFLE_SEED, SPLIT_SEED
 from ..session import cut_lineage
 
-INTERVALS = 65536
+# Intervals per shuffle partition: enough for even partitions, few enough to count cheaply.
+INTERVALS_PER_PARTITION = 64
 CHUNK = 1024
 
 
@@ -56,7 +57,7 @@ def running_totals(
 
 
 def _window(group: list[str]):
-    # Without a group there is one row per interval (65,536 at most) or per 1,024 indexes.
+    # Without a group there is one row per interval (64 per partition) or per 1,024 indexes.
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 
 
@@ -66,11 +67,14 @@ def hash_rank(
     """Add the 0-based rank by (``unit``, ``tie_break``), per group; ``unit`` is in [0, 1).
 
     ``tie_break`` has to identify a row within its group. A group of any size is spread over
-    ``INTERVALS`` parts, and only the counts of the parts are brought together.
+    all partitions, and only the counts of the intervals are brought together. The number of
+    intervals follows the shuffle setting and does not change the ranks.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    intervals = INTERVALS_PER_PARTITION * partitions
     part = [*group, "_interval"]
     rows = df.withColumn("_unit", unit).withColumn(
-        "_interval", F.floor(F.col("_unit") * INTERVALS).cast("int")
+        "_interval", F.floor(F.col("_unit") * intervals).cast("int")
     )
     counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
     before = _window(group).orderBy("_interval").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,12 +132,9 @@ def shuffle_samples(
 
 def slice_consumers(shuffled: DataFrame, consumers: int) -> DataFrame:
     """Add ``consumer``: disjoint contiguous runs of ``ceil(shards / consumers)`` shards."""
-    total = shuffled.agg(F.count(F.lit(1)).alias("_shards"))
-    per_consumer = F.ceil(F.col("_shards") / consumers)
-    # The broadcast side is a total: always one row.
-    return shuffled.crossJoin(F.broadcast(total)).select(
-        *shuffled.columns, F.floor(F.col("shard_pos") / per_consumer).alias("consumer")
-    )
+    shards = shuffled.agg(F.count(F.lit(1))).scalar()
+    per_consumer = F.ceil(shards / consumers)
+    return shuffled.withColumn("consumer", F.floor(F.col("shard_pos") / per_consumer))
 
 
 def assign_batches(

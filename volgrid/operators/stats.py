@@ -51,13 +51,16 @@ def fit_norm(df: DataFrame, columns: list[str] = FEATURES, source: str = "train"
 
 
 def apply_norm(df: DataFrame, stats: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """Replace each column by ``(x - mean) / (std + 1e-12)``; ``stats`` has exactly one row."""
+    """Replace each column by ``(x - mean) / (std + 1e-12)``; ``stats`` has exactly one row.
+
+    The row enters as a scalar subquery: computed once, then a constant of the projection.
+    """
+    one = stats.select(F.struct("mean", "std")).scalar()
     scaled = {
         c: (F.col(c) - F.col("_stats.mean")[i]) / (F.col("_stats.std")[i] + F.lit(STD_EPS))
         for i, c in enumerate(columns)
     }
-    one = stats.select(F.struct("mean", "std").alias("_stats"))
-    return df.crossJoin(F.broadcast(one)).withColumns(scaled).drop("_stats")
+    return df.withColumn("_stats", one).withColumns(scaled).drop("_stats")
 
 
 def sanitize_columns(

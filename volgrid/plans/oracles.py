@@ -394,7 +394,7 @@ def mean_model(features: str, train: str, normal: bool = True) -> str:
     one = ", ".join(
         f"avg({c}::DOUBLE) AS mean_{c}, {STD.format(c=c)} AS std_{c}" for c in FEATURES
     )
-    scaled = "({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE)" if normal else "{c}"
+    scaled = "({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE)" if normal else "{c}::FLOAT::DOUBLE"
     cells = " + ".join(f"coalesce({scaled.format(c=c)}, 0)" for c in FEATURES)
     return f"""norm AS (SELECT {one} FROM {train}),
 scored AS (

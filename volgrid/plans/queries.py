@@ -333,34 +333,29 @@ def pred_truth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- statistics ------------------------------------------------------------------------------
 
 
-def _labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows with the split of their bucket."""
-    frame = features.bucket_features(*fixtures.market(spark, sf_dir))
-    return splits.assign_split(frame)
-
-
-def _train_norm(frame: DataFrame) -> DataFrame:
-    return stats.fit_norm(frame.where(F.col("split") == "train"))
+def _split_features(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """Features of one split's buckets; the split is decided per bucket, not per second."""
+    index, book, trade = fixtures.market(spark, sf_dir)
+    chosen = splits.route_split(splits.assign_split(index), split)
+    return features.bucket_features(chosen, book, trade)
 
 
 @query
 def norm_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _labelled_features(spark, sf_dir).where(F.col("split") == "train")
-    return rounded(stats.norm_moments(train), 5)
+    return rounded(stats.norm_moments(_split_features(spark, sf_dir, "train")), 5)
 
 
 @query
 def norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = _train_norm(_labelled_features(spark, sf_dir))
+    norm = stats.fit_norm(_split_features(spark, sf_dir, "train"))
     names = F.array(*map(F.lit, FEATURES)).alias("feature")
     rows = norm.select("count_seconds", F.inline(F.arrays_zip(names, "mean", "std")))
     return rounded(rows)
 
 
 def _normalized(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    frame = _labelled_features(spark, sf_dir)
-    rows = frame.where(F.col("split") == split)
-    scaled = stats.apply_norm(rows, _train_norm(frame))
+    norm = stats.fit_norm(_split_features(spark, sf_dir, "train"))
+    scaled = stats.apply_norm(_split_features(spark, sf_dir, split), norm)
     return rounded(scaled.select(*SLOT_KEY, *FEATURES), 5)
 
 
