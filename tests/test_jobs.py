@@ -1,5 +1,6 @@
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from volgrid.operators import split
@@ -18,6 +19,22 @@ def stored(spark, sf_dir, tmp_path_factory):
     return root
 
 
+@pytest.fixture(scope="module")
+def built(spark, sf_dir, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("built"))
+    labels = fixtures.labels(spark, sf_dir)
+    book, trade = fixtures.book(spark, sf_dir), fixtures.trade(spark, sf_dir)
+    jobs.build_job(spark, labels, book, trade, out, shard_size=64)
+    return out
+
+
+def zero_model():
+    def load():
+        return lambda x: np.zeros(len(x))
+
+    return load
+
+
 def run(monkeypatch, *arguments):
     monkeypatch.setattr(sys, "argv", ["jobs", *arguments])
     jobs.main()
@@ -68,6 +85,56 @@ def test_stages_from_files_to_report(spark, stored, tmp_path, monkeypatch):
         assert epochs.count() == 4 and epochs.where("is_best").count() >= 1
 
 
+def test_score_and_serve(spark, built, tmp_path, monkeypatch):
+    manifest = f"{built}/manifest/train"
+    monkeypatch.setattr(jobs, "_named", lambda name: zero_model())
+    run(
+        monkeypatch, "score", "--samples", f"{built}/samples", "--manifest", manifest,
+        "--predictor", "any:model", "--out", f"{tmp_path}/scored",
+    )
+    scored = spark.read.parquet(f"{tmp_path}/scored")
+    assert scored.count() == tables.read_samples(spark, f"{built}/samples").count()
+    assert scored.where("abs(y_pred - 1) > 1e-7").isEmpty()
+
+    sample = tables.read_samples(spark, f"{built}/samples").limit(3)
+    bodies = sample.select(
+        F.concat_ws("-", "stock_id", "time_id").alias("request_id"),
+        F.to_json(F.struct(F.array("x").alias("x"))).alias("body"),
+    )
+    bodies.write.json(f"{tmp_path}/requests")
+    run(
+        monkeypatch, "serve", "--requests", f"{tmp_path}/requests", "--manifest", manifest,
+        "--predictor", "any:model", "--out", f"{tmp_path}/answers",
+        "--progress", f"{tmp_path}/progress", "--until-done",
+    )
+    answers = spark.read.parquet(f"{tmp_path}/answers")
+    assert answers.count() == 3 and answers.where("response NOT LIKE '{\"y\":[0.99999999]}'").isEmpty()
+
+
+def test_predictor_by_name():
+    assert jobs._named("math:sqrt")(4) == 2
+
+
+def test_fit_choice_and_report_against_numpy(spark, built):
+    rows = jobs.model_rows(tables.read_samples(spark, f"{built}/samples"), jobs.read_norm(spark, built))
+    chosen = ["log_rv", "rv_30s", "spread_last"]
+    trained = jobs.fit_job(spark, rows, regs=(0.0,), features=chosen)
+    report = jobs.evaluate_job(rows, trained).first()
+
+    def part(name):
+        table = rows.where(F.col("split") == name).select(*chosen, "y_log").collect()
+        data = np.array([list(r) for r in table], dtype=float)
+        return np.column_stack([data[:, :-1], np.ones(len(data))]), data[:, -1]
+
+    x, y = part("train")
+    weights = np.linalg.lstsq(x, y, rcond=None)[0]
+    x, y = part("eval")
+    error = np.exp(x @ weights) - np.exp(y)
+    assert report["count"] == len(y)
+    assert report.rmse == pytest.approx(np.sqrt(np.mean(error**2)), rel=1e-6)
+    assert report.rmspe == pytest.approx(np.sqrt(np.mean((error / np.exp(y)) ** 2)), rel=1e-6)
+
+
 def test_latency_stage(spark, sf_dir, tmp_path, monkeypatch):
     fixtures.timings(spark, sf_dir).write.parquet(f"{tmp_path}/timings")
     run(monkeypatch, "latency", "--timings", f"{tmp_path}/timings", "--out", f"{tmp_path}/report")

@@ -1,4 +1,4 @@
-"""The stages as Spark jobs: index, build, fit, evaluate, score, latency.
+"""The stages as Spark jobs: index, build, fit and evaluate, score, serve, latency.
 
 ``python -m volgrid.plans.jobs <stage> --help`` lists a stage's arguments. Each stage reads and
 writes tables, so a stage can be run again without the ones before it.
@@ -7,6 +7,7 @@ writes tables, so a stage can be run again without the ones before it.
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import log_label
 from ..operators import assemble, latency, metrics, model, quality, split, stats
-from ..schemas import EVAL_FRACTION, FEATURES, SHARD_SIZE, SPLIT_SEED, VALIDATION_FRACTION
+from ..schemas import BUCKET_KEY, EVAL_FRACTION, FEATURES, SHARD_SIZE, SPLIT_SEED, VALIDATION_FRACTION
 from ..session import build_session
 from ..sources import tables
+from ..streaming import scoring
 
 SUMMARY_FEATURES = [*FEATURES, "log_rv"]
 FITS: dict[str, Callable[..., LinearRegressionModel]] = {
@@ -148,6 +150,45 @@ def train_eval_job(
     return trained, evaluate_job(rows, trained)
 
 
+def score_job(
+    spark: SparkSession,
+    samples_path: str,
+    manifest_path: str,
+    load: Callable[[], model.Predictor],
+    out: str,
+    output: str = "real",
+) -> None:
+    """Predictions of every stored sample, with the statistics of a manifest."""
+    norm = tables.manifest_stats(tables.read_manifest(spark, manifest_path)).first()
+    samples = tables.read_samples(spark, samples_path)
+    keep = [*BUCKET_KEY, "split", "y_log"]
+    scored = model.score_samples(samples, load, norm["mean"], norm["std"], keep)
+    model.sane_predictions(scored, output).write.parquet(out)
+
+
+def serve_job(
+    spark: SparkSession,
+    requests_path: str,
+    manifest_path: str,
+    load: Callable[[], model.Predictor],
+    out: str,
+    progress: str,
+    until_done: bool = False,
+) -> None:
+    """Answer JSON requests as their files arrive; ``until_done`` stops after those present."""
+    norm = tables.manifest_stats(tables.read_manifest(spark, manifest_path)).first()
+    arriving = scoring.read_request_stream(spark, requests_path)
+    scoring.score_request_stream(
+        arriving, load, norm["mean"], norm["std"], out, progress, until_done
+    ).awaitTermination()
+
+
+def _named(reference: str) -> Callable[[], model.Predictor]:
+    """``package.module:function``, importable by driver and executors."""
+    module, _, name = reference.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def latency_job(
     spark: SparkSession, timings_path: str, out: str, batch_size: int, config: dict[str, str | int]
 ) -> None:
@@ -183,6 +224,18 @@ def _arguments() -> argparse.Namespace:
     fit.add_argument("--loss", choices=sorted(FITS), default="log_mse")
     fit.add_argument("--out", required=True)
 
+    score = stages.add_parser("score", help="score stored samples")
+    score.add_argument("--samples", required=True)
+    score.add_argument("--output", choices=["real", "log"], default="real")
+    serve = stages.add_parser("serve", help="answer JSON requests as a stream")
+    serve.add_argument("--requests", required=True)
+    serve.add_argument("--progress", required=True, help="checkpoint folder of the stream")
+    serve.add_argument("--until-done", action="store_true")
+    for stage in (score, serve):
+        stage.add_argument("--manifest", required=True)
+        stage.add_argument("--predictor", required=True, help="package.module:function")
+        stage.add_argument("--out", required=True)
+
     timing = stages.add_parser("latency", help="summarize request timings")
     timing.add_argument("--timings", required=True)
     timing.add_argument("--out", required=True)
@@ -211,6 +264,19 @@ def main() -> None:
         trained, report = train_eval_job(spark, args.built, args.loss)
         tables.write_json(report, f"{args.out}/report")
         tables.write_json(trained.epochs, f"{args.out}/epochs")
+    elif args.stage == "score":
+        load = _named(args.predictor)
+        score_job(spark, args.samples, args.manifest, load, args.out, args.output)
+    elif args.stage == "serve":
+        serve_job(
+            spark,
+            args.requests,
+            args.manifest,
+            _named(args.predictor),
+            args.out,
+            args.progress,
+            args.until_done,
+        )
     else:
         latency_job(spark, args.timings, args.out, args.batch_size, {"batch_size": args.batch_size})
 
