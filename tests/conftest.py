@@ -9,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from volgrid.session import build_session
 
     session = build_session(
@@ -18,7 +18,6 @@ def spark(tmp_path_factory):
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
         spark__ui__showConsoleProgress="false",
-        spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
