@@ -405,7 +405,7 @@ REAL = r("exp(y_log_pred) - 1e-8::DOUBLE", 3, "y_pred")
 SQL["score_batch"] = f"""{ALL}, {mean_model("features", "features")}
 SELECT stock_id, time_id, {r("y_log_pred", 3)}, {REAL} FROM scored"""
 SQL["score_json_requests"] = f"""{ALL}, {mean_model("features", "features", normal=False)}
-SELECT stock_id || '-' || time_id AS request_id, {r("least(20, greatest(-20, y_log_pred))", 3, "y_log")} FROM scored"""
+SELECT stock_id || '-' || time_id AS request_id, {r("least(20, greatest(-20, y_log_pred))", 6, "y_log")} FROM scored"""
 
 # The built samples hold the labelled buckets; statistics come from their train split.
 BUILT_FEATURES = f"""{BUILT},

@@ -167,7 +167,7 @@ def score_json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     replies = requests.encode_json_responses(answers)
     y = F.from_json("response", "y array<double>")["y"][0]
-    return rounded(replies.select("request_id", F.ln(y + scalars.EPS).alias("y_log")), 3)
+    return rounded(replies.select("request_id", F.ln(y + scalars.EPS).alias("y_log")), 6)
 
 
 @query
