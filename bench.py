@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from volgrid.functions.hashing import hash_unit
 from volgrid.operators import assemble, features, latency, metrics, model, ordering, split, stats
 from volgrid.plans import queries as registered
-from volgrid.schemas import BUCKET_KEY, FEATURES, SHUFFLE_SEED
+from volgrid.schemas import FEATURES, SHUFFLE_SEED
 from volgrid.session import build_session, scratch_path
 from volgrid.sources import fixtures, requests, tables
 

@@ -184,3 +184,18 @@ def test_tensor_is_in_second_order(spark):
     assert x[11][0] == 5 and x[12][0] == 0
     want = by_second(frame, "mid_last")
     assert [row[FEATURES.index("mid_last")] for row in x] == pytest.approx(want)
+
+
+def test_regression_values(spark):
+    """Sums of the derived market with 8 instruments, as recorded when the inputs were chosen."""
+    from volgrid.sources import fixtures
+
+    tables = fixtures.market(spark, "/root/testdata/sf0.01", 8)
+    names = ["size", "order_intensity_60s", "rv_30s", "rv_120s", "rel_spread_last", "last_trade_gap_geq_cap"]
+    frame = features.bucket_features(*tables)
+    row = frame.agg(F.count(F.lit(1)), F.count_if(F.col("wap_last").isNull()), *[F.sum(c) for c in names]).first()
+    assert tuple(row)[:4] == (144_000, 5_698, 199_190, 673_393)
+    assert tuple(row)[4:7] == pytest.approx((6142.841618, 15437.136306, 527.359722), abs=1e-6)
+    assert row[7] == 93_007
+    known = fixtures.forecasts(spark, "/root/testdata/sf0.01", 8).agg(F.sum("pred"), F.sum("target")).first()
+    assert tuple(known) == pytest.approx((71.67861871, 68.96248875), abs=1e-8)

@@ -13,17 +13,17 @@ from volgrid.sources import fixtures, tables
 def stored(spark, sf_dir, tmp_path_factory):
     """Label CSV, book and trade tables as files."""
     root = str(tmp_path_factory.mktemp("raw"))
-    fixtures.labels(spark, sf_dir).coalesce(1).write.option("header", True).csv(f"{root}/labels")
-    tables.write_by_stock(fixtures.book(spark, sf_dir), f"{root}/book")
-    tables.write_by_stock(fixtures.trade(spark, sf_dir), f"{root}/trade")
+    fixtures.labels(spark, sf_dir, 8).coalesce(1).write.option("header", True).csv(f"{root}/labels")
+    tables.write_by_stock(fixtures.book(spark, sf_dir, 8), f"{root}/book")
+    tables.write_by_stock(fixtures.trade(spark, sf_dir, 8), f"{root}/trade")
     return root
 
 
 @pytest.fixture(scope="module")
 def built(spark, sf_dir, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("built"))
-    labels = fixtures.labels(spark, sf_dir)
-    book, trade = fixtures.book(spark, sf_dir), fixtures.trade(spark, sf_dir)
+    labels = fixtures.labels(spark, sf_dir, 8)
+    book, trade = fixtures.book(spark, sf_dir, 8), fixtures.trade(spark, sf_dir, 8)
     jobs.build_job(spark, labels, book, trade, out, shard_size=64)
     return out
 

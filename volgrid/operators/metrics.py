@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses
@@ -35,9 +35,10 @@ def batch_losses(
     )
 
 
-def _weighted_root(group: DataFrame, by: list[str], name: str) -> DataFrame:
-    weighted = F.sum(F.col("loss") * F.col("n"))
-    return group.groupBy(*by).agg(losses.root_mean(weighted, F.coalesce(F.sum("n"), F.lit(0))).alias(name))
+def _weighted_root(batches: DataFrame, by: list[str], name: str) -> DataFrame:
+    loss = F.sum(F.col("loss") * F.col("n"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return batches.groupBy(*by).agg(losses.root_mean(loss, n).alias(name))
 
 
 def rmspe_from_batches(batches: DataFrame) -> DataFrame:

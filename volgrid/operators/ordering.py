@@ -8,7 +8,7 @@ recomputed task sees the same intervals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit, key_digest
@@ -56,7 +56,7 @@ def running_totals(
     )
 
 
-def _window(group: list[str]):
+def _window(group: list[str]) -> WindowSpec:
     # Without a group there is one row per interval (64 per partition) or per 1,024 indexes.
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 

@@ -44,7 +44,7 @@ def split_case(u: str) -> str:
 # Events as book and trade rows: the latest row of each kind per slot.
 MARKET = """
 ev AS (
-  SELECT (user_id % 8)::INTEGER AS stock_id,
+  SELECT (user_id // 16)::INTEGER AS stock_id,
          date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS time_id,
          floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 144)::INTEGER AS seconds_in_bucket,
          event_id, event_type, ts, value, json_extract_string(props, '$.k')::BIGINT AS k
@@ -152,7 +152,7 @@ SQL["scan_labels_csv"] = f"{ALL} SELECT stock_id, time_id, {r('target')} FROM la
 BOOK_ROWS = f"{SLOT}, {rs('bid_price1, ask_price1')}, bid_size1, ask_size1"
 SQL["scan_book"] = f"{RAW} SELECT {BOOK_ROWS} FROM book"
 SQL["scan_trade"] = f"{RAW} SELECT {SLOT}, size, order_count FROM trade"
-SQL["bucket_lookup"] = f"{SQL['scan_book']} WHERE stock_id = 3 AND time_id = 5"
+SQL["bucket_lookup"] = f"{SQL['scan_book']} WHERE stock_id = 0 AND time_id = 5"
 LABEL_SPLIT = split_case(unit(SPLIT_SEED, "stock_id", "time_id"))
 SQL["index_round_trip"] = (
     f"{ALL} SELECT stock_id, time_id, {r('target')}, {LABEL_SPLIT} AS split FROM labels_known"

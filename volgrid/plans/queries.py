@@ -83,7 +83,7 @@ def scan_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _stored(spark, "book", fixtures.book(spark, sf_dir))
     book = tables.read_book(spark, path).select(*SLOT_KEY, *BOOK_VALUES)
-    return rounded(tables.bucket_lookup(book, stock_id=3, time_id=5))
+    return rounded(tables.bucket_lookup(book, stock_id=0, time_id=5))
 
 
 @query

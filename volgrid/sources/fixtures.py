@@ -10,6 +10,7 @@ from ..schemas import BOOK_VALUES, BUCKET_KEY, EPS, SECOND, SLOT_KEY, TRADE_VALU
 
 BOOK_EVENTS = ["view", "click", "signup"]
 TRADE_EVENTS = ["purchase", "error"]
+USERS_PER_STOCK = 16
 SLOT_SECONDS = 144  # a day has 600 slots of 144 seconds
 PREDICTION_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -18,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _keyed_events(spark: SparkSession, sf_dir: str, stocks: int) -> DataFrame:
+def _keyed_events(spark: SparkSession, sf_dir: str, stocks: int | None) -> DataFrame:
+    """Events with bucket and slot. An instrument is a run of users, so that the market grows
+    with the table, or users modulo ``stocks`` for a market of fixed width."""
+    user = F.col("user_id")
+    stock = user % stocks if stocks else F.floor(user / USERS_PER_STOCK)
     second_of_day = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % stocks).cast("int").alias("stock_id"),
+        stock.cast("int").alias("stock_id"),
         F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("time_id"),
         F.floor(second_of_day / SLOT_SECONDS).cast("int").alias(SECOND),
         "event_id",
@@ -38,7 +43,7 @@ def _latest_per_slot(events: DataFrame, values: list[str]) -> DataFrame:
     return events.groupBy(*SLOT_KEY).agg(row).select(*SLOT_KEY, "_row.*")
 
 
-def book(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+def book(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
     events = _keyed_events(spark, sf_dir, stocks).where(F.col("event_type").isin(BOOK_EVENTS))
     bid = F.lit(1) + F.col("value") / 1000
     quotes = events.select(
@@ -53,7 +58,7 @@ def book(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
     return _latest_per_slot(quotes, BOOK_VALUES)
 
 
-def trade(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+def trade(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
     events = _keyed_events(spark, sf_dir, stocks).where(F.col("event_type").isin(TRADE_EVENTS))
     trades = events.select(
         *SLOT_KEY,
@@ -65,17 +70,17 @@ def trade(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
     return _latest_per_slot(trades, TRADE_VALUES)
 
 
-def raw_slots(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+def raw_slots(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
     """Slot of every event, copies included."""
     return _keyed_events(spark, sf_dir, stocks).select(*SLOT_KEY)
 
 
-def buckets(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+def buckets(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
     return _keyed_events(spark, sf_dir, stocks).select(*BUCKET_KEY).distinct()
 
 
 def market(
-    spark: SparkSession, sf_dir: str, stocks: int = 8
+    spark: SparkSession, sf_dir: str, stocks: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(buckets, book, trade)``."""
     return (
@@ -85,7 +90,7 @@ def market(
     )
 
 
-def forecasts(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+def forecasts(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
     """Persistence forecast: a bucket's volatility predicts the next one of its instrument.
 
     The window holds one row per day of an instrument.
@@ -97,7 +102,7 @@ def forecasts(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
     )
 
 
-def labels(spark: SparkSession, sf_dir: str, stocks: int = 8) -> DataFrame:
+def labels(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
     """Label table: buckets with a known next volatility."""
     known = forecasts(spark, sf_dir, stocks).where(F.col("target").isNotNull())
     return known.select(*BUCKET_KEY, "target")
