@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import log_label
 from ..operators import assemble, latency, metrics, model, quality, split, stats
 from ..schemas import BUCKET_KEY, EVAL_FRACTION, FEATURES, SHARD_SIZE, SPLIT_SEED, VALIDATION_FRACTION
-from ..session import build_session
+from ..session import build_session, scratch_path
 from ..sources import tables
 from ..streaming import scoring
 
@@ -144,8 +144,9 @@ def train_eval_job(
     samples = tables.read_samples(spark, f"{out}/samples")
     # The summary has one short row per sample. It is read once per candidate, so it is
     # written as a table instead of being derived from the matrices each time.
-    model_rows(samples, read_norm(spark, out)).write.parquet(f"{out}/summary-{loss}")
-    rows = spark.read.parquet(f"{out}/summary-{loss}")
+    summary = scratch_path(spark, "summary")
+    model_rows(samples, read_norm(spark, out)).write.parquet(summary)
+    rows = spark.read.parquet(summary)
     trained = fit_job(spark, rows, loss)
     return trained, evaluate_job(rows, trained)
 
