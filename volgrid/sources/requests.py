@@ -38,7 +38,11 @@ def _standard_normal(*parts: Column) -> Column:
 def synthetic_samples(
     keys: DataFrame, features: int, seconds: int = BUCKET_SECONDS, seed: int = 0
 ) -> DataFrame:
-    """One ``x`` of standard normal values, [seconds, features], per row of ``keys``."""
+    """One ``x`` of standard normal values, [seconds, features], per row of ``keys``.
+
+    A short key becomes thousands of values, so the keys are spread over all partitions first.
+    """
+    partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_columns = [F.col(c) for c in keys.columns]
     row = F.sequence(F.lit(0), F.lit(features - 1))
     matrix = F.transform(
@@ -47,4 +51,4 @@ def synthetic_samples(
             row, lambda f: _standard_normal(F.lit(seed), *key_columns, s, f).cast("float")
         ),
     )
-    return keys.withColumn("x", matrix)
+    return keys.repartition(partitions, *key_columns).withColumn("x", matrix)
