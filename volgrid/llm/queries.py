@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, tokencount
+from . import neardup, packing, quality, sharding, tokencount
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_packing": op5_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_minhash": op9_minhash,
     "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {}
