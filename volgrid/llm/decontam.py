@@ -10,7 +10,7 @@
    as one.
 4. A document is contaminated by a test of whose words tiles cover ``threshold`` or more.
 
-Words are compared in lower case (A-Z) and without ASCII punctuation around them. Tests of fewer
+Words are compared in lower case and without ASCII punctuation around them. Tests of fewer
 than five words have no seed and are never found.
 """
 
@@ -51,7 +51,7 @@ class Words:
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all five-word windows, the text that each is in, and its word position."""
-        split = [t.lower().split() for t in texts]
+        split = [t.split() for t in texts]
         codes = list(map(self.known.get, chain.from_iterable(split)))
         if None in codes:
             flat = list(chain.from_iterable(split))
@@ -82,7 +82,7 @@ def seeds_of(tests: DataFrame) -> DataFrame:
     """``item_id, seeds, n_words`` of ``tests(item_id, text)``: the window codes in order."""
 
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
-        texts = pc.fill_null(part.column(1).cast(pa.binary()), b"").to_pylist()
+        texts = pc.utf8_lower(pc.fill_null(part.column(1), "")).cast(pa.binary()).to_pylist()
         codes, text, _ = words.windows(texts)
         cuts = np.searchsorted(text, np.arange(len(texts) + 1))
         return pa.RecordBatch.from_arrays(
@@ -99,7 +99,7 @@ def _places(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
 
     def run(part: pa.RecordBatch, state) -> pa.RecordBatch | None:
         words, table, mask = state
-        raw = pc.fill_null(part.column(1).cast(pa.binary()), b"").to_pylist()
+        raw = pc.utf8_lower(pc.fill_null(part.column(1), "")).cast(pa.binary()).to_pylist()
         codes, text, position = words.windows(raw)
         maybe = np.flatnonzero(table[(codes & mask)])
         at = np.searchsorted(seeds, codes[maybe])
