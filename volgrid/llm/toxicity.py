@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import map_texts, small_slices, written
 
 #: Bounds of the fit: expected labelled documents, and words per category.
 TRAIN_DOCS = 20_000
@@ -268,3 +268,22 @@ def score(docs: DataFrame, model: Chain | None) -> DataFrame:
     return map_texts(
         rows, run, "doc_id long, probability double, toxic boolean", setup=lambda: Features(model.vocabulary)
     )
+
+
+def keep(docs: DataFrame, model: Chain | None) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns and without a join.
+
+    The verdict is found where the text is, so that no text is shuffled.
+    """
+    if model is None:
+        return docs
+
+    def verdicts(batches):
+        features = Features(model.vocabulary)
+        for batch in batches:
+            for part in small_slices(batch, "text"):
+                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                p = probabilities(model, features.of(texts))[:, -1]
+                yield part.filter(pa.array(p <= model.threshold))
+
+    return docs.mapInArrow(verdicts, docs.schema)
