@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, written
-from .segments import WordIds
+from .segments import WordIds, word_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(rows, cut, _PIECES, setup=lambda: WordIds(path))
+    return map_texts(rows, cut, _PIECES, setup=lambda: word_ids(path))
 
 
 def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -16,13 +16,16 @@ segment and get the library's default treatment.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Distinct segments kept per task; beyond that the memory starts anew.
-KEPT = 400_000
+#: Distinct segments that a worker process keeps; beyond that those in use move to a new
+#: generation, and the one before is forgotten.
+KEPT = 600_000
 
 _BYTE_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -38,64 +41,63 @@ def load(path: str):
     return tokenizer
 
 
-class WordIds:
-    """Token ids of texts under a word tokenizer, as little-endian unsigned 32-bit bytes."""
+class _Known:
+    """Values of segments, encoded on first sight; ``parse`` makes a value of an encoding."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict = {}
+        self.older: dict = {}
+
+    def parse(self, encoding):
+        raise NotImplementedError
+
+    def values(self, parts: list[list[str]]) -> list[list]:
+        """The values of the segments of several texts: one look-up each, then the unseen ones."""
+        out = [list(map(self.known.get, p)) for p in parts]
+        short = [i for i, values in enumerate(out) if None in values]
+        if short:
+            unseen = {s for i in short for s, v in zip(parts[i], out[i]) if v is None}
+            found = {s: self.older[s] for s in unseen & self.older.keys()}
+            new = list(unseen - found.keys())
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                batch = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                found.update(zip(some, map(self.parse, batch)))
+            for i in short:
+                out[i] = [found[s] if v is None else v for s, v in zip(parts[i], out[i])]
+            if len(self.known) + len(found) > KEPT:
+                self.older, self.known = self.known, {}
+            self.known.update(found)
+        return out
+
+
+class WordIds(_Known):
+    """Token ids of texts under a word tokenizer, as little-endian unsigned 32-bit bytes."""
+
+    def parse(self, encoding) -> bytes:
+        ids = encoding.ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*parts) - self.known.keys() if parts else set()
-        if missing:
-            if len(self.known) + len(missing) > KEPT:
-                self.known = {"": b""}
-                missing = set().union(*parts) - {""}
-            new = list(missing)
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for s, e in zip(
-                    some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                ):
-                    self.known[s] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [b"".join(values) for values in self.values(parts)]
 
 
-class ByteCounts:
+class ByteCounts(_Known):
     """Segments of texts under a byte tokenizer and the number of tokens of each."""
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.known: dict[str, int] = {}
+    def parse(self, encoding) -> int:
+        return len(encoding)
 
     def split(self, text: str) -> list[str]:
         if not text:
             return []
         return [text] if _OTHER_SPACE.search(text) else _BYTE_SEGMENT.findall(text)
 
-    def learn(self, parts: list[list[str]]) -> None:
-        missing = set().union(*parts) - self.known.keys() if parts else set()
-        if not missing:
-            return
-        if len(self.known) + len(missing) > KEPT:
-            self.known = {}
-            missing = set().union(*parts)
-        new = list(missing)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for s, e in zip(
-                some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            ):
-                self.known[s] = len(e)
-
     def counts(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
-        parts = [self.split(t) for t in texts]
-        self.learn(parts)
-        get = self.known.__getitem__
-        return [sum(map(get, p)) for p in parts]
+        return [sum(values) for values in self.values([self.split(t) for t in texts])]
 
     def marks(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Boundaries at which the encoding starts anew, and the tokens before each.
@@ -115,6 +117,16 @@ class ByteCounts:
             at = np.flatnonzero(new)
             return np.append(starts[at], len(text)), np.append(at, len(ends))
         parts = self.split(text)
-        self.learn([parts])
         positions = np.cumsum([0, *map(len, parts)])
-        return positions, np.cumsum([0, *map(self.known.__getitem__, parts)])
+        return positions, np.cumsum([0, *self.values([parts])[0]])
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that what it has seen serves later tasks too."""
+    return WordIds(path)
+
+
+@functools.cache
+def byte_counts(path: str) -> ByteCounts:
+    return ByteCounts(path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, written
-from .segments import ByteCounts
+from .segments import ByteCounts, byte_counts
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -83,7 +83,7 @@ def _mark(path: str, chunk: int, overlap: int):
             names=["key", "no", "last", "head_p", "head_c", "tail_p", "tail_c", "total"],
         )
 
-    return run, lambda: ByteCounts(path)
+    return run, lambda: byte_counts(path)
 
 
 def _spliced(marks: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def count_tokens(
 
     short = map_texts(
         rows.where(fits), direct, "doc_id long, n_bytes long, n_tokens long",
-        setup=lambda: ByteCounts(path),
+        setup=lambda: byte_counts(path),
     )
     long_rows = rows.where(~fits).withColumn("key", F.sha2("text", 256))
     counts = huge_counts(long_rows.select("key", "text"), path, chunk, overlap)
