@@ -80,7 +80,7 @@ def repeated_passages(
     """``doc_id, start, end, n_chunks, first_doc_id``: passages that an earlier place has too.
 
     Positions are UTF-8 bytes, the end exclusive; ``first_doc_id`` is the document that keeps the
-    passage's first chunk. Null and empty texts have no passage. Rows without doc_id come last
+    passage's longest chunk. Null and empty texts have no passage. Rows without doc_id come last
     among equal chunks; rows that repeat a doc_id are one document whose chunks may coincide: of
     equal chunks at one place of one doc_id both count as the first. An empty table gives no
     rows. Other columns are not looked at.
@@ -110,7 +110,7 @@ def repeated_passages(
             F.min("start").alias("start"),
             F.max(F.col("start") + F.col("size")).alias("end"),
             F.count("*").alias("n_chunks"),
-            F.min_by("first_doc_id", "start").alias("first_doc_id"),
+            F.max_by("first_doc_id", "size").alias("first_doc_id"),
         )
         .where(F.col("end") - F.col("start") >= min_bytes)
         .drop("run")

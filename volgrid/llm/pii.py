@@ -33,6 +33,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TRAIN_DOCS = 1_000
 #: Words on either side of a span in a training window.
 AROUND = 8
+#: Each variant is repeated once for so many windows of the corpus.
+VARIANT_SHARE = 60
 STEPS = 120
 #: A sequence ends at the first word of letters alone after so many words.
 SEQUENCE = 128
@@ -266,7 +268,7 @@ def training_rows(docs: DataFrame, n: int = TRAIN_DOCS) -> list[tuple[list[str],
 
     found = drawn.mapInArrow(windows, "words array<string>, tags array<string>").collect()  # 8 * n at most
     rows = [(list(r["words"]), list(r["tags"])) for r in found if r["words"]]
-    for _ in range(max(1, len(rows) // 200)):
+    for _ in range(max(1, len(rows) // VARIANT_SHARE)):
         for line, kinds in VARIANTS:
             tags, last = [], None
             for k in kinds:
