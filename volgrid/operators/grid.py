@@ -49,15 +49,54 @@ def _book_rows(book: DataFrame) -> DataFrame:
     return book.select(*SLOT_KEY, *values, F.lit(1).alias("_has_book"))
 
 
-def _merge_rows(rows: DataFrame, values: list[str]) -> DataFrame:
-    """One row per slot. Each source gives at most one row, so ``max`` picks its value."""
-    return rows.groupBy(*SLOT_KEY).agg(*[F.max(c).alias(c) for c in values])
+def _trade_rows(trade: DataFrame) -> DataFrame:
+    return trade.select(*SLOT_KEY, *TRADE_VALUES, F.lit(1).alias("_has_trade"))
+
+
+def whole_rows(df: DataFrame, values: list[str]) -> DataFrame:
+    """One row per slot of a source with differing copies: the largest by its values in order.
+
+    The row is kept as a whole, so that no quote is made up from several.
+    """
+    row = F.max(F.struct(*values)).alias("_row")
+    return df.groupBy(*SLOT_KEY).agg(row).select(*SLOT_KEY, *[F.col(f"_row.{c}") for c in values])
+
+
+def _only_value(column: str, mark: str) -> Column:
+    """The value that all of a slot's rows with ``mark`` have; the job fails if they differ."""
+    at = F.concat_ws(", ", *[F.concat(F.lit(f"{k} "), F.col(k).cast("string")) for k in SLOT_KEY])
+    message = F.concat(F.lit(f"rows of one source differ in {column} at "), at)
+    counted = F.col(f"_n_{column}")
+    differ = (F.col(f"_low_{column}") != F.col(column)) | ((counted > 0) & (counted != F.col(mark)))
+    return F.when(differ, F.raise_error(message)).otherwise(F.col(column))
+
+
+def _merge_rows(rows: DataFrame, carry: tuple[str, ...] = (), anchored: bool = False) -> DataFrame:
+    """One row per slot; copies of a source's row are combined.
+
+    Rows of one source that differ fail the job, and so does a second anchor: both are found in
+    the aggregation that combines copies, for the columns that the plan uses.
+    """
+    sources = {c: "_has_book" for c in BOOK_VALUES} | {c: "_has_trade" for c in TRADE_VALUES}
+    marks = ["_has_book", "_has_trade", *(["_anchor"] if anchored else [])]
+    merged = rows.groupBy(*SLOT_KEY).agg(
+        *[F.max(c).alias(c) for c in (*sources, *carry)],
+        *[F.min(c).alias(f"_low_{c}") for c in sources],
+        *[F.count(c).alias(f"_n_{c}") for c in sources],
+        *[F.sum(m).alias(m) for m in marks],
+    )
+    values = [_only_value(c, mark).alias(c) for c, mark in sources.items()]
+    anchor = []
+    if anchored:
+        twice = F.raise_error(F.concat(F.lit("more than one label row at "), F.concat_ws(", ", *BUCKET_KEY)))
+        anchor = [F.when(F.col("_anchor") > 1, twice).otherwise(F.col("_anchor")).alias("_anchor")]
+    return merged.select(*SLOT_KEY, *values, *carry, "_has_book", *anchor)
 
 
 def _only_with_book(merged: DataFrame) -> DataFrame:
     """Forget trades of the slots that have no book row."""
     return merged.withColumns(
-        {c: F.when(F.col("_has_book") == 1, F.col(c)) for c in TRADE_VALUES}
+        {c: F.when(F.col("_has_book") > 0, F.col(c)) for c in TRADE_VALUES}
     )
 
 
@@ -66,12 +105,10 @@ def merge_book_trade(book: DataFrame, trade: DataFrame, keep_trade_only: bool =
 
     With ``keep_trade_only=False`` a trade is kept only where the book has a row too.
     """
-    rows = _book_rows(book).unionByName(
-        trade.select(*SLOT_KEY, *TRADE_VALUES), allowMissingColumns=True
-    )
-    merged = _merge_rows(rows, [*BOOK_VALUES, *TRADE_VALUES, "_has_book"])
+    rows = _book_rows(book).unionByName(_trade_rows(trade), allowMissingColumns=True)
+    merged = _merge_rows(rows)
     if not keep_trade_only:
-        merged = merged.where(F.col("_has_book") == 1)
+        merged = merged.where("_has_book > 0")
     return merged.drop("_has_book")
 
 
@@ -94,16 +131,18 @@ def merged_slots(
     Numeric ``carry`` columns of the index (such as the label) ride along on the anchor, which
     attaches them to the bucket without a join.
 
-    ``unique_slots=True`` promises that each source has at most one row per slot, hence at
-    most 1,201 rows per bucket. Rows then move to their bucket at once, which saves the shuffle
-    that combines copies. The result is the same either way.
+    The index has one row per bucket and a source one row per slot, or copies of it: a second
+    label row or a differing one of a source fails the job (``whole_rows`` picks one
+    beforehand). ``unique_slots=True`` promises that there are no copies, hence at most 1,201
+    rows per bucket, which then move to their bucket at once: that saves the shuffle that
+    combines copies. The result is the same either way.
     """
     anchors = index.select(
         *BUCKET_KEY, F.lit(0).alias(SECOND), *carry, F.lit(1).alias("_anchor")
     )
     rows = (
         on_grid(_book_rows(book))
-        .unionByName(on_grid(trade.select(*SLOT_KEY, *TRADE_VALUES)), allowMissingColumns=True)
+        .unionByName(on_grid(_trade_rows(trade)), allowMissingColumns=True)
         .unionByName(anchors, allowMissingColumns=True)
     )
     # A sparse slot stands for many grid rows, so the size of this shuffle says little about
@@ -111,7 +150,7 @@ def merged_slots(
     partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if unique_slots:
         rows = rows.repartition(partitions, *BUCKET_KEY)
-    merged = _merge_rows(rows, [*BOOK_VALUES, *TRADE_VALUES, "_has_book", "_anchor", *carry])
+    merged = _merge_rows(rows, carry, anchored=True)
     if not keep_trade_only:
         merged = _only_with_book(merged)
     if not unique_slots:

@@ -52,7 +52,8 @@ def build_job(
     trade: DataFrame,
     out: str,
     shard_size: int = SHARD_SIZE,
-    unique_slots: bool = False,
+    unique_slots: bool = True,
+    columns: list[str] = FEATURES,
 ) -> None:
     """Samples of all splits, and a manifest per split with the train statistics.
 
@@ -60,18 +61,18 @@ def build_job(
     computed a single time.
     """
     samples = assemble.build_samples(
-        labels, book, trade, shard_size=shard_size, unique_slots=unique_slots
+        labels, book, trade, columns, shard_size=shard_size, unique_slots=unique_slots
     )
     tables.write_samples(samples, f"{out}/samples")
     train = tables.read_samples(spark, f"{out}/samples", "train")
-    norm = stats.fit_norm(assemble.tensor_rows(train))
+    norm = stats.fit_norm(assemble.tensor_rows(train, columns), columns)
     tables.write_json(norm, f"{out}/norm")
     saved = read_norm(spark, out)
     stored = tables.read_samples(spark, f"{out}/samples")
     for name in split.SPLITS:
         shards = stored.where(F.col("split") == name).select("shard_id").distinct()
         tables.write_json(
-            tables.manifest(shards, saved, shard_size=shard_size, is_train=name == "train"),
+            tables.manifest(shards, saved, columns, shard_size, name == "train"),
             f"{out}/manifest/{name}",
         )
 
@@ -215,10 +216,11 @@ def _arguments() -> argparse.Namespace:
     build.add_argument("--out", required=True)
     build.add_argument("--shard-size", type=int, default=SHARD_SIZE)
     build.add_argument(
-        "--unique-slots",
+        "--copies",
         action="store_true",
-        help="book and trade have at most one row per second: saves a shuffle",
+        help="book or trade hold copies of rows: combine them before they move to their bucket",
     )
+    build.add_argument("--features", nargs="+", choices=FEATURES, default=FEATURES, metavar="NAME")
 
     fit = stages.add_parser("evaluate", help="fit, choose by validation and evaluate")
     fit.add_argument("--built", required=True)
@@ -259,7 +261,8 @@ def main() -> None:
             tables.read_trade(spark, args.trade),
             args.out,
             args.shard_size,
-            args.unique_slots,
+            not args.copies,
+            args.features,
         )
     elif args.stage == "evaluate":
         trained, report = train_eval_job(spark, args.built, args.loss)

@@ -230,8 +230,12 @@ SELECT stock_id, time_id, {rs("pred, target", 8)} FROM forecasts WHERE target IS
 
 # --- statistics ------------------------------------------------------------------------------
 
+# The split is decided once per bucket, and the window chain runs once.
 SPLIT_FEATURES = f"""{ALL},
-tagged AS (SELECT *, {split_case(unit(SPLIT_SEED, "stock_id", "time_id"))} AS split FROM features),
+bucket_split AS MATERIALIZED (
+  SELECT *, {split_case(unit(SPLIT_SEED, "stock_id", "time_id"))} AS split FROM buckets),
+tagged AS MATERIALIZED (
+  SELECT features.*, split FROM features JOIN bucket_split USING (stock_id, time_id)),
 train AS (SELECT * FROM tagged WHERE split = 'train')"""
 SQL["norm_moments"] = SPLIT_FEATURES + " UNION ALL ".join(
     f""" SELECT '{c}' AS feature, {r(f"sum({c}::DOUBLE)", 5, "total")},
@@ -251,7 +255,7 @@ def normalized(split: str) -> str:
         f"avg({c}::DOUBLE) AS mean_{c}, {STD.format(c=c)} AS std_{c}" for c in FEATURES
     )
     scaled = ", ".join(r(f"({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE)", 5, c) for c in FEATURES)
-    return f"""{SPLIT_FEATURES}, norm AS (SELECT {one} FROM train)
+    return f"""{SPLIT_FEATURES}, norm AS MATERIALIZED (SELECT {one} FROM train)
 SELECT {SLOT}, {scaled} FROM tagged, norm WHERE split = '{split}'"""
 
 
