@@ -199,3 +199,25 @@ def test_regression_values(spark):
     assert row[7] == 93_007
     known = fixtures.forecasts(spark, "/root/testdata/sf0.01", 8).agg(F.sum("pred"), F.sum("target")).first()
     assert tuple(known) == pytest.approx((71.67861871, 68.96248875), abs=1e-8)
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_repeated_labels_and_differing_rows_fail(spark, unique):
+    index, book, trade = market(spark, {(1, 1): {3: (10.0, 10.1, 3, 4)}}, {(1, 1): {3: (5, 1)}})
+    other = spark.createDataFrame([(1, 1, 3, 9.0, 11.0, 8, 1)], BOOK)
+
+    def build(labels, quotes):
+        return assemble.attach_labels(labels, quotes, trade, unique_slots=unique).count()
+
+    def read(labels, quotes):
+        return assemble.attach_labels(labels, quotes, trade, unique_slots=unique).agg(F.sum("wap_last"), F.sum("target")).collect()
+
+    assert build(index, book.unionAll(book)) == 600  # copies are harmless
+    for frames in ((index.unionAll(index), book), (index, book.unionAll(other))):
+        with pytest.raises(Exception, match="more than one label row|rows of one source differ"):
+            read(*frames)
+    picked = grid.whole_rows(book.unionAll(other), ["bid_price1", "ask_price1", "bid_size1", "ask_size1"])
+    assert [tuple(r)[3:] for r in picked.collect()] == [(10.0, 10.1, 3, 4)]
+    part = spark.createDataFrame([(1, 1, 3, None, 10.1, 3, 4)], BOOK)
+    with pytest.raises(Exception, match="rows of one source differ"):
+        read(index, book.unionAll(part))

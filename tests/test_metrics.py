@@ -93,14 +93,51 @@ def test_value_ranges_keep_order(spark):
     assert ranges == sorted(ranges)
 
 
-def test_percentiles_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(latency, "BROADCAST_ROWS", 0)
+def test_percentiles_read_the_rows_once(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("mode"), F.abs(F.randn(5)).alias("latency_ms"))
     values = {m: [r[1] for r in df.collect() if r[0] == m] for m in range(3)}
-    for row in latency.percentiles(df, ["mode"]).collect():
+    report = latency.percentiles(df, ["mode"])
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan  # what was read is combined already
+    for row in report.collect():
         assert row.p95_ms == floor_rank(values[row.mode], 0.95)
 
 
+def test_hot_values_and_null_groups_stay(spark):
+    rows = [("hot", 1.0)] * 5000 + [("hot", float(i)) for i in range(100)] + [(None, 5.0), (None, 7.0), ("none", None), ("none", None)]
+    got = {r["mode"]: r for r in latency.latency_summary(spark.createDataFrame(rows, "mode string, latency_ms double"), 1, ["mode"]).collect()}
+    assert set(got) == {"hot", None, "none"}
+    assert got["hot"].p50_ms == 1.0 and got["hot"]["count"] == 5100
+    assert got[None]["count"] == 2 and got[None].mean_ms == 6.0 and got[None].p99_ms == 5.0
+    assert got["none"]["count"] == 0 and got["none"].p50_ms is None and got["none"].mean_ms is None
+
+
+def test_missing_predictions_do_not_flatter(spark):
+    rows = [(0, math.log(2), 0.0), (0, None, 0.0), (1, float("nan"), 0.0), (1, 0.0, None)]
+    df = spark.createDataFrame(rows, "batch int, pred_log double, y_log double")
+    for call in (metrics.mspe, metrics.log_mse, metrics.eval_report, metrics.mspe_gradient, lambda d: metrics.batch_losses(d, ["batch"])):
+        with pytest.raises(Exception, match="non-finite"):
+            call(df).collect()
+    report = metrics.eval_report(df, missing="skip").first()
+    assert report.rmspe == pytest.approx(1.0, rel=1e-6) and report["count"] == 1 and report.missing == 3
+    assert metrics.mspe(df, missing="skip").first()[0] == pytest.approx(1.0, rel=1e-6)
+    batches = metrics.batch_losses(df, ["batch"], missing="skip")
+    assert sorted(r["n"] for r in batches.collect()) == [0, 1]
+    assert metrics.rmspe_from_batches(batches).first()[0] == pytest.approx(1.0, rel=1e-6)
+    slopes = [r["gradient"] for r in metrics.mspe_gradient(df, missing="skip").collect()]
+    assert slopes.count(None) == 3 and max(s for s in slopes if s) == pytest.approx(4.0, rel=1e-6)
+
+
+def test_a_missing_metric_never_wins(spark):
+    rows = [(0, None), (1, 0.5), (2, float("nan")), (3, 0.4), (4, None)]
+    epochs = spark.createDataFrame(rows, "epoch int, metric double")
+    assert metrics.best_epoch(epochs).first()["epoch"] == 3
+    flags = {r["epoch"]: r["is_best"] for r in metrics.best_so_far(epochs).collect()}
+    assert flags == {0: False, 1: True, 2: False, 3: True, 4: False}
+    steps = spark.createDataFrame([(0, None, 2), (0, float("nan"), 2), (1, 4.0, 1), (1, None, 9)], "epoch int, loss double, n long")
+    assert {r["epoch"]: r["metric"] for r in metrics.epoch_metric(steps).collect()} == {0: None, 1: 2.0}
+
+
 def test_throughput_and_settings(spark):
     df = spark.createDataFrame([("serial", 500.0), ("serial", 1500.0), ("concurrent", 250.0)], "mode string, latency_ms double")
     rows = {r["mode"]: r for r in latency.latency_report(df, 32, {"iters": 2}).collect()}

@@ -179,3 +179,38 @@ def test_synthetic_samples_repeat_and_look_normal(spark):
     assert len(np.unique(x)) > 7900
     other = requests.synthetic_samples(keys, 4, 50, seed=2)
     assert not first.exceptAll(other).isEmpty()
+
+
+@pytest.mark.parametrize("factor", [0.5, 2])
+def test_requests_need_one_answer_per_sample(spark, factor):
+    def load():
+        return lambda x: np.zeros(int(len(x) * factor), np.float32)
+
+    rows = [(f"r{i}", tensors(2, i).tolist()) for i in range(3)]
+    df = spark.createDataFrame(rows, "request_id string, x array<array<array<float>>>")
+    with pytest.raises(Exception, match="one value per sample"):
+        model.score_requests(df, load, MEAN, STD, ["request_id"], SECONDS).collect()
+
+
+def test_sanitized_scoring_clamps_and_refuses(spark):
+    x = tensors(3)
+    x[0, 0, 0], x[1, 1, 1], x[2, 2, 2] = 1e9, np.nan, -np.inf
+    scored = model.score_samples(frame(spark, x), load_mean, MEAN, STD, ["id"], SECONDS, sanitize=True)
+    scaled = (x - np.asarray(MEAN, np.float32)) / np.asarray(STD, np.float32)
+    want = np.clip(np.nan_to_num(scaled, nan=0, posinf=0, neginf=0), -10, 10).mean(axis=(1, 2))
+    got = {r["id"]: r["y_log_pred"] for r in scored.collect()}
+    assert [got[i] for i in range(3)] == pytest.approx(want.tolist(), rel=1e-5)
+
+    def broken():
+        return lambda v: np.full(len(v), np.nan, np.float32)
+
+    with pytest.raises(Exception, match="not finite"):
+        model.score_samples(frame(spark, x), broken, MEAN, STD, ["id"], SECONDS, sanitize=True).collect()
+
+
+def test_synthetic_samples_are_repeatable(spark):
+    keys = spark.range(300).select(F.col("id").alias("k"))
+    first = {r["k"]: r["x"] for r in requests.synthetic_samples(keys, 3, 4, seed=1).collect()}
+    again = {r["k"]: r["x"] for r in requests.synthetic_samples(keys.coalesce(1), 3, 4, seed=1).collect()}
+    assert first == again and len(first) == 300 and first[0] != first[1]
+    assert requests.synthetic_samples(keys.limit(0), 3, 4).count() == 0

@@ -129,3 +129,13 @@ def test_derived_paths(keys):
     row = split.derive_paths(keys.limit(1), "raw/book/", "raw/trade").first()
     assert row.book_path == f"raw/book/stock_id={row.stock_id}"
     assert row.trade_path == f"raw/trade/stock_id={row.stock_id}"
+
+
+def test_a_null_group_has_ranks_and_totals(spark):
+    df = spark.range(90).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    ranks = ordering.hash_rank(df, hash_unit([F.col("k")], 1), ["k"], group=["g"]).collect()
+    for g in (None, 1, 2):
+        assert sorted(r["rank"] for r in ranks if r["g"] == g) == list(range(30))
+    steps = spark.range(2000).select(F.lit(None).cast("int").alias("g"), F.col("id").alias("i"), F.lit(1).alias("v"))
+    totals = ordering.running_totals(steps, "i", {"before": "v"}, ["g"]).collect()
+    assert sorted(r["before"] for r in totals) == list(range(2000))

@@ -1,9 +1,10 @@
 """Summary of request timings: mean, floor-rank percentiles, throughput.
 
-Percentiles are exact order statistics, found by selection instead of sorting: counts per
-narrow value range locate the range that holds a rank, and only rows of those ranges count in
-the next pass. Equal values are combined before every shuffle, so a group that holds most
-of the rows, or a value that does, moves no more data than any other.
+Rows are combined to (group, value, count) once, with partial aggregation, so a group that
+holds most of the rows, or a value that does, moves no more data than any other. Percentiles are
+exact order statistics, found by selection instead of sorting: counts per narrow value range
+locate the range that holds a rank, and only values of those ranges count in the next pass.
+Null is a group of its own; a group without any latency has null percentiles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import EPS
 from ..session import cut_lineage
+from .ordering import same_keys
 
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 # Ranges per unit of the natural logarithm, and the offset that keeps indexes of tiny values
@@ -21,8 +23,6 @@ RESOLUTION = 2048
 LOG_OFFSET = 746
 LARGEST = 1.7e308
 SUB_RANGES = 65536
-# Hit ranges are broadcast up to this many rows (of about 100 bytes), else joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def value_range(value: Column) -> Column:
@@ -68,53 +68,50 @@ def _narrow(counts: DataFrame, parent: list[str], cell: str, names: list[str]) -
     return placed.withColumns(local).where(held).drop("_before", "_rows")
 
 
-def _hits(cells: DataFrame) -> DataFrame:
-    """The few cells that were hit, written once; broadcast if the counted rows allow it."""
-    written = cut_lineage(cells)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+def combined(timings: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
+    """``by, _value, _rows``: each distinct value of a group once, with its count.
 
+    The rows are read once, when this is called: the table is written to the checkpoint folder.
+    """
+    counts = timings.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    return cut_lineage(counts)
 
-def percentiles(
-    timings: DataFrame,
-    by: list[str],
-    value: str = "latency_ms",
-    quantiles: dict[str, float] = QUANTILES,
+
+def _within(values: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The values that lie in a hit cell, with the cell's columns."""
+    carried = [c for c in cells.columns if c not in keys]
+    joined = values.alias("values").join(cells.alias("cells"), same_keys("values", "cells", keys))
+    return joined.select("values.*", *[F.col(f"cells.{c}") for c in carried])
+
+
+def select_percentiles(
+    values: DataFrame, by: list[str], quantiles: dict[str, float] = QUANTILES
 ) -> DataFrame:
-    """One row per group: the value at each floor rank.
+    """One row per group of ``combined`` values: the value at each floor rank.
 
-    Three narrowing passes over the rows: fixed ranges, parts of the hit ranges, values of the
-    hit parts. Each pass is a partial count, so what is shuffled are counts; a pass after the
-    first only looks at rows of ranges that were hit, at most one per group and quantile. The
-    first two passes run when this is called.
+    Three narrowing steps: fixed ranges, parts of the hit ranges, values of the hit parts. At
+    most one range per group and quantile is looked at again.
     """
     ranks = {_rank_name(q): p for q, p in quantiles.items()}
-    rows = timings.where(F.col(value).isNotNull()).select(
-        *by, F.col(value).alias("_value"), value_range(F.col(value)).alias("_range")
-    )
-    total = F.count(F.lit(1)).alias("_rows")
+    rows = values.where(F.col("_value").isNotNull()).withColumn("_range", value_range(F.col("_value")))
+    total = F.sum("_rows").alias("_rows")
     bounds = [F.min("_value").alias("_low"), F.max("_value").alias("_high")]
 
     counts = rows.groupBy(*by, "_range").agg(total, *bounds)
     n = F.sum("_rows").over(Window.partitionBy(*by))
     wanted = counts.withColumns({r: floor_rank(n, p) for r, p in ranks.items()})
-    in_range = _hits(_narrow(wanted, by, "_range", list(ranks)))
+    in_range = _narrow(wanted, by, "_range", list(ranks))
 
     range_key = [*by, "_range", "_low", "_high", *ranks]
-    parts = rows.join(in_range, [*by, "_range"]).withColumn("_part", _part_index())
+    parts = _within(rows, in_range, [*by, "_range"]).withColumn("_part", _part_index())
     part_counts = parts.groupBy(*range_key, "_part").agg(total)
-    in_part = _hits(
-        _narrow(part_counts, range_key[: -len(ranks)], "_part", list(ranks)).withColumnRenamed(
-            "_part", "_hit"
-        )
-    )
+    in_part = _narrow(part_counts, range_key[: -len(ranks)], "_part", list(ranks))
 
-    values = (
-        rows.join(in_part, [*by, "_range"])
-        .where(_part_index() == F.col("_hit"))
-        .groupBy(*range_key, "_hit", "_value")
-        .agg(total)
+    hit = _within(rows, in_part, [*by, "_range"]).where(_part_index() == F.col("_part"))
+    found = _narrow(
+        hit.groupBy(*range_key, "_part", "_value").agg(total),
+        [*range_key[: -len(ranks)], "_part"], "_value", list(ranks),
     )
-    found = _narrow(values, [*range_key[: -len(ranks)], "_hit"], "_value", list(ranks))
     picks = [
         F.max(F.when(F.col(_rank_name(q)).isNotNull(), F.col("_value"))).alias(q)
         for q in quantiles
@@ -122,6 +119,19 @@ def percentiles(
     return found.groupBy(*by).agg(*picks)
 
 
+def percentiles(
+    timings: DataFrame,
+    by: list[str],
+    value: str = "latency_ms",
+    quantiles: dict[str, float] = QUANTILES,
+) -> DataFrame:
+    """One row per group that has a latency: the value at each floor rank.
+
+    Calling this reads and combines the rows (see ``combined``).
+    """
+    return select_percentiles(combined(timings, by, value), by, quantiles)
+
+
 def latency_summary(
     timings: DataFrame,
     batch_size: int,
@@ -130,21 +140,25 @@ def latency_summary(
 ) -> DataFrame:
     """Mean, percentiles, count, busy seconds and samples per busy second, per group.
 
-    Without ``by`` all timings form one group.
+    Without ``by`` all timings form one group. Calling this reads and combines the rows.
     """
     grouped = timings if by else timings.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
-    measured = F.col(value)
-    totals = grouped.groupBy(*keys).agg(
-        F.avg(measured).alias("mean_ms"),
-        F.count(measured).alias("count"),
-        (F.sum(measured) / 1000).alias("total_s"),
+    values = combined(grouped, keys, value)
+    busy = F.sum(F.col("_value") * F.col("_rows"))
+    count = F.coalesce(F.sum(F.when(F.col("_value").isNotNull(), F.col("_rows"))), F.lit(0))
+    totals = values.groupBy(*keys).agg(
+        F.try_divide(busy, count).alias("mean_ms"), count.alias("count"), (busy / 1000).alias("total_s")
+    )
+    picked = select_percentiles(values, keys)
+    joined = totals.alias("totals").join(
+        picked.alias("picked"), same_keys("totals", "picked", keys), "left"
     )
     rate = F.col("count") * batch_size / F.greatest(F.col("total_s"), F.lit(EPS))
-    summary = totals.join(percentiles(grouped, keys, value), keys).select(
-        *(by or []), "mean_ms", *QUANTILES, "count", "total_s", rate.alias("throughput_qps")
+    return joined.select(
+        *[F.col(f"totals.{k}") for k in by or []],
+        "mean_ms", *QUANTILES, "count", "total_s", rate.alias("throughput_qps"),
     )
-    return summary
 
 
 def latency_report(

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses
+from ..functions.scalars import as_column, nan_to_null
 from ..schemas import BUCKET_KEY, LOG_INTERVAL
 from ..session import cut_lineage
 from .ordering import running_totals
+from .quality import require_finite
+
+
+def observed(df: DataFrame, pred_log: str, y_log: str, missing: str) -> DataFrame:
+    """Prediction rows as metrics take them.
+
+    ``missing="error"`` fails the job on a null, NaN or infinite prediction or label, so that no
+    report hides one. ``missing="skip"`` nulls both sides of such a pair: it counts nowhere.
+    """
+    if missing == "error":
+        return require_finite(df, [pred_log, y_log])
+    if missing != "skip":
+        raise ValueError(f"unknown treatment of missing values: {missing}")
+    good = F.lit(True)
+    for c in (pred_log, y_log):
+        v = as_column(c).cast("double")
+        good = good & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return df.withColumns({c: F.when(good, F.col(c)) for c in (pred_log, y_log)})
+
+
+def _pairs(pred_log: str, y_log: str) -> Column:
+    """Aggregate: number of pairs with both sides."""
+    return F.count(as_column(pred_log) + as_column(y_log))
 
 
 def join_truth(
@@ -18,36 +42,50 @@ def join_truth(
     return predictions.join(labels, keys)
 
 
-def mspe(df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log") -> DataFrame:
-    return df.agg(losses.mspe_from_log(pred_log, y_log).alias("mspe"))
+def mspe(
+    df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log", missing: str = "error"
+) -> DataFrame:
+    rows = observed(df, pred_log, y_log, missing)
+    return rows.agg(losses.mspe_from_log(pred_log, y_log).alias("mspe"))
 
 
-def log_mse(df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log") -> DataFrame:
-    return df.agg(losses.log_mse(pred_log, y_log).alias("log_mse"))
+def log_mse(
+    df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log", missing: str = "error"
+) -> DataFrame:
+    rows = observed(df, pred_log, y_log, missing)
+    return rows.agg(losses.log_mse(pred_log, y_log).alias("log_mse"))
 
 
 def batch_losses(
-    df: DataFrame, batch: list[str], pred_log: str = "pred_log", y_log: str = "y_log"
+    df: DataFrame,
+    batch: list[str],
+    pred_log: str = "pred_log",
+    y_log: str = "y_log",
+    missing: str = "error",
 ) -> DataFrame:
-    """Loss and size of each batch."""
-    return df.groupBy(*batch).agg(
-        losses.mspe_from_log(pred_log, y_log).alias("loss"), F.count(F.lit(1)).alias("n")
+    """Loss and size of each batch; the size counts pairs that the loss is a mean of."""
+    rows = observed(df, pred_log, y_log, missing)
+    return rows.groupBy(*batch).agg(
+        losses.mspe_from_log(pred_log, y_log).alias("loss"), _pairs(pred_log, y_log).alias("n")
     )
 
 
 def _weighted_root(batches: DataFrame, by: list[str], name: str) -> DataFrame:
-    loss = F.sum(F.col("loss") * F.col("n"))
-    n = F.coalesce(F.sum("n"), F.lit(0))
-    return batches.groupBy(*by).agg(losses.root_mean(loss, n).alias(name))
+    """Root of the weighted mean loss: 0.0 without batches, null if none has a loss."""
+    loss = nan_to_null(F.col("loss"))
+    counted = F.when(loss.isNotNull(), F.col("n"))
+    root = losses.root_mean(F.sum(loss * counted), F.coalesce(F.sum(counted), F.lit(0)))
+    lost = (F.count(F.lit(1)) > 0) & (F.coalesce(F.sum(counted), F.lit(0)) == 0)
+    return batches.groupBy(*by).agg(F.when(~lost, root).alias(name))
 
 
 def rmspe_from_batches(batches: DataFrame) -> DataFrame:
-    """Root of the size-weighted mean of batch losses; 0.0 if there are none."""
+    """Root of the size-weighted mean of batch losses; 0.0 if there are no batches."""
     return _weighted_root(batches, [], "rmspe")
 
 
 def epoch_metric(steps: DataFrame) -> DataFrame:
-    """The same per epoch."""
+    """The same per epoch; null for an epoch without any loss."""
     return _weighted_root(steps, ["epoch"], "metric")
 
 
@@ -56,22 +94,35 @@ def eval_report(
     by: list[str] | None = None,
     pred_log: str = "pred_log",
     y_log: str = "y_log",
+    missing: str = "error",
 ) -> DataFrame:
-    """RMSE and RMSPE on the real scale, and the row count; per group if ``by`` is given."""
-    n = F.count(F.lit(1))
-    return df.groupBy(*(by or [])).agg(
+    """RMSE and RMSPE on the real scale, and the row count; per group if ``by`` is given.
+
+    With ``missing="skip"`` the errors are means over the pairs that have both sides, ``count``
+    counts these, and ``missing`` the others.
+    """
+    rows = observed(df, pred_log, y_log, missing)
+    n = _pairs(pred_log, y_log)
+    skipped = [(F.count(F.lit(1)) - n).alias("missing")] if missing == "skip" else []
+    return rows.groupBy(*(by or [])).agg(
         losses.root_mean(F.sum(losses.squared_error(pred_log, y_log)), n).alias("rmse"),
         losses.root_mean(F.sum(losses.squared_percentage_error(pred_log, y_log)), n).alias("rmspe"),
         n.alias("count"),
+        *skipped,
     )
 
 
 def mspe_gradient(
-    df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log", name: str = "gradient"
+    df: DataFrame,
+    pred_log: str = "pred_log",
+    y_log: str = "y_log",
+    name: str = "gradient",
+    missing: str = "error",
 ) -> DataFrame:
-    """Add the gradient of the batch loss by each row's log prediction."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    return df.withColumn(name, losses.mspe_gradient(pred_log, y_log, n))
+    """Add the gradient of the batch loss by each row's log prediction; null for skipped pairs."""
+    rows = observed(df, pred_log, y_log, missing)
+    n = rows.agg(_pairs(pred_log, y_log)).scalar()
+    return rows.withColumn(name, losses.mspe_gradient(pred_log, y_log, n))
 
 
 def running_metric(steps: DataFrame, interval: int = LOG_INTERVAL) -> DataFrame:
@@ -104,15 +155,15 @@ def running_metric(steps: DataFrame, interval: int = LOG_INTERVAL) -> DataFrame:
 def best_so_far(epochs: DataFrame, metric: str = "metric", run: list[str] = []) -> DataFrame:
     """Add ``is_best``: strictly below every earlier epoch, so the first of a tie wins.
 
-    One row per epoch of a run; a training run has few of them.
+    A null or NaN metric is never best. One row per epoch of a run; a training run has few.
     """
     by_run = Window.partitionBy(*run) if run else Window.partitionBy(F.lit(0))
     earlier = by_run.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return epochs.withColumn(
-        "is_best", F.coalesce(F.col(metric) < F.min(metric).over(earlier), F.lit(True))
-    )
+    value = nan_to_null(F.col(metric))
+    below = F.coalesce(value < F.min(value).over(earlier), F.lit(True))
+    return epochs.withColumn("is_best", value.isNotNull() & below)
 
 
 def best_epoch(epochs: DataFrame, metric: str = "metric", tie: str = "epoch") -> DataFrame:
-    """The row with the lowest metric, the earliest on a tie."""
-    return epochs.orderBy(metric, tie).limit(1)
+    """The row with the lowest metric, the earliest on a tie; null and NaN come last."""
+    return epochs.orderBy(F.asc_nulls_last(nan_to_null(F.col(metric))), tie).limit(1)

@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exp_label, safe_exp
+from ..functions.scalars import INPUT_BOUND_NORMALIZED, exp_label, safe_exp
 from ..schemas import BUCKET_SECONDS, EPS, STD_EPS
 
 Predictor = Callable[[np.ndarray], np.ndarray]
@@ -79,6 +79,7 @@ def _batch_scorer(
     std: list[float],
     seconds: int,
     keep: list[str],
+    clean: float | None = None,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Arrow-batch function: flat value buffers become [B, seconds, F] arrays, no per-row work.
 
@@ -103,9 +104,13 @@ def _batch_scorer(
                     raise ValueError(f"samples must have shape [{seconds}, {width}]")
                 flat = values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
                 block = (flat.reshape(len(x), seconds, width) - center) / scale
+                if clean is not None:
+                    block = np.clip(np.nan_to_num(block, nan=0.0, posinf=0.0, neginf=0.0), -clean, clean)
                 y_log = np.asarray(predict(block), dtype=np.float32).reshape(-1)
                 if len(y_log) != len(x):
                     raise ValueError("the model must return one value per sample")
+                if clean is not None and not np.isfinite(y_log).all():
+                    raise ValueError("the model returned a prediction that is not finite")
                 columns = [piece.column(piece.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(y_log, pa.float32())], [*keep, "y_log_pred"]
@@ -121,17 +126,21 @@ def score_samples(
     std: list[float],
     keep: list[str],
     seconds: int = BUCKET_SECONDS,
+    sanitize: bool = False,
 ) -> DataFrame:
     """Add ``y_log_pred`` from any model over ``x``; works on batch and streaming frames.
 
     ``load`` runs once per task on the executor and returns a function from a normalized
-    float32 array [B, seconds, F] to B log predictions. Missing values reach it as NaN. Only
-    ``keep`` and ``x`` are sent to Python.
+    float32 array [B, seconds, F] to B log predictions. Missing values reach it as NaN, or, with
+    ``sanitize``, as 0: values that are not finite become 0, the others are clamped, and a
+    prediction that is not finite fails the job. That is for evaluation, where nothing may be
+    papered over. Only ``keep`` and ``x`` are sent to Python.
     """
     narrow = samples.select(*keep, F.col("x").cast("array<array<float>>").alias("x"))
     fields = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, y_log_pred float" if keep else "y_log_pred float"
-    return narrow.mapInArrow(_batch_scorer(load, mean, std, seconds, keep), schema)
+    clean = INPUT_BOUND_NORMALIZED if sanitize else None
+    return narrow.mapInArrow(_batch_scorer(load, mean, std, seconds, keep, clean), schema)
 
 
 def sane_predictions(scored: DataFrame, output: str = "real") -> DataFrame:
@@ -161,13 +170,16 @@ def _request_scorer(
             sizes = np.asarray(x.value_lengths().fill_null(0))
             flat = x.flatten().flatten().flatten().to_numpy(zero_copy_only=False)
             block = flat.astype(np.float32, copy=False).reshape(-1, seconds, len(center))
-            parts = [
-                np.asarray(predict((block[i : i + limit] - center) / scale), dtype=np.float64)
-                for i in range(0, len(block), limit)
-            ]
-            y_log = np.concatenate([p.reshape(-1) for p in parts]) if parts else np.zeros(0)
+            parts = []
+            for i in range(0, len(block), limit):
+                piece = (block[i : i + limit] - center) / scale
+                part = np.asarray(predict(piece), dtype=np.float32).reshape(-1)
+                if len(part) != len(piece):
+                    raise ValueError("the model must return one value per sample")
+                parts.append(part)
+            y_log = np.concatenate(parts) if parts else np.zeros(0, dtype=np.float32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            answers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(y_log, pa.float64()))
+            answers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(y_log.astype(np.float64)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, answers], [*keep, "y_log"])
 

@@ -50,12 +50,21 @@ def running_totals(
             for name, v in values.items()
         ],
     )
-    return local.join(bases, chunk).select(
-        *[F.col(c) for c in df.columns],
+    joined = local.alias("rows").join(bases.alias("bases"), same_keys("rows", "bases", chunk))
+    return joined.select(
+        *[F.col(f"rows.{c}") for c in df.columns],
         *[(F.col(f"_base_{n}") + F.col(f"_local_{n}")).alias(n) for n in values],
     )
 
 
+def same_keys(left: str, right: str, keys: list[str]) -> Column:
+    """Equal keys, null being a value of its own, for frames under these aliases."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return same
+
+
 def _window(group: list[str]) -> WindowSpec:
     # Without a group there is one row per interval (64 per partition) or per 1,024 indexes.
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
@@ -66,6 +75,9 @@ def hash_rank(
 ) -> DataFrame:
     """Add the 0-based rank by (``unit``, ``tie_break``), per group; ``unit`` is in [0, 1).
 
+    Null is a group of its own. Meant for groups of many rows: with groups of fewer rows than
+    there are intervals, the counts are about as many as the rows.
+
     ``tie_break`` has to identify a row within its group. A group of any size is spread over
     all partitions, and only the counts of the intervals are brought together. The number of
     intervals follows the shuffle setting and does not change the ranks.
@@ -85,8 +97,9 @@ def hash_rank(
     numbered = rows.withColumn("_local", F.row_number().over(within) - 1)
     # The numbered rows keep their partitioning in this join; only the counts move. Every part
     # has a start: the left join merely spares a null filter on the hash.
-    return numbered.join(starts, part, "left").select(
-        *[F.col(c) for c in df.columns],
+    joined = numbered.alias("rows").join(starts.alias("starts"), same_keys("rows", "starts", part), "left")
+    return joined.select(
+        *[F.col(f"rows.{c}") for c in df.columns],
         (F.col("_start") + F.col("_local")).alias(name),
     )
 

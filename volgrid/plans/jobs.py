@@ -159,15 +159,30 @@ def score_job(
     load: Callable[[], model.Predictor],
     out: str,
     output: str = "real",
+    sanitize: bool = False,
 ) -> None:
-    """Predictions of every stored sample, with the statistics of a manifest."""
+    """Predictions of every stored sample, with the statistics of a manifest.
+
+    With ``sanitize``, inputs are made finite and clamped, and a label or prediction that is not
+    finite fails the job: predictions for ``report_job``.
+    """
     norm = tables.manifest_stats(tables.read_manifest(spark, manifest_path)).first()
     samples = tables.read_samples(spark, samples_path)
     keep = [*BUCKET_KEY, "split", "y_log"]
-    scored = model.score_samples(samples, load, norm["mean"], norm["std"], keep)
+    if sanitize:
+        samples = quality.require_finite(samples, ["y_log"])
+    scored = model.score_samples(samples, load, norm["mean"], norm["std"], keep, sanitize=sanitize)
     model.sane_predictions(scored, output).write.parquet(out)
 
 
+def report_job(
+    spark: SparkSession, predictions_path: str, split_name: str = "eval", by: list[str] | None = None
+) -> DataFrame:
+    """Report on stored predictions of any model (``split, y_log, y_log_pred``)."""
+    scored = spark.read.parquet(predictions_path).where(F.col("split") == split_name)
+    return metrics.eval_report(scored, by, pred_log="y_log_pred")
+
+
 def serve_job(
     spark: SparkSession,
     requests_path: str,
@@ -222,14 +237,17 @@ def _arguments() -> argparse.Namespace:
     )
     build.add_argument("--features", nargs="+", choices=FEATURES, default=FEATURES, metavar="NAME")
 
-    fit = stages.add_parser("evaluate", help="fit, choose by validation and evaluate")
-    fit.add_argument("--built", required=True)
+    fit = stages.add_parser("evaluate", help="fit, choose by validation and evaluate, or report on predictions")
+    what = fit.add_mutually_exclusive_group(required=True)
+    what.add_argument("--built")
+    what.add_argument("--predictions", help="output of score, of a model of any kind")
     fit.add_argument("--loss", choices=sorted(FITS), default="log_mse")
     fit.add_argument("--out", required=True)
 
     score = stages.add_parser("score", help="score stored samples")
     score.add_argument("--samples", required=True)
     score.add_argument("--output", choices=["real", "log"], default="real")
+    score.add_argument("--sanitize", action="store_true", help="clean inputs, fail on non-finite values")
     serve = stages.add_parser("serve", help="answer JSON requests as a stream")
     serve.add_argument("--requests", required=True)
     serve.add_argument("--progress", required=True, help="checkpoint folder of the stream")
@@ -243,6 +261,9 @@ def _arguments() -> argparse.Namespace:
     timing.add_argument("--timings", required=True)
     timing.add_argument("--out", required=True)
     timing.add_argument("--batch-size", type=int, default=32)
+    timing.add_argument(
+        "--config", nargs="*", default=[], metavar="NAME=VALUE", help="further load settings to echo"
+    )
     return parser.parse_args()
 
 
@@ -264,13 +285,15 @@ def main() -> None:
             not args.copies,
             args.features,
         )
+    elif args.stage == "evaluate" and args.predictions:
+        tables.write_json(report_job(spark, args.predictions), f"{args.out}/report")
     elif args.stage == "evaluate":
         trained, report = train_eval_job(spark, args.built, args.loss)
         tables.write_json(report, f"{args.out}/report")
         tables.write_json(trained.epochs, f"{args.out}/epochs")
     elif args.stage == "score":
         load = _named(args.predictor)
-        score_job(spark, args.samples, args.manifest, load, args.out, args.output)
+        score_job(spark, args.samples, args.manifest, load, args.out, args.output, args.sanitize)
     elif args.stage == "serve":
         serve_job(
             spark,
@@ -282,7 +305,8 @@ def main() -> None:
             args.until_done,
         )
     else:
-        latency_job(spark, args.timings, args.out, args.batch_size, {"batch_size": args.batch_size})
+        config = {"batch_size": args.batch_size, **dict(c.split("=", 1) for c in args.config)}
+        latency_job(spark, args.timings, args.out, args.batch_size, config)
 
 
 if __name__ == "__main__":

@@ -259,6 +259,9 @@ def normalized(split: str) -> str:
 SELECT {SLOT}, {scaled} FROM tagged, norm WHERE split = '{split}'"""
 
 
+SQL["synthetic_samples"] = f"""{RAW}
+SELECT stock_id, time_id, 8400::BIGINT AS cells, true AS centred, true AS scaled, true AS repeatable
+FROM buckets"""
 SQL["normalize"] = normalized("train")
 SQL["normalize_eval_split"] = normalized("eval")
 
@@ -307,6 +310,11 @@ REPORT = f"""{r("sqrt(avg(diff * diff))", 4, "rmse")}, {r("sqrt(avg(rel * rel))"
   count(*) AS count"""
 SQL["eval_report"] = f"{PREDICTIONS} SELECT {REPORT} FROM errors"
 SQL["eval_by_group"] = f"{PREDICTIONS} SELECT l_returnflag, {REPORT} FROM errors GROUP BY l_returnflag"
+SQL["eval_report_missing"] = f"""{PREDICTIONS},
+kept AS (SELECT * FROM errors WHERE l_partkey % 3 <> 0),
+report AS (SELECT l_returnflag, {REPORT} FROM kept GROUP BY l_returnflag),
+every AS (SELECT l_returnflag, count(*) AS n FROM errors GROUP BY l_returnflag)
+SELECT l_returnflag, rmse, rmspe, count, n - count AS missing FROM report JOIN every USING (l_returnflag)"""
 SQL["mspe_gradient"] = f"""{PREDICTIONS}
 SELECT {KEY}, {r('''2 * diff / (exp(y_log) * exp(y_log) * (SELECT count(*) FROM predictions))
   * (exp(pred_log) - 1e-8::DOUBLE)''', 10, "gradient")} FROM errors"""
@@ -427,3 +435,17 @@ SELECT split, num_shards, 64::BIGINT AS shard_size,
   CASE WHEN split = 'train' THEN (SELECT count(*) FROM built_train) ELSE 0 END::BIGINT AS count_seconds,
   'train' AS source, feature, {rs("mean, std", 3)}
 FROM shards, norm"""
+
+CLEAN = " + ".join(
+    f"greatest(-10, least(10, coalesce(({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE), 0)))" for c in FEATURES
+)
+MOMENTS = ", ".join(f"avg({c}::DOUBLE) AS mean_{c}, {STD.format(c=c)} AS std_{c}" for c in FEATURES)
+SQL["score_eval_report"] = f"""{BUILT_FEATURES},
+norm AS MATERIALIZED (SELECT {MOMENTS} FROM built_train),
+scored AS (
+  SELECT stock_id, time_id, exp(avg(({CLEAN}) / {len(FEATURES)})) - 1e-8::DOUBLE AS p
+  FROM built, norm WHERE split = 'eval' GROUP BY ALL),
+pairs AS (SELECT p, target AS y FROM scored JOIN placed USING (stock_id, time_id))
+SELECT {r("sqrt(avg((p - y) * (p - y)))", 3, "rmse")},
+  {r("sqrt(avg((p - y) / (y + 1e-8::DOUBLE) * ((p - y) / (y + 1e-8::DOUBLE))))", 3, "rmspe")},
+  count(*) AS count FROM pairs"""

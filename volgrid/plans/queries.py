@@ -172,13 +172,25 @@ def score_json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def synthetic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark input for every bucket of the market: moments of its standard normal values."""
-    samples = requests.synthetic_samples(fixtures.buckets(spark, sf_dir), len(FEATURES))
-    cells = samples.select(*BUCKET_KEY, F.explode(F.flatten("x")).alias("v"))
-    moments = cells.groupBy(*BUCKET_KEY).agg(
-        F.count("v").alias("cells"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
+    """Benchmark input for every bucket of the market: whether its values are standard normal,
+    within five deviations of mean and spread, and the same when made again."""
+    buckets = fixtures.buckets(spark, sf_dir)
+    samples = requests.synthetic_samples(buckets, len(FEATURES))
+    again = requests.synthetic_samples(buckets.coalesce(1), len(FEATURES))
+    cells = F.flatten("x")
+    n = F.size(cells)
+    total = F.aggregate(cells, F.lit(0.0), lambda s, v: s + v)
+    squares = F.aggregate(cells, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    moments = samples.select(
+        *BUCKET_KEY,
+        n.cast("long").alias("cells"),
+        (F.abs(total / n) < 5 / F.sqrt(n)).alias("centred"),
+        (F.abs(squares / n - 1) < 5 * F.sqrt(2 / n)).alias("scaled"),
+        F.xxhash64("x").alias("_made"),
     )
-    return rounded(moments)
+    repeated = again.select(*BUCKET_KEY, F.xxhash64("x").alias("_again"))
+    same = (F.col("_made") == F.col("_again")).alias("repeatable")
+    return moments.join(repeated, BUCKET_KEY).select(*BUCKET_KEY, "cells", "centred", "scaled", same)
 
 
 # --- split -------------------------------------------------------------------------------
@@ -354,8 +366,16 @@ def norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalized(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    norm = stats.fit_norm(_split_features(spark, sf_dir, "train"))
-    scaled = stats.apply_norm(_split_features(spark, sf_dir, split), norm)
+    """Fitted and applied on stored features, so that each split's are computed once."""
+
+    def stored(name: str) -> DataFrame:
+        path = scratch_path(spark, "features")
+        _split_features(spark, sf_dir, name).write.parquet(path)
+        return spark.read.parquet(path)
+
+    train = stored("train")
+    wanted = train if split == "train" else stored(split)
+    scaled = stats.apply_norm(wanted, stats.fit_norm(train))
     return rounded(scaled.select(*SLOT_KEY, *FEATURES), 5)
 
 
@@ -605,6 +625,28 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{out}/table"), 3)
 
 
+@query
+def score_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored samples scored by a model of one's own and reported on, through the jobs."""
+    built = _built(spark, sf_dir)
+    out = scratch_path(spark, "predictions")
+    jobs.score_job(
+        spark, f"{built}/samples", f"{built}/manifest/train", _mean_model(), out, "log", sanitize=True
+    )
+    return rounded(jobs.report_job(spark, out), 3)
+
+
+@query
+def eval_report_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report on predictions of which a third are missing: means over the others, and how many."""
+    rows = fixtures.predictions(spark, sf_dir)
+    kept = F.when(F.col("l_partkey") % 3 != 0, F.col("pred_log"))
+    report = metrics.eval_report(
+        rows.withColumn("pred_log", kept), ["l_returnflag"], missing="skip"
+    )
+    return rounded(report, 4)
+
+
 @query
 def train_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, features, statistics, fits, choice and report, for both losses."""

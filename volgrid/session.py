@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -15,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.replaceHashWithSortAgg": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Checkpoints go when nothing reads them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,6 +34,11 @@ def build_session(app: str = "volgrid", master: str | None = None, **settings: s
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="volgrid-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a written intermediate table.
 
@@ -39,9 +48,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        root = spark.sparkContext.getCheckpointDir()  # set on the context instead
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="volgrid-")
+        root = _local_root()
     return f"{root.rstrip('/')}/volgrid/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BUCKET_SECONDS, REQUEST_BODY
 
-TWO_63 = float(2**63)
+#: Matrices per Arrow batch that the generator returns: 600 x 14 floats each, so about 9 MB.
+MATRICES_AT_ONCE = 256
 
 
 def parse_json_requests(df: DataFrame, body: str = "body") -> DataFrame:
@@ -25,14 +30,27 @@ def encode_json_responses(answers: DataFrame) -> DataFrame:
     return answers.withColumn("response", text).drop("y", "error")
 
 
-def _standard_normal(*parts: Column) -> Column:
-    """Standard normal number that follows from the parts alone, so retries agree."""
-
-    def uniform(stream: int) -> Column:
-        return F.abs(F.xxhash64(F.lit(stream), *parts) / F.lit(TWO_63))
+def _normal_matrices(seconds: int, features: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = MATRICES_AT_ONCE
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                piece = batch.slice(start, rows)
+                keys = piece.column(piece.schema.get_field_index("_key")).to_numpy().view(np.uint64)
+                cells = np.empty((len(keys), seconds * features), dtype=np.float32)
+                for i, key in enumerate(keys):
+                    random = np.random.Generator(np.random.Philox(key=[key, np.uint64(seed)]))
+                    random.standard_normal(out=cells[i], dtype=np.float32)
+                lines = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), features)
+                lines = lines.cast(pa.list_(pa.float32()))
+                ends = np.arange(0, len(keys) * seconds + 1, seconds, dtype=np.int32)
+                x = pa.ListArray.from_arrays(pa.array(ends), lines)
+                names = [n for n in piece.schema.names if n != "_key"]
+                yield pa.RecordBatch.from_arrays(
+                    [*[piece.column(piece.schema.get_field_index(n)) for n in names], x], [*names, "x"]
+                )
 
-    radius = F.sqrt(F.lit(-2.0) * F.ln(F.greatest(uniform(1), F.lit(1e-300))))
-    return radius * F.cos(F.lit(2 * 3.141592653589793) * uniform(2))
+    return run
 
 
 def synthetic_samples(
@@ -40,15 +58,12 @@ def synthetic_samples(
 ) -> DataFrame:
     """One ``x`` of standard normal values, [seconds, features], per row of ``keys``.
 
-    A short key becomes thousands of values, so the keys are spread over all partitions first.
+    Values come from a counter-based generator keyed by the row, so that a repeated task makes
+    the same ones. A short key becomes thousands of values: keys are spread over all partitions.
     """
     partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key_columns = [F.col(c) for c in keys.columns]
-    row = F.sequence(F.lit(0), F.lit(features - 1))
-    matrix = F.transform(
-        F.sequence(F.lit(0), F.lit(seconds - 1)),
-        lambda s: F.transform(
-            row, lambda f: _standard_normal(F.lit(seed), *key_columns, s, f).cast("float")
-        ),
+    keyed = keys.repartition(partitions, *keys.columns).withColumn("_key", F.xxhash64(*keys.columns))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
+    return keyed.mapInArrow(
+        _normal_matrices(seconds, features, seed), f"{fields}, x array<array<float>>"
     )
-    return keys.repartition(partitions, *key_columns).withColumn("x", matrix)
