@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +20,30 @@ from ..session import scratch_path
 BATCH_CHARS = 4_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in tasks, once per application.
+
+    Needed only where neither the path of the workers nor their folder leads to it: the package
+    is then sent along as an archive.
+    """
+    root = Path(__file__).resolve().parents[2]
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or root in [Path(p).resolve() for p in paths if p]:
+        return
+    archive = Path(tempfile.mkdtemp()) / "volgrid-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "volgrid").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
