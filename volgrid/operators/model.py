@@ -173,13 +173,13 @@ def _request_scorer(
             parts = []
             for i in range(0, len(block), limit):
                 piece = (block[i : i + limit] - center) / scale
-                part = np.asarray(predict(piece), dtype=np.float32).reshape(-1)
+                part = np.asarray(predict(piece), dtype=np.float64).reshape(-1)
                 if len(part) != len(piece):
                     raise ValueError("the model must return one value per sample")
                 parts.append(part)
-            y_log = np.concatenate(parts) if parts else np.zeros(0, dtype=np.float32)
+            y_log = np.concatenate(parts) if parts else np.zeros(0)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            answers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(y_log.astype(np.float64)))
+            answers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(y_log, pa.float64()))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, answers], [*keep, "y_log"])
 
