@@ -75,4 +75,55 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_token_counts": op10_token_counts,
 }
+# The others need checksums, tokenizers, fitted models or repeated marking, which SQL lacks.
 SQL: dict[str, str] = {}
+WORDS_SQL = r"""regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"""
+SQL["op7_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {WORDS_SQL.format("t")} AS ws FROM d),
+windows AS (
+  SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 7)),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+covered AS (
+  SELECT rid, count(DISTINCT p) AS c FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words,
+    length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(c, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (rid)),
+bits AS (
+  SELECT * EXCLUDE (lines), (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    len(lines)::BIGINT AS n_lines FROM m),
+ledger AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * word_chars THEN 4 ELSE 0 END
+    + CASE WHEN 10 * n_dup_lines > 6 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN word_chars < n_words + n_words // 5 THEN 32 ELSE 0 END)::BIGINT AS failed FROM bits)
+SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept, 3::INTEGER AS policy FROM ledger"""
+
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op9_minhash"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(LOWER_SQL)} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes AS p ON x = p.doc_id JOIN sizes AS q ON y = q.doc_id
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (
+  SELECT x, y FROM links
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+roots AS (SELECT x AS doc_id, least(x, min(y)) AS root FROM reach GROUP BY x)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+  coalesce(root, documents.doc_id) AS component_id, coalesce(root, documents.doc_id) = documents.doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)"""
