@@ -98,11 +98,13 @@ def entries(
         "bucket_features": lambda: features.bucket_features(*market),
         "bucket_features_unique": lambda: features.bucket_features(*market, unique_slots=True),
         "build_samples": lambda: assemble.build_samples(*market, unique_slots=True),
+        "build_samples_copies": lambda: assemble.build_samples(*market),
         "norm_stats": lambda: stats.fit_norm(assemble.tensor_rows(t["samples"])),
         "hash_split": lambda: split.assign_split(orders),
         "shard_assign": lambda: ordering.assign_shards(orders),
         "batch_assign": lambda: ordering.assign_batches(
-            ordering.assign_shards(orders).drop("target", "pos")
+            ordering.assign_shards(orders).drop("target", "pos"),
+            shards=ordering.exact_shards(orders),
         ),
         "eval_report": lambda: metrics.eval_report(predictions, ["l_returnflag"]),
         "mspe_gradient": lambda: metrics.mspe_gradient(predictions),

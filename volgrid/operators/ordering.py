@@ -128,6 +128,17 @@ def shard_table(samples: DataFrame) -> DataFrame:
     return samples.groupBy("shard_id").agg(F.count(F.lit(1)).alias("samples"))
 
 
+def exact_shards(index: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """The shard table of ``assign_shards(index, shard_size)``, from the row count alone.
+
+    Calling this counts the rows of ``index``; they are not ranked.
+    """
+    rows = index.count()
+    left = F.least(F.lit(shard_size), F.lit(rows) - F.col("id") * shard_size)
+    shards = index.sparkSession.range(-(-rows // shard_size))
+    return shards.select(F.col("id").alias("shard_id"), left.cast("long").alias("samples"))
+
+
 def shuffle_shards(shards: DataFrame, seed: int = SHUFFLE_SEED, epoch: int = 0) -> DataFrame:
     """Add ``shard_pos``: one seeded permutation of the shards, shared by all consumers."""
     unit = hash_unit([F.lit(epoch), F.col("shard_id")], seed)
@@ -157,16 +168,19 @@ def assign_batches(
     keys: list[str] = BUCKET_KEY,
     seed: int = SHUFFLE_SEED,
     epoch: int = 0,
+    shards: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``consumer`` and ``batch``: each consumer reads its shards in shuffled order.
 
     A sample's place in its consumer's stream is the size of the shards read before its own
-    plus its place in the shard, so samples are never sorted across shards. The shard table
-    (one row per shard) is written once, as its order and totals read it several times.
+    plus its place in the shard, so samples are never sorted across shards. ``shards`` is the
+    shard table (one row per shard), if it is known (see ``exact_shards``); else calling this
+    counts the samples of each shard and writes the table, as its order and totals read it
+    several times.
     """
-    sizes = cut_lineage(shard_table(samples))
-    shards = slice_consumers(shuffle_shards(sizes, seed, epoch), consumers)
-    starts = running_totals(shards, "shard_pos", {"_before": "samples"})
+    sizes = cut_lineage(shard_table(samples)) if shards is None else shards
+    ordered = slice_consumers(shuffle_shards(sizes, seed, epoch), consumers)
+    starts = running_totals(ordered, "shard_pos", {"_before": "samples"})
     # Samples read by earlier consumers come off again: what is left counts from 0.
     firsts = starts.groupBy("consumer").agg(F.min("_before").alias("_first"))
     offsets = starts.join(firsts, "consumer").select(

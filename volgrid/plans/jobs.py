@@ -231,9 +231,10 @@ def _arguments() -> argparse.Namespace:
     build.add_argument("--out", required=True)
     build.add_argument("--shard-size", type=int, default=SHARD_SIZE)
     build.add_argument(
-        "--copies",
-        action="store_true",
-        help="book or trade hold copies of rows: combine them before they move to their bucket",
+        "--unique-slots",
+        action=argparse.BooleanOptionalAction,
+        default=True,
+        help="no: book or trade hold copies of rows, which are combined before a second shuffle",
     )
     build.add_argument("--features", nargs="+", choices=FEATURES, default=FEATURES, metavar="NAME")
 
@@ -282,7 +283,7 @@ def main() -> None:
             tables.read_trade(spark, args.trade),
             args.out,
             args.shard_size,
-            not args.copies,
+            args.unique_slots,
             args.features,
         )
     elif args.stage == "evaluate" and args.predictions:

@@ -548,7 +548,8 @@ def consumer_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _small_shards(spark, sf_dir).drop("target", "pos")
-    return ordering.assign_batches(samples, BATCH, CONSUMERS)
+    shards = ordering.exact_shards(fixtures.order_keys(spark, sf_dir), SHARD)
+    return ordering.assign_batches(samples, BATCH, CONSUMERS, shards=shards)
 
 
 # --- latency -------------------------------------------------------------------------------

@@ -54,9 +54,13 @@ def read_index(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """Sample table, one folder per split and shard; a shard is written by one task."""
+    """Sample table, one folder per split; a file holds one or more whole shards, in order.
+
+    The number of folders does not depend on the number of shards, and a shard is found by the
+    statistics of ``shard_id`` in the files.
+    """
     placed = samples.repartition("split", "shard_id").sortWithinPartitions("split", "shard_id", "pos")
-    placed.write.partitionBy("split", "shard_id").parquet(path)
+    placed.write.partitionBy("split").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
