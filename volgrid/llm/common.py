@@ -18,6 +18,8 @@ from ..session import scratch_path
 #: Rows per Arrow batch that a text function works on at once, so that a batch of very long
 #: texts stays small.
 BATCH_CHARS = 4_000_000
+#: Words and stretches up to this length are kept in the look-up tables of tasks.
+LONGEST_KEPT = 64
 
 
 _shipped: set[str] = set()
@@ -57,8 +59,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def keep_short(known: dict, found: dict) -> None:
+    """Remember what was found, but no long keys, so that a table is bounded in bytes."""
+    known.update((k, v) for k, v in found.items() if len(k) <= LONGEST_KEPT)
 
 
 def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import map_texts, written
+from .common import keep_short, map_texts, written
 
 WORDS = 5
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 #: Seeds that tasks hold at once (8 bytes each). More are looked for in several passes.
 SEEDS_AT_ONCE = 2_000_000
 #: Distinct words kept per task.
@@ -62,7 +62,7 @@ class Words:
             codes = [found[w] if c is None else c for w, c in zip(flat, codes)]
             if len(self.known) + len(found) > KEPT_WORDS:
                 self.known = {}
-            self.known.update(found)
+            keep_short(self.known, found)
         h = np.array(codes, dtype=np.uint64)
         text = np.repeat(np.arange(len(texts)), [len(s) for s in split])
         real = h != 0

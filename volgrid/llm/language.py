@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import keep_short, map_texts, written
 
 #: Bounds of the fit: expected documents per language, and word counts kept.
 TRAIN_DOCS = 4_000
@@ -126,18 +126,21 @@ class Scorer:
 
     def texts(self, texts: list[str]) -> np.ndarray:
         parts = [t.lower().split() for t in texts]
-        missing = set().union(*parts) - self.known.keys() if parts else set()
-        if len(self.known) + len(missing) > KEPT:
+        if len(self.vectors) > KEPT:
             self.forget()
-            missing = set().union(*parts)
-        if missing:
+        flat = list(chain.from_iterable(parts))
+        codes = list(map(self.known.get, flat))
+        if None in codes:
+            missing = list({s for s, c in zip(flat, codes) if c is None})
             start = len(self.vectors)
             self.vectors = np.concatenate([self.vectors, np.stack([self.segment(m) for m in missing])])
-            self.known.update((m, start + i) for i, m in enumerate(missing))
+            found = {m: start + i for i, m in enumerate(missing)}
+            codes = [found[s] if c is None else c for s, c in zip(flat, codes)]
+            keep_short(self.known, found)
         out = np.zeros((len(texts), self.vectors.shape[1]))
         filled = [i for i, p in enumerate(parts) if p]
         if filled:
-            at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), dtype=np.int64)
+            at = np.array(codes, dtype=np.int64)
             starts = np.cumsum([0] + [len(parts[i]) for i in filled[:-1]])
             out[filled] = np.add.reduceat(self.vectors[at], starts, axis=0)
         return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import map_texts, written
+from .common import keep_short, map_texts, written
 
 WORDS = 5
 BANDS = 24
@@ -84,19 +84,21 @@ class Shingles:
     def codes(self, texts: list[bytes]) -> list[np.ndarray]:
         """Per text the hashes of its distinct shingles, sorted."""
         split = [t.lower().split() for t in texts]  # of bytes: A-Z and the six white spaces only
-        missing = set().union(*split) - self.words.keys() if split else set()
-        if len(self.words) + len(missing) > KEPT_WORDS:
+        hashes = [list(map(self.words.get, words)) for words in split]
+        short = [i for i, h in enumerate(hashes) if None in h]
+        found = {w: xxh3_64_intdigest(w) for w in {w for i in short for w, h in zip(split[i], hashes[i]) if h is None}}
+        for i in short:
+            hashes[i] = [found[w] if h is None else h for w, h in zip(split[i], hashes[i])]
+        if len(self.words) + len(found) > KEPT_WORDS:
             self.words = {}
-            missing = set().union(*split)
-        self.words.update((w, xxh3_64_intdigest(w)) for w in missing)
-        get = self.words.__getitem__
+        keep_short(self.words, found)
         out = []
-        for words in split:
+        for words, known in zip(split, hashes):
             n = len(words)
             if not n:
                 out.append(np.empty(0, dtype=np.uint64))
                 continue
-            h = np.fromiter(map(get, words), dtype=np.uint64, count=n)
+            h = np.array(known, dtype=np.uint64)
             width = min(n, WORDS)
             total = np.full(n - width + 1, width, dtype=np.uint64)
             for k in range(width):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep_short, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -41,6 +42,7 @@ SEQUENCE = 128
 LONGEST = 160
 #: Distinct words whose shape is kept per task.
 KEPT = 400_000
+KEPT_SHAPES = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -231,15 +233,18 @@ def tagged(text: str, spans: dict[str, list[tuple[int, int]]]) -> tuple[list[str
     """The words of a text and their tags by the rules."""
     owner = {}
     words = list(_WORD.finditer(text))
+    ends = [w.end() for w in words]
     every = sorted((a, b, k) for k in KINDS for a, b in spans[k])
     tags = ["O"] * len(words)
     for a, b, kind in every:
         inside = False
-        for i, w in enumerate(words):
-            if w.start() < b and w.end() > a and i not in owner:
+        i = bisect_right(ends, a)
+        while i < len(words) and words[i].start() < b:
+            if i not in owner:
                 tags[i] = f"{'I' if inside else 'B'}-{kind}"
                 owner[i] = kind
                 inside = True
+            i += 1
     return [w[0] for w in words], tags
 
 
@@ -283,13 +288,18 @@ class Decoder:
 
     def __init__(self, model: Field):
         self.model = model
+        self.moves = (model.moves + _allowed()).astype(np.float32)
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, int] = {}
         self.signs: dict[str, int] = {"": 0}
-        self.tables = [t[None] for t in model.emissions("")]
+        self.tables = [t[None] for t in self.model.emissions("")]
         self.plain = np.zeros(1, dtype=bool)
-        self.moves = (model.moves + _allowed()).astype(np.float32)
 
     def codes(self, words: list[str]) -> np.ndarray:
+        if len(self.signs) > KEPT_SHAPES:
+            self.forget()
         out = list(map(self.words.get, words))
         if None in out:
             found = {}
@@ -307,7 +317,7 @@ class Decoder:
             out = [found[w] if c is None else c for w, c in zip(words, out)]
             if len(self.words) + len(found) > KEPT:
                 self.words = {}
-            self.words.update(found)
+            keep_short(self.words, found)
         return np.array(out, dtype=np.int64)
 
     def decode(self, lists: list[list[str]]) -> list[np.ndarray]:
@@ -382,7 +392,13 @@ def added_spans(text: str, tags: np.ndarray, base: dict[str, list[tuple[int, int
     if not tags.any():
         return []
     words = list(_WORD.finditer(text))
-    taken = sorted(s for k in KINDS for s in base[k])
+    starts, ends = [], []  # of the rules' spans, those that overlap as one
+    for a, b in sorted(s for k in KINDS for s in base[k]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     i = 0
     while i < len(words):
@@ -398,7 +414,8 @@ def added_spans(text: str, tags: np.ndarray, base: dict[str, list[tuple[int, int
         start = words[i].start() + raw.find(kept)
         end = start + len(kept)
         i = j
-        if _plausible(tag[2:], kept) and not any(a < end and start < b for a, b in taken):
+        at = bisect_right(ends, start)  # the first span that ends behind the start
+        if _plausible(tag[2:], kept) and not (at < len(starts) and starts[at] < end):
             out.append((f"crf_{tag[2:]}", start, end))
     return out
 

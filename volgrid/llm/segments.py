@@ -26,6 +26,8 @@ import numpy as np
 #: Distinct segments that a worker process keeps; beyond that those in use move to a new
 #: generation, and the one before is forgotten.
 KEPT = 600_000
+#: Longer ones are encoded anew each time, so that what is kept is bounded in bytes.
+LONGEST_KEPT = 64
 
 _BYTE_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -68,7 +70,7 @@ class _Known:
                 out[i] = [found[s] if v is None else v for s, v in zip(parts[i], out[i])]
             if len(self.known) + len(found) > KEPT:
                 self.older, self.known = self.known, {}
-            self.known.update(found)
+            self.known.update((s, v) for s, v in found.items() if len(s) <= LONGEST_KEPT)
         return out
 
 

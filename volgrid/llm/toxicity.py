@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_slices, written
+from .common import keep_short, map_texts, small_slices, written
 
 #: Bounds of the fit: expected labelled documents, and words per category.
 TRAIN_DOCS = 20_000
@@ -91,7 +91,7 @@ class Features:
                 codes = [None] * len(flat)
             found = {s: self.at(s) for s in {s for s, c in zip(flat, codes) if c is None}}
             codes = [found[s] if c is None else c for s, c in zip(flat, codes)]
-            self.known.update(found)
+            keep_short(self.known, found)
         lengths = np.array([len(p) for p in parts], dtype=np.int64)
         text = np.repeat(np.arange(len(texts)), lengths)
         row = np.array(codes, dtype=np.int64)
