@@ -34,6 +34,8 @@ VOCABULARY = 300
 BEGINNINGS = (4, 6)
 #: A word counts if it is in so many documents of the sample.
 MIN_DOCS = 8
+#: ... and its log odds are so many standard errors away from even.
+MIN_ERRORS = 3.0
 FOLDS = 3
 REGULARISATION = 1e-4
 #: Above this many labels they are joined by shuffle instead of being broadcast.
@@ -164,7 +166,8 @@ def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY)
         a, b = F.col(c), F.col("_n") - F.col(c)
         odds = F.log((a + 0.5) / (positive - a + 0.5)) - F.log((b + 0.5) / (negative - b + 0.5))
         error = F.sqrt(1 / (a + 0.5) + 1 / (positive - a + 0.5) + 1 / (b + 0.5) + 1 / (negative - b + 0.5))
-        best = counts.select("word", F.abs(odds / error).alias("z")).orderBy(F.desc("z"), "word").limit(n)
+        scored = counts.select("word", F.abs(odds / error).alias("z")).where(F.col("z") >= MIN_ERRORS)
+        best = scored.orderBy(F.desc("z"), "word").limit(n)
         chosen.update((r["word"], None) for r in best.collect())  # n words
     return list(chosen)
 
