@@ -25,7 +25,7 @@ import numpy as np
 
 #: Distinct segments that a worker process keeps; beyond that those in use move to a new
 #: generation, and the one before is forgotten.
-KEPT = 600_000
+KEPT = 900_000
 #: Longer ones are encoded anew each time, so that what is kept is bounded in bytes.
 LONGEST_KEPT = 64
 
