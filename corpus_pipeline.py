@@ -33,9 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, model)
 
 
+#: Near copies have at least so many hundredths of their shingles in common.
+NEAR_PERCENT = 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
-    found = written(neardup.near_duplicates(docs), "near-duplicates")
+    found = written(neardup.near_duplicates(docs, NEAR_PERCENT), "near-duplicates")
     kept = _without(docs, found.where("not kept"))
     # Rows that repeat a kept doc_id word for word are copies too.
     repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")

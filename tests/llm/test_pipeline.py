@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from volgrid.llm import pii
+from volgrid.llm import neardup, pii
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,21 @@ def test_queries_are_registered():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert names["pipeline"] is corpus_pipeline.run
+
+
+def test_near_copies_from_80_percent_go(spark):
+    # One word exchanged in the middle of n distinct ones: n - 9 of n + 1 shingles in common.
+    texts, ids = [], 0
+    for n in (45, 48, 50, 55, 70):
+        base = [f"n{n}w{i}" for i in range(n)]
+        for i in range(20):
+            own = [f"{w}x{i}" for w in base]
+            texts += [(ids, " ".join(own)), (ids + 1, " ".join([*own[: n // 2], "other", *own[n // 2 + 1 :]]))]
+            ids += 2
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    for i, (doc, text) in enumerate(texts):
+        n = len(text.split())
+        assert (doc in left) == (doc % 2 == 0 or 100 * (n - 9) < 80 * (n + 1)), (doc, n)
+    strict = {r["doc_id"] for r in neardup.near_duplicates(docs, percent=85).where("kept").collect()}
+    assert len(strict - left) == 40 and neardup.search(85) == neardup.Search(85, 24, 83)

@@ -14,13 +14,16 @@ coordinate differ from the next); a coordinate is the minimum over the set.
    too, block against block of at most about ``BLOCK`` nodes, so that no link is lost: a task
    holds two blocks, and only links leave it.
 
-At a similarity of 0.85 a pair misses all bands with a probability of 8e-7; above that it falls
-fast. Every confirmed link is exact.
+At the similarity asked for a pair misses all bands with a probability of ``MISSED`` at most (the
+number of bands follows from it); above that it falls fast. Every confirmed link is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +35,16 @@ from xxhash import xxh3_64_intdigest
 from .common import keep_short, map_texts, written
 
 WORDS = 5
-BANDS = 24
 ROWS = 5
-COORDINATES = BANDS * ROWS
-#: A link has at least so many hundredths of the union in common.
+#: A link has at least so many hundredths of the union in common, if nothing else is asked for.
 PERCENT = 85
+#: A pair at the least similarity misses all bands with this probability at most.
+MISSED = 8e-7
 #: Nodes per block where blocks are compared.
 BLOCK = 128
-#: Of 120 coordinates a linked pair agrees in fewer than this share with a probability of 4e-6
-#: at most; only pairs inside blocks are screened by it before their sets are compared.
-SCREEN = 0.70
+#: Pairs inside blocks are screened by their coordinates before their sets are compared; a linked
+#: pair fails the screen with this probability at most.
+SCREENED = 4e-6
 #: Above this many rows a table of ids is joined by shuffle instead of being broadcast.
 BROADCAST_IDS = 500_000
 #: Shingles that are hashed at once.
@@ -49,6 +52,37 @@ AT_ONCE = 100_000
 #: Distinct words kept per task.
 KEPT_WORDS = 1_000_000
 
+
+
+@dataclass(frozen=True)
+class Search:
+    """Least hundredths in common; bands; coordinates that must agree for the sets to be compared."""
+
+    percent: int
+    bands: int
+    screen: int
+
+    @property
+    def coordinates(self) -> int:
+        return self.bands * ROWS
+
+
+def search(percent: int) -> Search:
+    """The fewest bands, and the highest screen, that find links of ``percent`` or more."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be in 50..100")
+    p = percent / 100
+    bands = 1 if percent == 100 else math.ceil(math.log(MISSED) / math.log(1 - p**ROWS))
+    n, screen, below = bands * ROWS, 0, Fraction(0)
+    p = Fraction(percent, 100)
+    while screen < n and (below := below + math.comb(n, screen) * p**screen * (1 - p) ** (n - screen)) <= SCREENED:
+        screen += 1
+    return Search(percent, bands, screen)
+
+
+BANDS = search(PERCENT).bands
+COORDINATES = BANDS * ROWS
+
 _U64 = np.uint64
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -108,20 +142,20 @@ class Shingles:
         return out
 
 
-def signatures(sets: list[np.ndarray]) -> list[bytes]:
+def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> list[bytes]:
     """Per non-empty set the lower 16 bits of each coordinate, two bytes each."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     scattered = _scatter(np.concatenate(sets))
-    out = np.empty((len(sets), COORDINATES), dtype="<u2")
+    out = np.empty((len(sets), coordinates), dtype="<u2")
     work = np.empty_like(scattered)
-    for k in range(COORDINATES):
+    for k in range(coordinates):
         np.add(scattered, np.uint32(k), out=work)
         _permute(work)
         out[:, k] = np.minimum.reduceat(work, starts)
     return [row.tobytes() for row in out]
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, coordinates: int) -> DataFrame:
     """``doc_id, n_shingles, digest, sig`` of every document."""
 
     def run(part: pa.RecordBatch, state: Shingles) -> pa.RecordBatch:
@@ -134,7 +168,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         for i, s in enumerate([*sets, None]):
             if s is None or held > AT_ONCE:
                 if group:
-                    for at, sig in zip(group, signatures([sets[g] for g in group])):
+                    for at, sig in zip(group, signatures([sets[g] for g in group], coordinates)):
                         sigs[at] = sig
                 group, held = [], 0
             if s is not None and len(s):
@@ -168,18 +202,18 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.where(F.length("codes") > 0)
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 85 * union."""
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < PERCENT * len(large):
+    if 100 * len(small) < percent * len(large):
         return False
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     common = int((large[at] == small).sum())
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` whose sets are similar enough."""
     left = sets.select(F.col("node").alias("u"), F.col("codes").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("codes").alias("b"))
@@ -188,7 +222,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
             keep = [
-                _linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                _linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
                 for x, y in zip(a, b)
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -225,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
-def _block_links(members: DataFrame, hard: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(members: DataFrame, hard: DataFrame, sets: DataFrame, how: Search) -> DataFrame:
     """Links between different roots inside the hard buckets, block against block.
 
     ``members(bucket, band, node, root, sig)``, ``hard(bucket, n)``.
@@ -251,7 +285,7 @@ def _block_links(members: DataFrame, hard: DataFrame, sets: DataFrame) -> DataFr
         docs = column[i].values
         return (
             docs.field("node").to_numpy(), docs.field("root").to_numpy(),
-            np.frombuffer(b"".join(docs.field("sig").to_pylist()), "<u2").reshape(-1, COORDINATES),
+            np.frombuffer(b"".join(docs.field("sig").to_pylist()), "<u2").reshape(-1, how.coordinates),
             [np.frombuffer(c, np.uint64) for c in docs.field("codes").to_pylist()],
         )
 
@@ -266,15 +300,15 @@ def _block_links(members: DataFrame, hard: DataFrame, sets: DataFrame) -> DataFr
                 size_b = np.array([len(c) for c in codes_b])
                 for x in range(len(node_a)):
                     agree = sig_a[x] == sig_b
-                    fits = (root_b != root_a[x]) & (agree.mean(axis=1) >= SCREEN)
+                    fits = (root_b != root_a[x]) & (agree.sum(axis=1) >= how.screen)
                     small, large = np.minimum(size_b, len(codes_a[x])), np.maximum(size_b, len(codes_a[x]))
-                    fits &= 100 * small >= PERCENT * large
+                    fits &= 100 * small >= how.percent * large
                     # A pair is looked at in the first band that both share.
-                    fits &= ~agree.reshape(len(node_b), BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+                    fits &= ~agree.reshape(len(node_b), how.bands, ROWS).all(axis=2)[:, :band].any(axis=1)
                     if same:
                         fits[: x + 1] = False
                     for y in np.flatnonzero(fits):
-                        if _linked(codes_a[x], codes_b[y]):
+                        if _linked(codes_a[x], codes_b[y], how.percent):
                             u.append(node_a[x])
                             v.append(node_b[y])
             yield pa.RecordBatch.from_arrays(
@@ -284,9 +318,11 @@ def _block_links(members: DataFrame, hard: DataFrame, sets: DataFrame) -> DataFr
     return met.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
+    Links have ``percent`` hundredths of their shingles in common or more.
+
     ``component_id`` is the smallest doc_id that links lead to, ``kept`` whether it is the row's
     own. Documents without words (null, empty, white space) link with nothing and are kept; one
     with fewer than five words has its whole sequence as its only shingle. Rows that repeat a
@@ -295,7 +331,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives no rows. Columns other than ``doc_id`` and ``text`` are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(_signed(texts), "signatures")
+    how = search(percent)
+    signed = written(_signed(texts, how.coordinates), "signatures")
     nodes = written(
         signed.where("digest is not null")
         .groupBy("digest", "sig")
@@ -307,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     in_bands = nodes.select(
         "node",
         F.posexplode(
-            F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(BANDS)])
+            F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(how.bands)])
         ).alias("band", "bucket"),
     )
     shared = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -317,7 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "stars",
     )
     sets = written(_sets(texts, members.select("node")), "sets")
-    links = written(_confirmed(stars, sets), "star-links")
+    links = written(_confirmed(stars, sets, percent), "star-links")
     found = components(links)
 
     known = written(
@@ -334,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "hard",
     )
     signed_nodes = nodes.select("node", "sig")
-    more = written(_block_links(known.join(signed_nodes, "node"), hard, sets), "block-links")
+    more = written(_block_links(known.join(signed_nodes, "node"), hard, sets, how), "block-links")
     if not more.isEmpty():
         found = components(links.unionAll(more))
 
