@@ -348,6 +348,40 @@ def test_substring_chunks(spark, empty):
     assert chunks.repeated_passages(empty).count() == 0
 
 
+def test_every_passage_over_50_words_is_found(spark):
+    rng = random.Random(59)
+    pools = [["a", "b"], ["it", "is", "so"], ["x"], ["no", "yes", "maybe", "or", "and"], [f"w{i}" for i in range(500)]]
+    rows = []
+    for k, pool in enumerate(pools * 30):
+        passage = words(rng, 51, pool)
+        assert len(passage.encode()) >= chunks.SIZE + chunks.SPAN - 1
+        for side in range(2):
+            own = [words(rng, rng.randint(1, 30), [f"q{k}s{side}n{i}" for i in range(99)]) for _ in range(2)]
+            rows.append((2 * k + side, f"{own[0]} {passage} {own[1]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = chunks.repeated_passages(docs).collect()
+    assert {2 * k + 1 for k in range(len(rows) // 2)} <= {r["doc_id"] for r in out}
+    text = {i: t.encode() for i, t in rows}
+    for r in out:
+        part = text[r["doc_id"]][r["start"] : r["start"] + chunks.SIZE]
+        assert r["end"] - r["start"] >= chunks.SIZE and any(part in text[i] for i in range(r["doc_id"] + 1))
+
+
+def test_anchors_are_the_least_hashes(monkeypatch):
+    rng = random.Random(61)
+    texts = [rng.randbytes(3000), b"it " * 400, b"x" * 1000, b"a" * chunks.SIZE, b"a" * (chunks.SIZE - 1), b""]
+    texts += [bytes(rng.choice(b"ab") for _ in range(rng.randint(chunks.SIZE, 400))) for _ in range(50)]
+    for data in texts:
+        h = chunks._window_hashes(np.frombuffer(data, np.uint8), chunks.SIZE).tolist() if len(data) >= chunks.SIZE else []
+        for at_once in (1 << 20, 64):
+            monkeypatch.setattr(chunks, "AT_ONCE", at_once)
+            at = set(chunks.anchors(data).tolist())
+            assert bool(at) == bool(h) and len(at) <= 4 * len(h) / chunks.SPAN + 4
+            for i in range(max(0, len(h) - chunks.SPAN + 1)):
+                least = min(h[i : i + chunks.SPAN])
+                assert any(j in at and h[j] == least for j in range(i, i + chunks.SPAN)), i
+
+
 def test_borders_move_with_insertions():
     data = random.Random(31).randbytes(4000)
     ends = chunks.borders(data)

@@ -1,11 +1,15 @@
-"""Repeated passages by content-defined chunking.
-
-A rolling *gear* hash over the last 16 bytes of the text marks a chunk border wherever it falls
-below a bound, once in 24 bytes on average. Borders depend on these bytes alone, so that an insertion moves them along and
-touches at most the chunks around it. Chunks are compared by a 64-bit digest; of equal chunks the
-first one (smallest doc_id, then position) is kept and the others are repeats. Repeats that
-follow each other without a gap form a passage, and passages of at least ``min_bytes`` are
-reported (several chunks as a rule, so that a chance equality of two digests makes none).
+"""Repeated passages by anchors that depend on content.
+
+Every window of ``SIZE`` bytes has a hash. Of ``SPAN`` windows that start one after the other the
+one with the smallest hash is an *anchor*, for every such stretch, so that any passage of
+``SIZE + SPAN - 1`` bytes has an anchor inside, the same one wherever it stands, whatever its
+content: 101 bytes, which 51 words of one letter take. Where a hash repeats (one word for ever), few
+of the equal ones are anchors, as one per stretch will do.
+
+Anchors are compared by a 64-bit digest of their ``SIZE`` bytes; of equal ones the first (smallest
+doc_id, then position) is kept and the others are repeats. Repeats that touch or overlap form a
+passage. Its length is a lower bound: all of it is repeated, and up to ``SPAN`` - 1 bytes more may
+be at either end.
 """
 
 from __future__ import annotations
@@ -18,11 +22,15 @@ from xxhash import xxh3_64_intdigest
 
 from .common import map_texts, written
 
-#: Mean chunk length in bytes.
+#: Mean chunk length in bytes of ``borders``.
 MEAN_BYTES = 24
-#: Shortest passage reported: a quarter of what 50 words take, as a passage loses part of a chunk
-#: at either end. Of passages of 310 bytes one in 700 has a shorter run of whole chunks.
-MIN_BYTES = 80
+#: Bytes of an anchor, and so of the shortest passage reported. More would need more anchors to find
+#: all passages of 51 words: with 80 (and 22 starts) more than four times the input is written, at 64 (and 38) 4.22 times.
+SIZE = 60
+#: Window starts of which one is an anchor.
+SPAN = 42
+#: Window starts that are hashed at once.
+AT_ONCE = 1 << 20
 #: Bytes that the hash looks back.
 REACH = 16
 
@@ -47,71 +55,128 @@ def borders(data: bytes, mean: int = MEAN_BYTES) -> np.ndarray:
     return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
 
 
-def chunks(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """``doc_id, start, size, digest`` of every chunk (positions in UTF-8 bytes)."""
+#: A random odd value per byte, from a fixed seed, and the base of the window hashes.
+_CODES = np.random.Generator(np.random.PCG64(20_240_102)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C55
+
+
+def _window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of that size, mixed so that any order of them is as good as random."""
+    n = len(data) - size + 1
+    out = np.zeros(n, dtype=np.uint64)
+    # Doubling: a window of 2w is two windows of w; the binary digits of the size are added up.
+    piece, width, done = _CODES[data], 1, 0
+    while True:
+        if size & width:
+            out = out * np.uint64(pow(_BASE, width, 1 << 64)) + piece[done : done + n]
+            done += width
+        if 2 * width > size:
+            break
+        piece = piece[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + piece[width:]
+        width *= 2
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """The minimum of each ``span`` values in a row."""
+    width = 1
+    while 2 * width <= span:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def anchors(data: bytes, size: int = SIZE, span: int = SPAN) -> np.ndarray:
+    """Starts of the anchors of ``data``, in order; none if it is shorter than ``size``."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    n = len(raw) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64)
+    found = []
+    for begin in range(0, max(1, n - span + 1), AT_ONCE):
+        h = _window_hashes(raw[begin : begin + AT_ONCE + span - 1 + size - 1], size)
+        k = min(span, len(h))
+        least = _least(h, k)
+        # A start is an anchor if a stretch that it is in has no smaller hash: if the largest of
+        # the minima of these stretches is its own.
+        edge = np.zeros(k - 1, dtype=np.uint64)
+        best = ~_least(~np.concatenate([edge, least, edge]), k)
+        at = np.flatnonzero(best == h)
+        # Of equal hashes in a row the first and the last in each block of places.
+        value, block = h[at], (begin + at) // span
+        new = np.ones(len(at) + 1, dtype=bool)
+        new[1:-1] = (value[1:] != value[:-1]) | (block[1:] != block[:-1])
+        found.append(begin + at[new[:-1] | new[1:]])
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def anchored(docs: DataFrame, size: int = SIZE, span: int = SPAN) -> DataFrame:
+    """``doc_id, start, digest`` of every anchor (positions in UTF-8 bytes)."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts, starts, sizes, digests = [], [], [], [], []
+        ids, counts, starts, digests = [], [], [], []
         for doc, data in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-            ends = borders(data or b"", mean)
-            if not len(ends):
+            at = anchors(data or b"", size, span)
+            if not len(at):
                 continue
-            begin = np.concatenate([[0], ends[:-1]])
             ids.append(doc)
-            counts.append(len(ends))
-            starts.append(begin)
-            sizes.append(ends - begin)
-            digests += [xxh3_64_intdigest(data[a:b]) for a, b in zip(begin.tolist(), ends.tolist())]
-        at = pa.array(np.repeat(np.arange(len(ids)), counts)) if ids else pa.array([], pa.int64())
-        join = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
+            counts.append(len(at))
+            starts.append(at)
+            digests += [xxh3_64_intdigest(data[a : a + size]) for a in at.tolist()]
+        rows = pa.array(np.repeat(np.arange(len(ids)), counts)) if ids else pa.array([], pa.int64())
+        places = np.concatenate(starts).astype(np.int64) if starts else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()).take(at), pa.array(join(starts)), pa.array(join(sizes)).cast(pa.int32()),
+            [pa.array(ids, pa.int64()).take(rows), pa.array(places),
              pa.array(np.array(digests, dtype=np.uint64).view(np.int64))],
-            names=["doc_id", "start", "size", "digest"],
+            names=["doc_id", "start", "digest"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(rows, run, "doc_id long, start long, size int, digest long")
+    return map_texts(rows, run, "doc_id long, start long, digest long")
 
 
-def repeated_passages(
-    docs: DataFrame, mean: int = MEAN_BYTES, min_bytes: int = MIN_BYTES
-) -> DataFrame:
+def repeated_passages(docs: DataFrame, size: int = SIZE, span: int = SPAN) -> DataFrame:
     """``doc_id, start, end, n_chunks, first_doc_id``: passages that an earlier place has too.
 
-    Positions are UTF-8 bytes, the end exclusive; ``first_doc_id`` is the document that keeps the
-    passage's longest chunk. Null and empty texts have no passage. Rows without doc_id come last
-    among equal chunks; rows that repeat a doc_id are one document whose chunks may coincide: of
-    equal chunks at one place of one doc_id both count as the first. An empty table gives no
-    rows. Other columns are not looked at.
+    Positions are UTF-8 bytes, the end exclusive; ``n_chunks`` are the anchors of the passage and
+    ``first_doc_id`` is the document that keeps most of them. The earlier place may be in the same
+    document, and overlap: one word for ever repeats itself. Null and empty texts have no passage.
+    Rows without doc_id come last among equal anchors; rows that repeat a doc_id are one document
+    whose anchors may coincide: of equal anchors at one place of one doc_id both count as the
+    first. An empty table gives no rows. Other columns are not looked at.
     """
-    all_chunks = written(chunks(docs, mean), "chunks")
+    found = written(anchored(docs, size, span), "anchors")
     # The smallest (doc_id, start) as a struct; partial sums leave one row a digest and task.
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("start"))
     many = (
-        all_chunks.groupBy("digest")
+        found.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(place).alias("first"))
         .where("n > 1")
         .select("digest", "first")
     )
     here = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("start"))
-    repeats = all_chunks.join(many, "digest").where(~here.eqNullSafe(F.col("first"))).select(
-        "doc_id", "start", "size", F.col("first.doc_id").alias("first_doc_id")
+    repeats = found.join(many, "digest").where(~here.eqNullSafe(F.col("first"))).select(
+        "doc_id", "start", F.col("first.doc_id").alias("first_doc_id")
     )
-    # Runs of adjacent repeats: a run starts where the chunk before is no repeat.
+    # Runs of repeats: a run starts where the one before ends earlier.
     inside = Window.partitionBy("doc_id").orderBy("start")
     marked = repeats.withColumn(
-        "new", F.coalesce((F.lag(F.col("start") + F.col("size")).over(inside) < F.col("start")).cast("int"), F.lit(1))
+        "new", F.coalesce((F.lag("start").over(inside) + F.lit(size) < F.col("start")).cast("int"), F.lit(1))
     )
     runs = marked.withColumn("run", F.sum("new").over(inside))
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("doc_id", "run", "first_doc_id")
+        .agg(F.min("start").alias("start"), F.max("start").alias("last"), F.count("*").alias("n"))
+        .groupBy("doc_id", "run")
         .agg(
             F.min("start").alias("start"),
-            F.max(F.col("start") + F.col("size")).alias("end"),
-            F.count("*").alias("n_chunks"),
-            F.max_by("first_doc_id", "size").alias("first_doc_id"),
+            (F.max("last") + F.lit(size)).alias("end"),
+            F.sum("n").alias("n_chunks"),
+            F.max(F.struct("n", "first_doc_id")).getField("first_doc_id").alias("first_doc_id"),
         )
-        .where(F.col("end") - F.col("start") >= min_bytes)
         .drop("run")
     )
