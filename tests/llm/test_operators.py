@@ -194,6 +194,35 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.score(docs, None).where("toxic").count() == 0
 
 
+def test_toxicity_with_few_toxic_labels(spark):
+    rng = random.Random(67)
+    pool = [f"w{i}" for i in range(3000)]
+    insults = ["moron", "scum", "loser"]
+    rows = [(i, words(rng, 30, pool) + (f" {insults[i % 3]} {insults[(i + 1) % 3]}" if i % 50 == 0 else "")) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(750)], "doc_id long, toxic int")
+    # 15 of 750; a bounded sample of 100 keeps them all.
+    sample = toxicity.training_sample(docs, labels, ["toxic"], 100).collect()
+    assert sum(r["toxic"] for r in sample) == 15 and 40 < len(sample) < 160
+    assert 500 < sum(r["weight"] for r in sample) < 1000
+    model = toxicity.fit(docs, labels, ["toxic"], 400)
+    assert set(insults) <= set(model.vocabulary)
+    found = {r["doc_id"] for r in toxicity.score(docs, model).where("toxic").collect()}
+    toxic = {i for i in range(1500) if i % 50 == 0}
+    assert len(found & toxic) >= 27 and len(found - toxic) <= 15
+    # Without any word that separates nothing is rejected.
+    plain = spark.createDataFrame([(i, words(rng, 30, pool)) for i in range(90)], "doc_id long, text string")
+    assert toxicity.keep(plain, toxicity.fit(plain, labels, ["toxic"])).count() == 90
+
+
+def test_threshold_needs_more_than_chance():
+    rng = np.random.default_rng(71)
+    y = (np.arange(400) % 10 == 0).astype(float)
+    assert toxicity.best_threshold(np.full(400, 0.1), y) == 1.0
+    assert toxicity.best_threshold(y * 0.5 + 0.1 * rng.random(400), y) < 0.51
+    assert toxicity.best_threshold(np.zeros(5), np.zeros(5)) == 1.0
+
+
 def brute_tiles(test, doc):
     """Greedy string tiling by looking at every pair of places."""
     free_t, free_d, covered = [True] * len(test), [True] * len(doc), 0

@@ -8,13 +8,17 @@ inputs as good as those they will get.
 
 Features of a text are its words and their beginnings of 4 and 6 letters (``idio*``) among a
 vocabulary, each as the root of its count, damped by the text's length. The vocabulary are those
-that separate a category best, counted over the sample by Spark. The sample is bounded: an expected ``TRAIN_DOCS`` labelled documents, drawn by a
-hash of the doc_id; the last category's threshold maximises its F1 over out-of-fold predictions.
+that separate a category best, counted over the sample by Spark. The sample is bounded: an expected
+``TRAIN_DOCS`` labelled documents, drawn by a hash of the doc_id. Each combination of labels has its
+share of them, so that rare ones are kept whole, and documents weigh as many as they stand for. The
+last category's threshold maximises its F1 over out-of-fold predictions; where these do not separate
+the labels better than chance does, nothing is toxic.
 Every document is scored on its whole text.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import chain
 
@@ -32,10 +36,13 @@ TRAIN_DOCS = 20_000
 VOCABULARY = 300
 #: Letters of the word beginnings that are features too.
 BEGINNINGS = (4, 6)
-#: A word counts if it is in so many documents of the sample.
+#: A word counts if it is in so many documents of the sample, or in the root of the number of the
+#: rarer label, if that is less.
 MIN_DOCS = 8
 #: ... and its log odds are so many standard errors away from even.
 MIN_ERRORS = 3.0
+#: A threshold counts if it finds so many standard errors more than chance does.
+MIN_LIFT = 3.0
 FOLDS = 3
 REGULARISATION = 1e-4
 #: Above this many labels they are joined by shuffle instead of being broadcast.
@@ -119,21 +126,31 @@ def probabilities(chain_: Chain, features: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAIN_DOCS) -> DataFrame:
-    """``text, fold`` and the categories (0/1) of a bounded sample of labelled documents."""
+    """``text, fold, weight`` and the categories (0/1) of a bounded sample of labelled documents."""
     usable = labels.where(F.col("doc_id").isNotNull())
     for c in categories:
         usable = usable.where(F.col(c).isNotNull())
     usable = usable.select(
         F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) != 0).cast("double").alias(c) for c in categories]
     )
-    total = usable.count()
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, n / max(total, 1)))
+    counted = usable.groupBy(*categories).count().orderBy("count", *categories).collect()  # 2 to the categories
+    total, left = sum(r["count"] for r in counted), float(n)
+    rate = F.lit(1.0)
+    for at, r in enumerate(counted):
+        share = min(r["count"], left / (len(counted) - at))  # the rest is for the more frequent ones
+        left -= share
+        same = F.lit(True)
+        for c in categories:
+            same &= F.col(c) == r[c]
+        rate = F.when(same, F.lit(share / r["count"])).otherwise(rate)
+    usable = usable.withColumn("weight", 1 / rate)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 / F.col("weight")
     usable = usable.where(drawn).dropDuplicates(["doc_id"])
     if min(total, 2 * n) <= BROADCAST_LABELS:  # the drawn ones are n on average
         usable = F.broadcast(usable)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
-    return rows.join(usable, "doc_id").select("text", fold.alias("fold"), *categories)
+    return rows.join(usable, "doc_id").select("text", fold.alias("fold"), "weight", *categories)
 
 
 def _longer(n: int):
@@ -158,7 +175,9 @@ def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY)
     )
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     counts = words.groupBy("word").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in categories])
-    counts = written(counts.where(F.col("_n") >= MIN_DOCS), "words")
+    rarer = {c: min(float(totals[c] or 0), totals["n"] - float(totals[c] or 0)) for c in categories}
+    least = {c: max(2, min(MIN_DOCS, math.isqrt(int(rarer[c])))) for c in categories}
+    counts = written(counts.where(F.col("_n") >= min(least.values())), "words")
     chosen: dict[str, None] = {}
     for c in categories:
         positive = float(totals[c] or 0)
@@ -166,7 +185,7 @@ def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY)
         a, b = F.col(c), F.col("_n") - F.col(c)
         odds = F.log((a + 0.5) / (positive - a + 0.5)) - F.log((b + 0.5) / (negative - b + 0.5))
         error = F.sqrt(1 / (a + 0.5) + 1 / (positive - a + 0.5) + 1 / (b + 0.5) + 1 / (negative - b + 0.5))
-        scored = counts.select("word", F.abs(odds / error).alias("z")).where(F.col("z") >= MIN_ERRORS)
+        scored = counts.where(F.col("_n") >= least[c]).select("word", F.abs(odds / error).alias("z")).where(F.col("z") >= MIN_ERRORS)
         best = scored.orderBy(F.desc("z"), "word").limit(n)
         chosen.update((r["word"], None) for r in best.collect())  # n words
     return list(chosen)
@@ -184,7 +203,7 @@ def _fit_step(rows: DataFrame, category: str, inputs: list[str], width: int) ->
         return np.zeros(width), 6.0 if constant else -6.0
     vector = array_to_vector(F.concat("features", F.array(*[F.col(c) for c in inputs])) if inputs else F.col("features"))
     model = LogisticRegression(
-        featuresCol="v", labelCol=category, regParam=REGULARISATION, maxIter=60, standardization=True
+        featuresCol="v", labelCol=category, weightCol="weight", regParam=REGULARISATION, maxIter=60, standardization=True
     ).fit(rows.withColumn("v", vector))
     return model.coefficients.toArray(), float(model.intercept)
 
@@ -203,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
     if sample.isEmpty():
         return None
     vocabulary = {w: i for i, w in enumerate(choose_words(sample, categories))}
-    names = ["fold", *categories]
+    names = ["fold", "weight", *categories]
 
     def featurise(part: pa.RecordBatch, features: Features) -> pa.RecordBatch:
         values = features.of(part.column(0).to_pylist())
@@ -212,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
             names=["features", *names],
         )
 
-    schema = "features array<double>, fold int, " + ", ".join(f"`{c}` double" for c in categories)
+    schema = "features array<double>, fold int, weight double, " + ", ".join(f"`{c}` double" for c in categories)
     rows = written(
         map_texts(sample.select("text", *names), featurise, schema, setup=lambda: Features(vocabulary)), "toxic-rows"
     ).persist()
@@ -235,22 +254,30 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
         rows.unpersist()
         rows = written(folded, "toxic-rows").persist()
         before.append(f"_p_{len(before)}")
-    scores = rows.select(before[-1], categories[-1]).toPandas()  # the bounded sample
+    scores = rows.select(before[-1], categories[-1], "weight").toPandas()  # the bounded sample
     rows.unpersist()
-    return Chain(vocabulary, steps, best_threshold(scores.iloc[:, 0].to_numpy(), scores.iloc[:, 1].to_numpy()))
+    return Chain(vocabulary, steps, best_threshold(*(scores.iloc[:, i].to_numpy() for i in range(3))))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The bound on the probability with the best F1, halfway between two probabilities."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The bound on the probability with the best F1, halfway between two probabilities.
+
+    Only bounds that find clearly more than chance does; 1 if there is none.
+    """
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
-    true = np.cumsum(y)
-    f1 = 2 * true / (np.arange(1, len(p) + 1) + max(y.sum(), 1))
+    w = np.ones(len(p)) if weight is None else weight[order]
+    true = np.cumsum(w * y)
+    f1 = 2 * true / (np.cumsum(w) + max((w * y).sum(), 1))
+    taken, n, share = np.arange(1, len(p) + 1), len(p), y.mean()
+    error = np.sqrt(taken * share * (1 - share) * (n - taken) / max(n - 1, 1))
+    f1[np.cumsum(y) - taken * share < MIN_LIFT * error] = -1
+    f1[-1] = -1  # all of them
     f1[:-1][p[:-1] == p[1:]] = -1  # no cut between equal probabilities
     at = int(f1.argmax())
-    if not y.any():
+    if f1[at] <= 0:
         return 1.0
-    return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2)
+    return float((p[at] + p[at + 1]) / 2)
 
 
 def score(docs: DataFrame, model: Chain | None) -> DataFrame:
