@@ -22,9 +22,18 @@ from volgrid.llm.queries import CATEGORIES, toxicity_labels
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids``; rows without one stay."""
-    return docs.join(ids.select(F.col("doc_id")).distinct(), "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_key``, the hash of doc_id (null or not) and text: decisions are by text."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_key").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``keys``."""
+    return keyed.join(keys.select("_key").distinct(), "_key", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,19 +47,29 @@ NEAR_PERCENT = 80
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    found = written(neardup.near_duplicates(docs, NEAR_PERCENT), "near-duplicates")
-    kept = _without(docs, found.where("not kept"))
-    # Rows that repeat a kept doc_id word for word are copies too.
-    repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    once = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """One text of each group of near copies: that with the smallest doc_id (none comes last)."""
+    keyed = _keyed(docs)
+    found = neardup.near_duplicates(_texts(keyed), NEAR_PERCENT).withColumnRenamed("doc_id", "_key")
+    found = written(found, "near-duplicates")
+    rows = found.groupBy("_key").agg(
+        F.first("component_id").alias("component_id"), F.max("n_shingles").alias("words"), F.count("*").alias("n")
+    )
+    ids = keyed.select("_key", "doc_id").dropDuplicates(["_key"])
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_key")
+    first = rows.join(ids, "_key").groupBy("component_id").agg(F.min(place).alias("first"))
+    gone = rows.join(first.select(F.col("first._key").alias("_key")), "_key", "left_anti")
+    kept = _without(keyed, written(gone.select("_key"), "near-copies"))
+    # Rows that repeat a doc_id word for word are copies too.
+    repeated = written(rows.where("n > 1 and words > 0").select("_key"), "repeated")
+    once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
     return _without(kept, repeated).unionByName(once).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark text."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found).select(*docs.columns)
+    keyed = _keyed(docs)
+    found = decontam.contaminated(_texts(keyed), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.withColumnRenamed("doc_id", "_key")).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

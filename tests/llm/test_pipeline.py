@@ -97,3 +97,24 @@ def test_near_copies_from_80_percent_go(spark):
         assert (doc in left) == (doc % 2 == 0 or 100 * (n - 9) < 80 * (n + 1)), (doc, n)
     strict = {r["doc_id"] for r in neardup.near_duplicates(docs, percent=85).where("kept").collect()}
     assert len(strict - left) == 40 and neardup.search(85) == neardup.Search(85, 24, 83)
+
+
+def test_decisions_are_by_text(spark, tmp_path):
+    def prose(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    test = prose("t", 20)
+    rows = [
+        (None, prose("a")), (None, prose("a") + " end"), (None, prose("b")), (3, prose("b")),
+        (4, prose("c")), (4, prose("d")), (2, prose("d")), (None, f"{prose('e')} {test}"),
+        (5, prose("f")), (5, f"{prose('g')} {test}"), (6, prose("h")), (6, prose("h")), (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(0, test)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sum(i is None and (t or "").startswith("a0 ") for i, t in left) == 1
+    want = [r for k, r in enumerate(rows) if k not in (0, 1, 2, 5, 11)]
+    rest = [r for r in left if not (r[1] or "").startswith("a0 ")]
+    assert sorted(rest, key=str) == sorted(want, key=str)
+    clean = [tuple(r) for r in corpus_pipeline.drop_benchmark_passages(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted((r for k, r in enumerate(rows) if k not in (7, 9)), key=str)

@@ -325,8 +325,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ``component_id`` is the smallest doc_id that links lead to, ``kept`` whether it is the row's
     own. Documents without words (null, empty, white space) link with nothing and are kept; one
-    with fewer than five words has its whole sequence as its only shingle. Rows that repeat a
-    doc_id are looked at text by text. A row without doc_id takes part
+    with fewer than five words has its whole sequence as its only shingle. Texts of
+    one doc_id share its component; where they are to be told apart, they need ids of their own. A row without doc_id takes part
     through an equal set that has one; else its component is null and it is kept. An empty table
     gives no rows. Columns other than ``doc_id`` and ``text`` are not looked at.
     """
