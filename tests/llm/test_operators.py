@@ -275,6 +275,19 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(empty, table).count() == 0
 
 
+def test_tests_that_repeat_themselves_or_are_short(spark):
+    rng = random.Random(73)
+    line = " ".join(f"l{i}" for i in range(10))
+    tests = [(0, " ".join([line] * 12)), (1, "alone"), (2, "Two words"), (3, "of three, words"), (4, "and four of them"), (5, "and four of none")]
+    pool = [f"p{i}" for i in range(80)]
+    rows = [(i, f"{words(rng, 20, pool)} {t.upper()}! {words(rng, 20, pool)} {t}") for i, t in tests[:5]]
+    rows += [(9, "two of words three four them and"), (10, words(rng, 60, pool)), (None, "it is alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontam.contaminated(docs, spark.createDataFrame(tests, "item_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["item_id"], r["n_words"], r["covered"]) for r in out), key=key)
+    assert got == [(0, 0, 120, 120), (1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 3, 3), (4, 4, 4, 4), (None, 1, 1, 1)]
+
+
 def test_seeds_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SEEDS_AT_ONCE", 4)
     rng = random.Random(17)

@@ -10,8 +10,8 @@
    as one.
 4. A document is contaminated by a test of whose words tiles cover ``threshold`` or more.
 
-Words are compared in lower case and without ASCII punctuation around them. Tests of fewer
-than five words have no seed and are never found.
+Words are compared in lower case and without ASCII punctuation around them. The only seed of a
+test of fewer than five words is its whole sequence, and a document that has it holds the test.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ class Words:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of all five-word windows, the text that each is in, and its word position."""
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all words, the text that each is in, and the place where each text starts."""
         split = [t.split() for t in texts]
         codes = list(map(self.known.get, chain.from_iterable(split)))
         if None in codes:
@@ -67,53 +67,79 @@ class Words:
         text = np.repeat(np.arange(len(texts)), [len(s) for s in split])
         real = h != 0
         h, text = h[real], text[real]
-        n = max(0, len(h) - WORDS + 1)
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(WORDS):
+        return h, text, np.searchsorted(text, np.arange(len(texts)))
+
+    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all five-word windows, the text that each is in, and its word position."""
+        return self.cut(*self.words(texts), WORDS)
+
+    @staticmethod
+    def cut(h: np.ndarray, text: np.ndarray, first: np.ndarray, width: int):
+        """As ``windows``, of that many words."""
+        n = max(0, len(h) - width + 1)
+        total = np.full(n, WORDS - width, dtype=np.uint64)  # widths differ in their codes
+        for k in range(width):
             part = h[k : n + k] * _MULTIPLIERS[k]
             total += part ^ (part >> np.uint64(29))
-        whole = text[:n] == text[WORDS - 1 : n + WORDS - 1]
-        first = np.searchsorted(text, np.arange(len(texts)))
+        whole = text[:n] == text[width - 1 : n + width - 1]
         position = np.arange(n) - first[text[:n]]
         return total[whole].view(np.int64), text[:n][whole], position[whole]
 
 
 def seeds_of(tests: DataFrame) -> DataFrame:
-    """``item_id, seeds, n_words`` of ``tests(item_id, text)``: the window codes in order."""
+    """``item_id, n_words, seeds`` of ``tests(item_id, text)``: the window codes in order."""
 
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         texts = pc.utf8_lower(pc.fill_null(part.column(1), "")).cast(pa.binary()).to_pylist()
-        codes, text, _ = words.windows(texts)
-        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+        h, text, first = words.words(texts)
+        sizes = np.bincount(text, minlength=len(texts)) if len(text) else np.zeros(len(texts), np.int64)
+        seeds: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+        for width in range(1, WORDS + 1):
+            codes, at, _ = words.cut(h, text, first, width)
+            for i in np.flatnonzero(np.minimum(sizes, WORDS) == width):
+                low, high = np.searchsorted(at, [i, i + 1])
+                seeds[i] = codes[low:high]
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([codes[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))],
-            names=["item_id", "seeds"],
+            [part.column(0), pa.array(sizes, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))],
+            names=["item_id", "n_words", "seeds"],
         )
 
     rows = tests.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return map_texts(rows, run, "item_id long, seeds array<long>", setup=Words).where(F.size("seeds") > 0)
+    return map_texts(rows, run, "item_id long, n_words long, seeds array<long>", setup=Words).where(
+        F.size("seeds") > 0
+    )
 
 
-def _places(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
-    """``doc_id, key, pos, seed``: where documents have one of the sorted ``seeds``."""
+def _places(docs: DataFrame, seeds: np.ndarray, widths: list[int]) -> DataFrame:
+    """``doc_id, key, pos, seed``: where documents have one of the sorted ``seeds``.
+
+    The seeds have ``widths`` words; of those of fewer than five the first place is enough.
+    """
 
     def run(part: pa.RecordBatch, state) -> pa.RecordBatch | None:
         words, table, mask = state
         raw = pc.utf8_lower(pc.fill_null(part.column(1), "")).cast(pa.binary()).to_pylist()
-        codes, text, position = words.windows(raw)
-        maybe = np.flatnonzero(table[(codes & mask)])
-        at = np.searchsorted(seeds, codes[maybe])
-        at[at == len(seeds)] = 0
-        hit = maybe[seeds[at] == codes[maybe]]
-        if not len(hit):
+        found = []
+        split = words.words(raw)
+        for width in widths:
+            codes, text, position = words.cut(*split, width)
+            maybe = np.flatnonzero(table[(codes & mask)])
+            at = np.searchsorted(seeds, codes[maybe])
+            at[at == len(seeds)] = 0
+            hit = maybe[seeds[at] == codes[maybe]]
+            if width < WORDS and len(hit):
+                _, once = np.unique(np.stack([text[hit], codes[hit]]), axis=1, return_index=True)
+                hit = hit[once]
+            found.append((text[hit], position[hit], codes[hit]))
+        rows, position, codes = (np.concatenate(x) for x in zip(*found))
+        if not len(rows):
             return None
-        rows = text[hit]
         keys = np.zeros(len(raw), dtype=np.uint64)
         for i in np.unique(rows):
             keys[i] = xxh3_64_intdigest(raw[i])
         return pa.RecordBatch.from_arrays(
             [part.column(0).take(pa.array(rows)), pa.array(keys[rows].view(np.int64)),
-             pa.array(position[hit].astype(np.int32)), pa.array(codes[hit])],
+             pa.array(position.astype(np.int32)), pa.array(codes)],
             names=["doc_id", "key", "pos", "seed"],
         )
 
@@ -213,14 +239,16 @@ def contaminated(docs: DataFrame, tests: DataFrame, threshold: float = THRESHOLD
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = written(seeds_of(tests).withColumn("item", F.xxhash64("item_id", "seeds")), "tests").dropDuplicates(["item"])
-    seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
+    # With the number of their places in the test, which may repeat itself.
+    seeds = items.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("times"))
+    widths = [r[0] for r in items.select(F.least("n_words", F.lit(WORDS))).distinct().collect()]  # five at most
     wanted = written(seeds.select("seed").distinct(), "seeds")
     passes = max(1, -(-wanted.count() // SEEDS_AT_ONCE))
     places = None
     for k in range(passes):
         part = wanted.where(F.pmod(F.xxhash64("seed"), F.lit(passes)) == k)
         held = np.sort(np.array([r[0] for r in part.collect()], dtype=np.int64))  # a bounded slice
-        found = _places(texts, held) if len(held) else None
+        found = _places(texts, held, sorted(widths)) if len(held) else None
         if found is not None:
             places = found if places is None else places.unionAll(found)
     if places is None:
@@ -228,10 +256,10 @@ def contaminated(docs: DataFrame, tests: DataFrame, threshold: float = THRESHOLD
     hits = written(places.distinct(), "places")
 
     by_doc = ["doc_id", "key"]
-    enough = F.col("shared") * WORDS >= F.lit(threshold) * (F.size("seeds") + WORDS - 1)
+    enough = F.col("shared") * WORDS >= F.lit(threshold) * F.col("n_words")
     pairs = (
         hits.select(*by_doc, "seed").distinct().join(seeds, "seed")
-        .groupBy(*by_doc, "item").agg(F.count("*").alias("shared"))
+        .groupBy(*by_doc, "item").agg(F.sum("times").alias("shared"))
         .join(items, "item").where(enough)
     )
     # All places of one document: bounded by its own length.
@@ -239,17 +267,21 @@ def contaminated(docs: DataFrame, tests: DataFrame, threshold: float = THRESHOLD
         F.sort_array(F.collect_list(F.struct("pos", "seed"))).alias("places")
     )
     candidates = pairs.join(whole, F.expr("doc_id <=> d and key <=> k")).select(
-        "doc_id", "item_id", "seeds", F.col("places.pos").alias("pos"), F.col("places.seed").alias("found")
+        "doc_id", "item_id", "n_words", "seeds", F.col("places.pos").alias("pos"), F.col("places.seed").alias("found")
     )
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, covered, counts = [], [], []
-            for test, pos, found in zip(*(batch.column(i) for i in (2, 3, 4))):
+            for size, test, pos, found in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
                 test = test.values.to_numpy()
                 some = np.isin(found.values.to_numpy(), test)
+                n_words.append(size.as_py())
+                if n_words[-1] < WORDS:  # the seed is all of it
+                    covered.append(n_words[-1])
+                    counts.append(1)
+                    continue
                 made = tiles(test, pos.values.to_numpy()[some].astype(np.int64), found.values.to_numpy()[some])
-                n_words.append(len(test) + WORDS - 1)
                 covered.append(sum(t[2] for t in made))
                 counts.append(len(made))
             yield pa.RecordBatch.from_arrays(
