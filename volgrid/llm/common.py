@@ -54,9 +54,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: later stages and lost executors read files, nothing is computed twice.
     """
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder, for tables that are removed when they have been read."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written_at`` or a stream has made in the shared scratch folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def keep_short(known: dict, found: dict) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontam, language, neardup, packing, pii, quality, sharding, tokencount, toxicity
+from . import centroids, chunks, decontam, language, neardup, packing, pii, quality, sharding, tokencount, toxicity
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
     "op10_token_counts": op10_token_counts,
+    "op13_centroids": op13_centroids,
 }
 # The others need checksums, tokenizers, fitted models or repeated marking, which SQL lacks.
 SQL: dict[str, str] = {}
@@ -127,3 +132,36 @@ roots AS (SELECT x AS doc_id, least(x, min(y)) AS root FROM reach GROUP BY x)
 SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
   coalesce(root, documents.doc_id) AS component_id, coalesce(root, documents.doc_id) = documents.doc_id AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)"""
+
+
+_APART = "list_sum(list_transform(x, lambda v, i: (v - c[i]) * (v - c[i])))"
+
+
+def _centroid_sql(rounds: int = centroids.ROUNDS, k: int = centroids.CLUSTERS, width: int = centroids.WIDTH) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT rid, vec_id, x, cluster, {_APART} AS d FROM v CROSS JOIN c{r}
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT cluster, i, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+  FROM (SELECT cluster, unnest(x) AS e, unnest(range(1, {width + 1})) AS i FROM a{r}) GROUP BY cluster, i),
+c{r + 1} AS (
+  SELECT cluster, coalesce(l, c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list(mean::BIGINT ORDER BY i) AS l FROM m{r} GROUP BY cluster) USING (cluster))""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {width}),
+c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS cluster, x AS c
+  FROM v ORDER BY cluster LIMIT {k}),
+{", ".join(steps)}
+SELECT vec_id, cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+SQL["op13_centroids"] = _centroid_sql()
