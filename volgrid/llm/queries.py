@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chunks, decontam, language, neardup, packing, pii, quality, sharding, tokencount, toxicity
+from . import (
+    centroids,
+    chunks,
+    decontam,
+    filters,
+    language,
+    neardup,
+    packing,
+    pieces,
+    pii,
+    quality,
+    sharding,
+    tokencount,
+    toxicity,
+)
 from .common import table
 
 
@@ -63,6 +77,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interactions(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(table(spark, sf_dir, "documents"), path)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +101,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_centroids": op13_centroids,
 }
 # The others need checksums, tokenizers, fitted models or repeated marking, which SQL lacks.
@@ -165,3 +190,44 @@ FROM a{rounds} JOIN c{rounds} USING (cluster)"""
 
 
 SQL["op13_centroids"] = _centroid_sql()
+
+SQL["op11_filter_audit"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS bad
+  FROM labels GROUP BY doc_id),
+w AS (
+  SELECT *, {WORDS_SQL.format("t")} AS ws,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals,
+    min(doc_id) OVER (PARTITION BY t) AS least
+  FROM d),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, [
+    len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * capitals > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(least < w.doc_id, false)] AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order,
+    s.i AS step, o[s.i] AS own, o[1:s.i - 1] AS before
+  FROM orders, letters AS s),
+cases AS (
+  SELECT part, filter_order, step, own, n, good, bad, fails[own] AS now,
+    len(list_filter(before, lambda x: fails[x])) > 0 AS earlier,
+    len(list_filter(fails, lambda x: x)) AS failed
+  FROM m, steps),
+sums AS (
+  SELECT part, filter_order, step::INTEGER AS step, own,
+    coalesce(sum(n) FILTER (NOT now AND NOT earlier), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (now AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (now AND earlier), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (now AND failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (now AND NOT earlier), 0)::BIGINT AS good_lost,
+    coalesce(sum(bad) FILTER (now AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM cases GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums"""
