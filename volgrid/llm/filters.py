@@ -48,10 +48,19 @@ REPEATED = 1 << FILTERS.index("E")
 #: Flags of a document in the counters.
 GOOD, TOXIC = 1, 2
 #: The files of a run are dealt to about so many micro-batches.
-BATCHES = 8
+BATCHES = 4
 #: Distinct keys that a task sums up before it sends them on.
 PER_TASK = 100_000
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks, with bounded memory, few files and a small copy of each batch's
+#: changes in the scratch folder.
+_STORE = "spark.sql.streaming.stateStore"
+SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 _SEEN = "doc_id long, part string, mask int, digest binary, spread long"
 _SUMMED = "digest binary, part string, flags int, mask int, doc_id long, first long, rows long"
@@ -205,9 +214,10 @@ def run_stream(spark: SparkSession, path: str, labels: str, folder: str, batches
     """
     ship(spark)
     own = spark.newSession()
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    for key, value in SETTINGS.items():
+        own.conf.set(key, value)
+    # A new session does not take over what the caller has set at run time.
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     stored = own.read.parquet(path)
     files = -(-max(1, len(stored.inputFiles())) // batches)
     docs = (
