@@ -1,0 +1,255 @@
+"""Permutations, epochs, exact splits and model choice, against brute force and on skewed input."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from volgrid.functions import permutation as perm
+from volgrid.operators import epochs, model, quota, regpath
+from volgrid.operators.split import SPLITS
+
+from test_plans import count, plan
+
+
+# --- permutations ----------------------------------------------------------------------------
+
+
+def network(value, n, keys):
+    """The same places in plain Python."""
+    a = max(1, int(np.ceil(np.sqrt(n))))
+    b = max(1, -(-n // a))
+    while True:
+        l, r, x, y = value // b, value % b, a, b
+        for k in keys:
+            mixed = ((((((r ^ k) * perm.FIRST_FACTOR) >> perm.FIRST_SHIFT) & perm.MASK) ^ k) * perm.SECOND_FACTOR) >> perm.SECOND_SHIFT
+            l, r, x, y = r, (l + mixed) % x, y, x
+        value = l * b + r
+        if value < n:
+            return value
+
+
+def keys_of(*parts):
+    text = "|".join(map(str, parts))
+    first, second = (hashlib.md5(t.encode()).hexdigest() for t in (text, text + "|more"))
+    return [int(first[7 * i : 7 * i + 7], 16) for i in range(4)] + [int(second[7 * i : 7 * i + 7], 16) for i in range(perm.ROUNDS - 4)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 10, 31, 64, 100, 997, 4097])
+def test_permutation_of_any_length(spark, n):
+    keys = perm.round_keys(3, 1)
+    placed = spark.range(n).select("id", perm.permute(F.col("id"), n, keys).alias("p"), perm.permute(F.col("id"), F.lit(n), keys).alias("q"))
+    rows = placed.withColumn("back", perm.unpermute(F.col("p"), n, keys)).collect()
+    assert sorted(r["p"] for r in rows) == list(range(n))
+    assert all(r["back"] == r["id"] and r["q"] == r["p"] for r in rows)
+    assert all(r["p"] == network(r["id"], n, keys_of(3, 1)) for r in rows)
+
+
+def test_permutation_outside_and_far_out(spark):
+    keys = perm.round_keys(1)
+    odd = spark.createDataFrame([(None,), (-1,), (10,), (2**40,)], "id long")
+    assert [r[0] for r in odd.select(perm.permute(F.col("id"), 10, keys)).collect()] == [None] * 4
+    assert spark.range(3).select(perm.permute(F.col("id"), 0, keys).alias("p")).where("p is not null").count() == 0
+    n = 2**59 + 12345
+    far = spark.range(n - 500, n).select("id", perm.permute(F.col("id"), n, keys).alias("p"))
+    assert far.where((F.col("p") < 0) | (F.col("p") >= n)).count() == 0
+    assert far.where(perm.unpermute(F.col("p"), n, keys) != F.col("id")).count() == 0
+    with pytest.raises(ValueError):
+        perm.permute(F.col("id"), 2**61, keys)
+
+
+def test_epochs_and_seeds_differ_and_mix(spark):
+    n = 4096
+    orders = {}
+    for seed, epoch in itertools.product((1, 2), (0, 1, 2)):
+        p = perm.permute(F.col("id"), n, perm.round_keys(seed, epoch))
+        orders[seed, epoch] = [r[0] for r in spark.range(n).select(p.alias("p"), "id").orderBy("id").select("p").collect()]
+    assert len(set(map(tuple, orders.values()))) == 6
+    for order in orders.values():
+        # Neighbours end up apart, and every sixteenth of the input is spread over every sixteenth of the output.
+        assert sum(abs(a - b) == 1 for a, b in zip(order, order[1:])) < 12
+        cells = Counter((i // 256, p // 256) for i, p in enumerate(order))
+        chi = sum((cells[i, j] - 16) ** 2 / 16 for i in range(16) for j in range(16))
+        assert 120 < chi < 360  # 225 degrees of freedom
+        fixed = sum(i == p for i, p in enumerate(order))
+        assert fixed < 8
+
+
+# --- epochs ----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def samples(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("samples"))
+    rows = spark.range(1003).select(F.col("id").alias("key"), F.floor(F.col("id") / 64).alias("shard_id"), (F.col("id") % 64).alias("pos"))
+    rows.repartition(7).write.parquet(path + "/t")
+    return spark.read.parquet(path + "/t")
+
+
+def test_epoch_order_takes_no_shuffle(samples):
+    for df in (epochs.epoch_order(samples, 1003, 2, 64), epochs.epoch_place(samples, 1003, 2, 64)):
+        assert count(df, "Exchange") == 0 and "Window" not in plan(df) and "Python" not in plan(df)
+
+
+@pytest.mark.parametrize("consumers, batch", [(1, 64), (4, 10), (5, 100), (40, 7)])
+def test_epoch_order(spark, samples, consumers, batch):
+    rows = epochs.epoch_order(samples, 1003, 3, 64, batch, consumers).collect()
+    shards = {r["shard_id"]: r["shard_pos"] for r in rows}
+    assert sorted(shards.values()) == list(range(16))
+    sizes = Counter(r["shard_id"] for r in rows)
+    for s, n in sizes.items():
+        assert sorted(r["sample_pos"] for r in rows if r["shard_id"] == s) == list(range(n))
+    run = -(-16 // consumers)
+    streams = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["shard_pos"], r["sample_pos"])):
+        assert r["consumer"] == r["shard_pos"] // run
+        streams[r["consumer"]].append(r)
+    for stream in streams.values():
+        assert [r["batch"] for r in stream] == [i // batch for i in range(len(stream))]
+    listed = epochs.reading_list(spark, 1003, 3, 64, consumers).collect()
+    names = ("consumer", "shard_pos", "sample_pos", "shard_id", "pos")
+    assert {tuple(r[n] for n in names) for r in listed} == {tuple(r[n] for n in names) for r in rows} and len(listed) == 1003
+
+
+def test_epoch_as_a_column(spark, samples):
+    each = samples.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    placed = epochs.epoch_place(each, 1003, "epoch", 64).collect()
+    for e in (0, 1):
+        alone = {r["key"]: r["place"] for r in epochs.epoch_place(samples, 1003, e, 64).collect()}
+        assert {r["key"]: r["place"] for r in placed if r["epoch"] == e} == alone
+    nothing = epochs.epoch_order(samples.limit(0), 0, 0, 64)
+    assert nothing.count() == 0
+    assert epochs.reading_list(spark, 0).count() == 0
+
+
+# --- exact split -----------------------------------------------------------------------------
+
+
+def apportioned(n, parts):
+    whole = [n * p // quota.PARTS for p in parts]
+    order = sorted(range(3), key=lambda i: (-(n * parts[i] % quota.PARTS), i))
+    for i in order[: n - sum(whole)]:
+        whole[i] += 1
+    return whole
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Stock 0 holds a third of all rows, some have one to thirty, some none of a name."""
+    small = [(s, t) for s in range(1, 40) for t in range(s % 31)]
+    rows = [(0, t) for t in range(3000)] + [(None, t) for t in range(700)] + [(99, t) for t in range(5300)] + small
+    return spark.createDataFrame(rows, "stock_id int, time_id int").repartition(5)
+
+
+@pytest.mark.parametrize("ranges", [1, 16, 4096])
+@pytest.mark.parametrize("eval_fraction, validation_fraction", [(0.2, 0.1), (1 / 3, 1 / 3), (0.0, 0.0), (1.0, 0.0), (0.001, 0.5)])
+def test_split_is_exact_per_stock(uneven, monkeypatch, ranges, eval_fraction, validation_fraction):
+    monkeypatch.setattr(quota, "RANGES", ranges)
+    rows = quota.assign_split_exact(uneven, eval_fraction=eval_fraction, validation_fraction=validation_fraction).collect()
+    per = defaultdict(list)
+    for r in rows:
+        digest = hashlib.md5("|".join(str(v) for v in (42, r["stock_id"], r["time_id"]) if v is not None).encode()).hexdigest()
+        per[r["stock_id"]].append((digest, r["split"]))
+    assert len(rows) == uneven.count()
+    for members in per.values():
+        wanted = apportioned(len(members), quota.shares(eval_fraction, validation_fraction))
+        names = [s for s, n in zip(SPLITS, wanted) for _ in range(n)]
+        assert [s for _, s in sorted(members)] == names
+
+
+def test_split_does_not_depend_on_partitioning(uneven):
+    a, b = (set(map(tuple, quota.assign_split_exact(df).collect())) for df in (uneven, uneven.repartition(11, "stock_id")))
+    assert a == b
+    assert quota.assign_split_exact(uneven.limit(0)).count() == 0
+
+
+def test_split_puts_only_cut_ranges_in_order(spark, uneven):
+    """The final plan compares with cuts: no window over the rows, one join on the group."""
+    text = plan(quota.assign_split_exact(uneven))
+    assert "Window" not in text and "CartesianProduct" not in text
+    assert text.count("Join") <= 2
+
+
+# --- model choice ----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 4)) * [1, 5, 0.01, 1]
+    x[:, 3] = x[:, 0] + 0.1 * rng.normal(size=900)
+    y = x @ [1.0, -0.2, 30.0, 0.5] + 3 + rng.normal(size=900)
+    rows = [(i % 3, i, *map(float, v), 7.0, float(t), float(abs(t) + 0.5)) for i, (v, t) in enumerate(zip(x, y))]
+    rows += [(0, 900, None, 1.0, 1.0, 1.0, 7.0, 1.0, 1.0), (0, 901, float("nan"), 1.0, 1.0, 1.0, 7.0, 1.0, 1.0), (0, 902, 1.0, 1.0, 1.0, 1.0, 7.0, None, 1.0)]
+    names = "stock_id int, time_id int, a double, b double, c double, d double, same double, y_log double, w double"
+    return spark.createDataFrame(rows, names).repartition(4)
+
+
+NAMES = ["a", "b", "c", "d", "same"]
+
+
+@pytest.mark.parametrize("reg", [0.0, 0.01, 1.0])
+@pytest.mark.parametrize("origin", [None, [0.5, 1.0, 0.0, 0.5, 7.0, 3.0]])
+def test_solution_is_the_library_s(points, reg, origin):
+    whole = points.na.drop().where("NOT isnan(a)")
+    wanted = model.fit_log_mse(whole, NAMES[:4], reg=reg)
+    got = regpath.total(regpath.fold_sums(points, NAMES, "y_log", origin=origin)).solve(reg)
+    assert np.allclose(got.coefficients[:4], wanted.coefficients, rtol=1e-6) and got.coefficients[4] == 0
+    assert np.isclose(got.intercept, wanted.intercept, rtol=1e-6)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_path_against_refits(points, weight):
+    """Errors of held-out folds, from rows instead of sums."""
+    regs = [0.0, 0.1, 2.0]
+    sums = regpath.fold_sums(points, NAMES, "y_log", folds=4, weight=weight, origin=[0.1] * 6)
+    path = regpath.reg_path(sums, regs)
+    data = [r for r in points.collect() if None not in tuple(r) and not np.isnan(r["a"])]
+    x = np.array([[r[c] for c in NAMES] for r in data])
+    y, w = np.array([r["y_log"] for r in data]), np.array([r[weight] if weight else 1.0 for r in data])
+    units = [int(hashlib.md5(f"42|{r['stock_id']}|{r['time_id']}".encode()).hexdigest()[:8], 16) / 2**32 for r in data]
+    folds = np.floor(np.array(units) * 4).astype(int)
+    assert len(path) == 12 and sum(n for _, fold, _, n, _ in path if fold >= 0) == 3 * len(data)
+    errors = defaultdict(float)
+    for reg, fold, fitted, n, error in path:
+        out = folds != fold
+        total = w[out].sum()
+        mx, my = (w[out, None] * x[out]).sum(0) / total, (w[out] * y[out]).sum() / total
+        cx, cy = x[out] - mx, y[out] - my
+        sx, sy = np.sqrt((w[out, None] * cx**2).sum(0) / total)[:4], np.sqrt((w[out] * cy**2).sum() / total)
+        z = cx[:, :4] / sx
+        gram = (w[out, None] * z).T @ z / total + reg / sy * np.eye(4)
+        beta = np.linalg.solve(gram, (w[out] * cy / sy) @ z / total) * sy / sx
+        assert np.allclose(fitted.coefficients[:4], beta, rtol=1e-7)
+        off = y - (my + (x[:, :4] - mx[:4]) @ beta)
+        held = folds == fold
+        assert n == held.sum() and np.isclose(error, (w * off**2)[held].sum() / w[held].sum(), rtol=1e-7)
+        errors[reg] += (w * off**2)[held].sum()
+    assert regpath.choose(sums, regs)[0] == min(errors, key=errors.get)
+
+
+def test_path_reads_rows_once(spark, points, tmp_path, monkeypatch):
+    points.write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = stored.mapInArrow(watch, stored.schema)
+    sums = regpath.fold_sums(watched, NAMES, "y_log")
+    assert len(regpath.reg_path(sums, [0.0, 0.01, 0.1, 1.0, 10.0])) == 25
+    assert seen.value == points.count()
+
+
+def test_path_of_nothing(points):
+    sums = regpath.fold_sums(points.limit(0), NAMES, "y_log")
+    assert regpath.choose(sums, [0.5, 1.0]) == (0.5, regpath.Linear([0.0] * 5, 0.0))
+    one = regpath.fold_sums(points.where("time_id = 3"), NAMES, "y_log")
+    assert regpath.total(one).solve(0.0).coefficients == [0.0] * 5
