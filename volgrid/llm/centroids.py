@@ -121,7 +121,9 @@ def advance(
     if len(rows):
         cluster[rows], gaps = _scan(x[rows], centroids)
         for row, j, gap in zip(expired, cluster[rows].tolist(), gaps.tolist()):
-            heapq.heappush(heaps[j], (gap + drift[j], row))
+            due = gap + drift[j]
+            # Without a number to compare with, the vector is looked at each time.
+            heapq.heappush(heaps[j], (due if due == due else -math.inf, row))
     return rows
 
 

@@ -8,10 +8,12 @@ that of a smaller doc_id. Failures are bits of a mask, A lowest.
    not shuffled; flags come from the labels.
 2. Rows of one text are summed up in each task before the shuffle by digest, so a text that a third
    of all documents have sends a few rows a task.
-3. The keyed state of a text holds its smallest doc_id so far and what was counted for it. When a
-   smaller one arrives, the earlier count without E is retracted and counted again with E.
-4. Gains and losses of the counters (part, mask, flags) are summed up in each task and appended to
-   a table; their sum is the count over all documents, whatever the order of arrival.
+3. The state holds each text's smallest doc_id so far and what was counted for it. When a smaller
+   one arrives, the earlier count without E is retracted and counted again with E. Texts are keyed
+   by a range of their digest; the number of ranges follows the number of rows of the first run,
+   so that a key has about ``TEXTS_PER_KEY`` texts, and calls of Python are few.
+4. Gains and losses of the counters (part, mask, flags) are appended to a table, summed up per key
+   and micro-batch; their sum is the count over all documents, whatever the order of arrival.
 5. All orders of the filters are read from the at most 32 counters of each part.
 
 Null text counts as empty. A null doc_id is neither smaller than another nor larger, so it never
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch_path
-from .common import map_texts, remove, ship, written
+from .common import exists, map_texts, remove, ship, written
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -49,22 +51,29 @@ REPEATED = 1 << FILTERS.index("E")
 GOOD, TOXIC = 1, 2
 #: The files of a run are dealt to about so many micro-batches.
 BATCHES = 4
-#: Distinct keys that a task sums up before it sends them on.
+#: Distinct texts that a task sums up before it sends them on.
 PER_TASK = 100_000
+#: Texts of one key of the state: some 15 kB.
+TEXTS_PER_KEY = 256
 #: State on the executors' disks, with bounded memory, few files and a small copy of each batch's
 #: changes in the scratch folder.
 _STORE = "spark.sql.streaming.stateStore"
 SETTINGS = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 _SEEN = "doc_id long, part string, mask int, digest binary, spread long"
-_SUMMED = "digest binary, part string, flags int, mask int, doc_id long, first long, rows long"
-_STATE = "doc_id long, parts array<string>, flags array<int>, counts array<long>"
+_SUMMED = "key int, digest binary, part string, flags int, mask int, doc_id long, first long, rows long"
+#: Texts with their smallest doc_id, and what is counted for each: the text's place, part, flags
+#: and number of rows.
+_STATE = (
+    "digests array<binary>, least array<long>, "
+    "texts array<int>, parts array<string>, flags array<int>, counts array<long>"
+)
 _CHANGE = "part string, mask int, flags int, change long"
 
 
@@ -120,97 +129,98 @@ def _flagged(seen: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text, part and flags: the smallest doc_id, the rows that have it, all rows."""
-    held: dict[tuple, list] = {}
+def _summed(keys: int):
+    """Arrow-batch function: rows of one text, part and flags become the smallest doc_id, the rows
+    that have it, and all rows."""
 
-    def out() -> pa.RecordBatch:
-        keys, values = list(held), list(held.values())
-        held.clear()
-        columns = [[k[i] for k in keys] for i in range(4)] + [[v[i] for v in values] for i in range(3)]
-        types = [pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["digest", "part", "flags", "mask", "doc_id", "first", "rows"]
+    def out(held: dict[tuple, list]) -> pa.RecordBatch:
+        groups, values = list(held), list(held.values())
+        columns = [[int.from_bytes(g[0][:8], "big") * keys >> 64 for g in groups]]
+        columns += [[g[i] for g in groups] for i in range(4)] + [[v[i] for v in values] for i in range(3)]
+        types = [pa.int32(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["key", "digest", "part", "flags", "mask", "doc_id", "first", "rows"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for digest, part, flags, mask, doc in zip(*columns):
-            # Rows without doc_id are summed apart: they compare with nothing.
-            known = held.setdefault((digest, part, flags, mask, doc is None), [doc, 0, 0])
-            known[2] += 1
-            if doc is not None:
-                if doc < known[0]:
-                    known[:2] = doc, 0
-                known[1] += doc == known[0]
-        if len(held) >= PER_TASK:
-            yield out()
-    if held:
-        yield out()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for digest, part, flags, mask, doc in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                # Rows without doc_id are summed apart: they compare with nothing.
+                known = held.setdefault((digest, part, flags, mask, doc is None), [doc, 0, 0])
+                known[2] += 1
+                if doc is not None:
+                    if doc < known[0]:
+                        known[:2] = doc, 0
+                    known[1] += doc == known[0]
+            if len(held) >= PER_TASK:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
+
+    return run
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Gains and losses of the counters by the new rows of one text."""
+    """Gains and losses of the counters by the new rows of the texts of one key."""
     changes: dict[tuple[str, int, int], int] = {}
 
     def change(part: str, mask: int, flags: int, n: int) -> None:
         changes[part, mask, flags] = changes.get((part, mask, flags), 0) + n
 
-    least = None
-    cells: dict[tuple[str, int], int] = {}
+    texts: dict[bytes, tuple[int, dict[tuple[str, int], int]]] = {}
     if state.exists:
-        least, parts, flags, counts = state.get
-        cells = {(p, f): n for p, f, n in zip(parts, flags, counts)}
-    mask, moved = 0, False
+        digests, least, places, parts, flags, counts = state.get
+        digests = [bytes(d) for d in digests]
+        texts = {d: (n, {}) for d, n in zip(digests, least)}
+        for place, part, flag, n in zip(places, parts, flags, counts):
+            texts[digests[place]][1][part, flag] = n
     for frame in frames:
-        columns = [frame[c].tolist() for c in ("part", "flags", "mask", "doc_id", "first", "rows")]
-        for part, flags, mask, doc, first, rows in zip(*columns):
+        columns = [frame[c].tolist() for c in ("digest", "part", "flags", "mask", "doc_id", "first", "rows")]
+        for digest, part, flags, mask, doc, first, rows in zip(*columns):
             if not first:
                 change(part, mask, flags, rows)
                 continue
-            doc, first = int(doc), int(first)
+            doc, first, digest = int(doc), int(first), bytes(digest)
             change(part, mask | REPEATED, flags, rows)
+            least, cells = texts.get(digest, (None, {}))
             if least is None or doc < least:
                 # What was counted as first is so no longer.
                 for (p, f), n in cells.items():
                     change(p, mask, f, -n)
                     change(p, mask | REPEATED, f, n)
-                least, cells = doc, {}
+                least, cells = texts[digest] = doc, {}
             if doc == least:
                 change(part, mask | REPEATED, flags, -first)
                 change(part, mask, flags, first)
                 cells[part, flags] = cells.get((part, flags), 0) + first
-                moved = True
-    if moved:
-        pairs = sorted(cells.items())
-        state.update((least, [p for (p, _), _ in pairs], [f for (_, f), _ in pairs], [n for _, n in pairs]))
+    held = [(i, p, f, n) for i, (_, cells) in enumerate(texts.values()) for (p, f), n in cells.items()]
+    state.update((list(texts), [n for n, _ in texts.values()], *([r[i] for r in held] for i in range(4))))
     rows = [(p, m, f, n) for (p, m, f), n in changes.items() if n]
     yield pd.DataFrame(rows, columns=["part", "mask", "flags", "change"])
 
 
-def _netted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes of equal counters added up: at most 128 a part from each task."""
-    sums: dict[tuple, int] = {}
-    for batch in batches:
-        for part, mask, flags, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            sums[part, mask, flags] = sums.get((part, mask, flags), 0) + n
-    rows = [(*k, n) for k, n in sums.items() if n]
-    if rows:
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
-        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["part", "mask", "flags", "change"])
-
-
 def _pattern(path: str) -> str:
     """A pattern that matches ``path`` alone: a stream reads a single file through one only."""
     path = path.rstrip("/")
     return f"{path[:-1]}[{path[-1]}]"
 
 
+def _keys(spark: SparkSession, stored: DataFrame, folder: str) -> int:
+    """The number of keys of the state: chosen by the first run in ``folder``, then the same."""
+    path = f"{folder}/keys"
+    if not exists(spark, path):
+        # Row counts of Parquet files are in their footers.
+        n = max(1, -(-stored.count() // TEXTS_PER_KEY))
+        spark.createDataFrame([(n,)], "keys int").write.json(path)
+    return spark.read.schema("keys int").json(path).first()["keys"]
+
+
 def run_stream(spark: SparkSession, path: str, labels: str, folder: str, batches: int = BATCHES) -> None:
     """Process the files at ``path`` that the run in ``folder`` has not seen, then stop.
 
     Called again after a failure, or when files have been added, it goes on where it ended.
-    Counters are appended to ``folder``/changes.
+    Changes of the counters are appended to ``folder``/changes.
     """
     ship(spark)
     own = spark.newSession()
@@ -227,13 +237,13 @@ def run_stream(spark: SparkSession, path: str, labels: str, folder: str, batches
         .option("maxFileAge", "36500d")
         .parquet(_pattern(path))
     )
-    summed = _flagged(_seen(docs), own.read.parquet(labels)).mapInArrow(_summed, _SUMMED)
-    changes = summed.groupBy("digest").applyInPandasWithState(
+    flagged = _flagged(_seen(docs), own.read.parquet(labels))
+    summed = flagged.mapInArrow(_summed(_keys(spark, stored, folder)), _SUMMED)
+    changes = summed.groupBy("key").applyInPandasWithState(
         _update, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout
     )
     query = (
-        changes.mapInArrow(_netted, _CHANGE)
-        .writeStream.format("parquet")
+        changes.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start(f"{folder}/changes")
