@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import permutation as perm
-from ..operators import epochs, ordering, quota, regpath
-from ..schemas import EPS, SHUFFLE_SEED, SPLIT_SEED
+from ..operators import epochs, moments, ordering, quota, regpath
+from ..operators import split as splits
+from ..schemas import BUCKET_KEY, EPS, FEATURES, SHUFFLE_SEED, SPLIT_SEED
 from ..session import scratch_path
 from ..sources import fixtures
-from .oracles import KEY, PREDICTIONS, digest, r, unit
-from .queries import BATCH, CONSUMERS, SHARD, Query, rounded
+from ..streaming import moments as moment_streams
+from . import increments
+from .oracles import BUILT, BUILT_FEATURES, KEY, PREDICTIONS, STD, digest, r, rs, unit
+from .oracles import SQL as EARLIER
+from .queries import BATCH, CONSUMERS, SHARD, Query, _split_features, rounded
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -80,6 +84,59 @@ def reg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(found, schema), 5)
 
 
+@query
+def norm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train statistics as a stream: two runs over files that arrive in between, several triggers."""
+    folder = scratch_path(spark, "norm-stream")
+    train = _split_features(spark, sf_dir, "train")
+    # Later days arrive after the first run.
+    written = scratch_path(spark, "arriving")
+    train.withColumn("late", (F.col("time_id") % 3 == 0).cast("int")).write.partitionBy("late").parquet(written)
+    schema = train.schema
+    for late in (0, 1):
+        spark.read.schema(schema).parquet(f"{written}/late={late}").write.mode("append").parquet(f"{folder}/rows")
+        files = max(1, len(spark.read.parquet(f"{folder}/rows").inputFiles()) // 3)
+        rows = moment_streams.read_row_stream(spark, f"{folder}/rows", schema, files)
+        moment_streams.moment_stream(
+            rows, f"{folder}/moments", f"{folder}/progress", available_now=True
+        ).awaitTermination()
+    return _norm_rows(moments.norm_of(moment_streams.latest_moments(spark, f"{folder}/moments")), 6)
+
+
+def _norm_rows(norm: DataFrame, digits: int) -> DataFrame:
+    """Statistics as one row per feature."""
+    names = F.array(*map(F.lit, FEATURES)).alias("feature")
+    return rounded(norm.select("count_seconds", F.inline(F.arrays_zip(names, "mean", "std"))), digits)
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> str:
+    """The derived market in three builds: labels arrive by day."""
+    out = scratch_path(spark, "appended")
+    labels = fixtures.labels(spark, sf_dir)
+    book, trade = fixtures.book(spark, sf_dir), fixtures.trade(spark, sf_dir)
+    for last in (9, 19, 10_000):
+        # Each time all labels so far: those that are built already are left out.
+        increments.append_build(spark, labels.where(F.col("time_id") <= last), book, trade, out, SHARD)
+    return out
+
+
+@query
+def append_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics after three builds, merged from the moments of their shards."""
+    return _norm_rows(increments.read_norm(spark, _appended(spark, sf_dir)), 3)
+
+
+@query
+def append_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of three builds: the same as those of a single one, but for their shards."""
+    samples = increments.read_samples(spark, _appended(spark, sf_dir))
+    cells = F.flatten("x")
+    total = F.aggregate(cells, F.lit(0.0), lambda s, v: s + F.coalesce(v.cast("double"), F.lit(0.0)))
+    return rounded(
+        samples.select(*BUCKET_KEY, "split", F.col("y_log").cast("double").alias("y_log"), F.size(cells).alias("cells"), total.alias("total")), 3
+    )
+
+
 # --- SQL -------------------------------------------------------------------------------------
 
 
@@ -193,3 +250,15 @@ lines AS (
 SELECT loss, reg, fold, count(*) AS n, {r("any_value(slope)", 5, "slope")}, {r("any_value(intercept)", 5, "intercept")},
   {r("sqrt(sum(w * (t - intercept - slope * x) * (t - intercept - slope * x)) / sum(w))", 5, "root_error")}
 FROM points JOIN lines USING (loss, fold) GROUP BY loss, reg, fold"""
+
+SQL["norm_stream"] = EARLIER["norm_stats"]
+SQL["append_norm"] = BUILT_FEATURES + " UNION ALL ".join(
+    f""" SELECT '{c}' AS feature, count(*) AS count_seconds, {r(f"avg({c}::FLOAT::DOUBLE)", 3, "mean")},
+    {r(STD.format(c=f"{c}::FLOAT"), 3, "std")} FROM built_train"""
+    for c in FEATURES
+)
+_CELLS = " + ".join(f"coalesce({c}::FLOAT::DOUBLE, 0)" for c in FEATURES)
+SQL["append_samples"] = f"""{BUILT_FEATURES},
+sums AS (SELECT stock_id, time_id, sum({_CELLS}) AS total FROM built GROUP BY ALL)
+SELECT stock_id, time_id, split, {r("ln(target + 1e-8::DOUBLE)::FLOAT", 3, "y_log")}, 8400::INTEGER AS cells, {r("total", 3)}
+FROM placed JOIN sums USING (stock_id, time_id)"""
