@@ -250,20 +250,41 @@ SQL["norm_stats"] = SPLIT_FEATURES + " UNION ALL ".join(
 )
 
 
-def normalized(split: str) -> str:
-    one = ", ".join(
-        f"avg({c}::DOUBLE) AS mean_{c}, {STD.format(c=c)} AS std_{c}" for c in FEATURES
+def _scaled(mean: str, std: str) -> str:
+    """Every feature by its statistics, given as expressions of ``{c}``."""
+    return ", ".join(
+        r(f"({c} - {mean.format(c=c)}) / ({std.format(c=c)} + 1e-12::DOUBLE)", 5, c) for c in FEATURES
     )
-    scaled = ", ".join(r(f"({c} - mean_{c}) / (std_{c} + 1e-12::DOUBLE)", 5, c) for c in FEATURES)
-    return f"""{SPLIT_FEATURES}, norm AS MATERIALIZED (SELECT {one} FROM train)
-SELECT {SLOT}, {scaled} FROM tagged, norm WHERE split = '{split}'"""
+
+
+_TRAIN_VALUE = "(CASE WHEN split = 'train' THEN {c} END)"
 
 
 SQL["synthetic_samples"] = f"""{RAW}
 SELECT stock_id, time_id, 8400::BIGINT AS cells, true AS centred, true AS scaled, true AS repeatable
 FROM buckets"""
-SQL["normalize"] = normalized("train")
-SQL["normalize_eval_split"] = normalized("eval")
+# Statistics over all rows of the train split, next to every row.
+_OVER = {
+    c: (f"avg({_TRAIN_VALUE.format(c=c)}::DOUBLE) OVER ()",
+        f"sqrt(greatest(var_pop({_TRAIN_VALUE.format(c=c)}::DOUBLE) OVER (), 1e-12::DOUBLE))")
+    for c in FEATURES
+}
+SQL["normalize"] = f"""{SPLIT_FEATURES},
+scaled AS (
+  SELECT {SLOT}, split, {", ".join(r(f"({c} - {m}) / ({d} + 1e-12::DOUBLE)", 5, c) for c, (m, d) in _OVER.items())}
+  FROM tagged)
+SELECT * EXCLUDE (split) FROM scaled WHERE split = 'train'"""
+SQL["normalize_eval_split"] = f"""{SPLIT_FEATURES}
+SELECT {SLOT}, {_scaled("(SELECT avg({c}::DOUBLE) FROM train)", f"(SELECT {STD} FROM train)")}
+FROM tagged WHERE split = 'eval'"""
+# One row per value: statistics are joined on the feature.
+SQL["normalize_long"] = f"""{SPLIT_FEATURES},
+long AS (
+  {" UNION ALL ".join(f"SELECT {SLOT}, split, '{c}' AS feature, {c}::DOUBLE AS v FROM tagged" for c in FEATURES)}),
+stats AS (
+  SELECT feature, avg(v) AS mean, {STD.format(c="v")} AS std FROM long WHERE split = 'train' GROUP BY feature)
+SELECT {SLOT}, feature, {r("(v - mean) / (std + 1e-12::DOUBLE)", 5, "value")}
+FROM long JOIN stats USING (feature) WHERE split = 'validation'"""
 
 ROUGH = """WITH rough AS (SELECT event_id, CASE event_id % 7
   WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN NULL

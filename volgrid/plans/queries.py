@@ -389,6 +389,14 @@ def normalize_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalized(spark, sf_dir, "eval")
 
 
+@query
+def normalize_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation split by the train statistics, one row per value."""
+    scaled = _normalized(spark, sf_dir, "validation")
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in FEATURES])
+    return scaled.select(*SLOT_KEY, F.inline(values))
+
+
 def _rough_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values with special numbers mixed in by event id."""
     kind = F.col("event_id") % 7
