@@ -72,7 +72,7 @@ def test_stages_from_files_to_report(spark, stored, tmp_path, monkeypatch):
         train = index.where("split = 'train'").count()
         assert manifest.norm.count_seconds == (600 * train if name == "train" else 0)
 
-    for loss in sorted(jobs.FITS):
+    for loss in sorted(jobs.LOSSES):
         run(
             monkeypatch, "evaluate", "--built", f"{tmp_path}/built", "--loss", loss,
             "--out", f"{tmp_path}/{loss}",
@@ -135,6 +135,53 @@ def test_fit_choice_and_report_against_numpy(spark, built):
     assert report.rmspe == pytest.approx(np.sqrt(np.mean((error / np.exp(y)) ** 2)), rel=1e-6)
 
 
+def _evaluated(spark, sf_dir, out, columns, loss="log_mse"):
+    labels = fixtures.labels(spark, sf_dir, 8)
+    book, trade = fixtures.book(spark, sf_dir, 8), fixtures.trade(spark, sf_dir, 8)
+    jobs.build_job(spark, labels, book, trade, out, shard_size=64, columns=columns)
+    return jobs.train_eval_job(spark, out, loss)
+
+
+@pytest.mark.parametrize("loss", jobs.LOSSES)
+def test_evaluate_follows_the_feature_list(spark, sf_dir, built, tmp_path, loss):
+    """A build in another order fits the same model; a shorter one uses what it has."""
+    trained, report = jobs.train_eval_job(spark, built, loss)
+    turned, turned_report = _evaluated(spark, sf_dir, f"{tmp_path}/turned", FEATURES[::-1], loss)
+    assert turned.features == [*FEATURES[::-1], "log_rv"] and turned.reg == trained.reg
+    a, b = report.first(), turned_report.first()
+    assert a["count"] == b["count"] and a.rmse == pytest.approx(b.rmse, rel=1e-5)
+    rows = jobs.model_rows(
+        tables.read_samples(spark, f"{tmp_path}/turned/samples"), jobs.read_norm(spark, f"{tmp_path}/turned"), FEATURES[::-1]
+    )
+    plain = jobs.model_rows(tables.read_samples(spark, f"{built}/samples"), jobs.read_norm(spark, built))
+    key = lambda r: (r["stock_id"], r["time_id"])
+    for x, y in zip(sorted(rows.collect(), key=key), sorted(plain.collect(), key=key), strict=True):
+        assert all(x[c] == pytest.approx(y[c], abs=1e-6) for c in (*FEATURES, "log_rv"))
+
+
+def test_evaluate_with_few_features(spark, sf_dir, tmp_path):
+    few = ["spread_last", "size", "rv_30s"]
+    trained, report = _evaluated(spark, sf_dir, f"{tmp_path}/few", few)
+    assert trained.features == few and report.first()["count"] > 0
+    trained, report = _evaluated(spark, sf_dir, f"{tmp_path}/one", ["log_return"])
+    assert trained.features == ["log_return", "log_rv"] and report.first()["rmse"] > 0
+
+
+def test_report_and_epochs_of_stored_predictions(spark, tmp_path, monkeypatch):
+    rows = [(s, e, i, float(i % 3), (0.1 * e - 0.2) ** 2 + i % 3 if (s, i) != ("eval", 0) else None) for s in split.SPLITS for e in range(4) for i in range(6)]
+    names = "split string, epoch int, id int, y_log double, y_log_pred double"
+    spark.createDataFrame(rows, names).write.partitionBy("epoch").parquet(f"{tmp_path}/p")
+    run(monkeypatch, "epochs", "--predictions", f"{tmp_path}/p", "--out", f"{tmp_path}/e")
+    epochs = {r["epoch"]: r for r in spark.read.json(f"{tmp_path}/e/epochs").collect()}
+    assert [epochs[e]["metric"] for e in range(4)] == pytest.approx([abs(np.exp((0.1 * e - 0.2) ** 2) - 1) for e in range(4)], abs=1e-6)
+    assert spark.read.json(f"{tmp_path}/e/best").first()["epoch"] == 2
+    run(monkeypatch, "evaluate", "--predictions", f"{tmp_path}/p", "--split", "validation", "--by", "epoch", "--out", f"{tmp_path}/v")
+    assert spark.read.json(f"{tmp_path}/v/report").count() == 4
+    run(monkeypatch, "evaluate", "--predictions", f"{tmp_path}/p", "--missing", "skip", "--out", f"{tmp_path}/s")
+    report = spark.read.json(f"{tmp_path}/s/report").first()
+    assert (report["count"], report["missing"]) == (20, 4)
+
+
 def test_latency_stage(spark, sf_dir, tmp_path, monkeypatch):
     fixtures.timings(spark, sf_dir).write.parquet(f"{tmp_path}/timings")
     run(monkeypatch, "latency", "--timings", f"{tmp_path}/timings", "--out", f"{tmp_path}/report")

@@ -19,6 +19,12 @@ def test_missing_and_nan_do_not_poison(frame):
     assert (one.count_seconds, one.source) == (4, "train")
 
 
+def test_column_without_values(frame):
+    one = stats.fit_norm(frame.select("a", F.lit(None).cast("double").alias("n")), ["n", "a"]).first()
+    assert one["mean"][0] == 0 and one["std"][0] == 1 and one["std"][1] > 1
+    assert stats.fit_norm(frame.limit(0), ["a"]).first()["std"] == [1.0]
+
+
 def test_moments(frame):
     rows = {r.feature: r for r in stats.norm_moments(frame, ["a", "c"]).collect()}
     assert (rows["a"].total, rows["a"].total_sq, rows["a"].observed) == (7, 21, 3)

@@ -96,15 +96,17 @@ def bucket_summary(
 
 
 def summarize_samples(samples: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """The same from sample matrices, row by row: ``x`` is replaced by the summary."""
+    """The same from sample matrices, row by row: ``x`` is replaced by the summary.
+
+    ``columns`` names the columns of the matrices, in order. ``rv`` needs ``log_return`` among them.
+    """
     at_end = F.element_at("x", -1)
-    position = columns.index("log_return")
-    squares = F.aggregate(
-        "x", F.lit(0.0), lambda total, row: total + (row[position] * row[position]).cast("double")
-    )
     kept = [c for c in samples.columns if c != "x"]
-    return samples.select(
-        *kept,
-        *[at_end[i].cast("double").alias(c) for i, c in enumerate(columns)],
-        F.sqrt(squares).alias("rv"),
-    )
+    summary = [at_end[i].cast("double").alias(c) for i, c in enumerate(columns)]
+    if "log_return" in columns:
+        position = columns.index("log_return")
+        squares = F.aggregate(
+            "x", F.lit(0.0), lambda total, row: total + (row[position] * row[position]).cast("double")
+        )
+        summary.append(F.sqrt(squares).alias("rv"))
+    return samples.select(*kept, *summary)

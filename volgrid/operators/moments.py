@@ -63,7 +63,7 @@ def norm_of(moments: DataFrame, columns: list[str] = FEATURES, source: str = "tr
     return one.select(
         F.array(*[F.coalesce(v["mean"], F.lit(0.0)) for v in each]).alias("mean"),
         F.array(
-            *[F.coalesce(F.sqrt(F.greatest(v["m2"] / v["n"], F.lit(VARIANCE_FLOOR))), F.lit(1.0)) for v in each]
+            *[F.when(v.isNotNull(), F.sqrt(F.greatest(v["m2"] / v["n"], F.lit(VARIANCE_FLOOR)))).otherwise(F.lit(1.0)) for v in each]
         ).alias("std"),
         F.coalesce(F.array_max(F.transform(F.map_values("_v"), lambda v: v["rows"])), F.lit(0)).alias("count_seconds"),
         F.lit(source).alias("source"),

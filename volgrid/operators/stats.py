@@ -39,8 +39,9 @@ def fit_norm(df: DataFrame, columns: list[str] = FEATURES, source: str = "train"
     """
     values = [_observed(c) for c in columns]
     means = [F.coalesce(F.avg(v), F.lit(0.0)) for v in values]
+    # ``greatest`` skips nulls, so a column without values needs a test of its own.
     stds = [
-        F.coalesce(F.sqrt(F.greatest(F.var_pop(v), F.lit(VARIANCE_FLOOR))), F.lit(1.0))
+        F.when(F.count(v) > 0, F.sqrt(F.greatest(F.var_pop(v), F.lit(VARIANCE_FLOOR)))).otherwise(F.lit(1.0))
         for v in values
     ]
     return df.agg(

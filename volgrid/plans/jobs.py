@@ -11,22 +11,19 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log_label
-from ..operators import assemble, latency, metrics, model, quality, split, stats
-from ..schemas import BUCKET_KEY, EVAL_FRACTION, FEATURES, SHARD_SIZE, SPLIT_SEED, VALIDATION_FRACTION
+from ..functions.scalars import exp_label, log_label
+from ..operators import assemble, latency, metrics, model, quality, regpath, split, stats
+from ..schemas import BUCKET_KEY, EPS, EVAL_FRACTION, FEATURES, SHARD_SIZE, SPLIT_SEED, VALIDATION_FRACTION
 from ..session import build_session, scratch_path
 from ..sources import tables
 from ..streaming import scoring
+from . import increments
 
-SUMMARY_FEATURES = [*FEATURES, "log_rv"]
-FITS: dict[str, Callable[..., LinearRegressionModel]] = {
-    "log_mse": model.fit_log_mse,
-    "rmspe": model.fit_mspe,
-}
+LOSSES = ("log_mse", "rmspe")
+REGS = (0.0, 0.001, 0.01, 0.1)
 
 
 def index_job(
@@ -82,13 +79,28 @@ def read_norm(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{out}/norm")
 
 
-def model_rows(samples: DataFrame, norm: DataFrame) -> DataFrame:
-    """Fitting rows: normalized, sanitized summary of each sample with its label."""
-    summary = assemble.summarize_samples(samples)
-    normal = stats.apply_norm(summary, norm)
-    clean = stats.sanitize_columns(normal).withColumn("log_rv", log_label("rv"))
+def built_features(spark: SparkSession, out: str) -> list[str]:
+    """The feature list that a build was made with, in its order."""
+    return tables.read_manifest(spark, f"{out}/manifest/train").first()["feature_cols"]
+
+
+def model_features(columns: list[str]) -> list[str]:
+    """Inputs of the linear models: the features, and the log volatility where it is known."""
+    return [*columns, "log_rv"] if "log_return" in columns else list(columns)
+
+
+def model_rows(samples: DataFrame, norm: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+    """Fitting rows: normalized, sanitized summary of each sample with its label.
+
+    ``columns`` are the features of the samples and of ``norm``, in their order.
+    """
+    summary = assemble.summarize_samples(samples, columns)
+    normal = stats.apply_norm(summary, norm, columns)
+    clean = stats.sanitize_columns(normal, columns)
+    if "log_return" in columns:
+        clean = clean.withColumn("log_rv", log_label("rv"))
     checked = quality.require_finite(clean, ["y_log"])
-    return checked.select("stock_id", "time_id", "split", "y_log", *SUMMARY_FEATURES)
+    return checked.select("stock_id", "time_id", "split", "y_log", *model_features(columns))
 
 
 @dataclass
@@ -98,7 +110,7 @@ class Trained:
     features: list[str]
     loss: str
     reg: float
-    fitted: LinearRegressionModel
+    fitted: regpath.Linear
     epochs: DataFrame | None = None
 
     def predict_log(self, rows: DataFrame, name: str = "y_log_pred") -> DataFrame:
@@ -109,23 +121,42 @@ class Trained:
         return scored
 
 
+def _train_sums(train: DataFrame, features: list[str], loss: str) -> regpath.Sums:
+    """Everything that a linear model under this loss needs of the rows."""
+    if loss == "log_mse":
+        return regpath.total(regpath.fold_sums(train, features, "y_log", folds=1))
+    if loss != "rmspe":
+        raise ValueError(f"unknown loss: {loss}")
+    y = exp_label("y_log")
+    # A row's weight turns the squared error into the squared percentage error.
+    weighted = train.withColumn("_y", y).withColumn("_weight", 1 / ((y + F.lit(EPS)) * (y + F.lit(EPS))))
+    return regpath.total(regpath.fold_sums(weighted, features, "_y", folds=1, weight="_weight"))
+
+
 def fit_job(
     spark: SparkSession,
     rows: DataFrame,
     loss: str = "log_mse",
-    regs: tuple[float, ...] = (0.0, 0.001, 0.01, 0.1),
-    features: list[str] = SUMMARY_FEATURES,
+    regs: tuple[float, ...] = REGS,
+    features: list[str] | None = None,
 ) -> Trained:
-    """Fit one candidate per regularization on train; keep the best by validation RMSPE."""
-    train = rows.where(F.col("split") == "train")
+    """One candidate per regularization on train; the best by validation RMSPE.
+
+    Train is read once, for the sums that all candidates are solved from, and validation once, for
+    the errors of all of them.
+    """
+    names = features or [c for c in rows.columns if c not in (*BUCKET_KEY, "split", "y_log")]
+    sums = _train_sums(rows.where(F.col("split") == "train"), names, loss)
+    candidates = [Trained(names, loss, float(reg), sums.solve(reg)) for reg in regs]
     validation = rows.where(F.col("split") == "validation")
-    candidates, scores = [], []
-    for epoch, reg in enumerate(regs):
-        fitted = FITS[loss](train, features, reg=reg)
-        trained = Trained(features, loss, reg, fitted)
-        report = metrics.eval_report(trained.predict_log(validation), pred_log="y_log_pred").first()
-        candidates.append(trained)
-        scores.append((epoch, float(reg), float(report["rmspe"])))
+    for i, candidate in enumerate(candidates):
+        validation = candidate.predict_log(validation, f"_pred_{i}")
+    each = [F.struct(F.lit(i).alias("epoch"), F.col(f"_pred_{i}").alias("y_log_pred")) for i in range(len(regs))]
+    stacked = validation.select("y_log", F.inline(F.array(*each)))
+    # One row a candidate.
+    found = metrics.eval_report(stacked, ["epoch"], pred_log="y_log_pred").collect()
+    errors = {r["epoch"]: float(r["rmspe"]) for r in found}
+    scores = [(i, c.reg, errors.get(i)) for i, c in enumerate(candidates)]
     epochs = spark.createDataFrame(scores, "epoch int, reg double, metric double")
     best = candidates[metrics.best_epoch(epochs).first()["epoch"]]
     best.epochs = metrics.best_so_far(epochs)
@@ -139,16 +170,23 @@ def evaluate_job(rows: DataFrame, trained: Trained, by: list[str] | None = None)
 
 
 def train_eval_job(
-    spark: SparkSession, out: str, loss: str = "log_mse"
+    spark: SparkSession,
+    out: str,
+    loss: str = "log_mse",
+    regs: tuple[float, ...] = REGS,
+    features: list[str] | None = None,
 ) -> tuple[Trained, DataFrame]:
-    """Fit, choose and evaluate on a built sample table."""
+    """Fit, choose and evaluate on a built sample table, with the features it was built with.
+
+    ``features`` picks some of the model's inputs (see ``model_features``).
+    """
     samples = tables.read_samples(spark, f"{out}/samples")
-    # The summary has one short row per sample. It is read once per candidate, so it is
-    # written as a table instead of being derived from the matrices each time.
+    # The summary has one short row per sample. It is read several times, so it is written as a
+    # table instead of being derived from the matrices each time.
     summary = scratch_path(spark, "summary")
-    model_rows(samples, read_norm(spark, out)).write.parquet(summary)
+    model_rows(samples, read_norm(spark, out), built_features(spark, out)).write.parquet(summary)
     rows = spark.read.parquet(summary)
-    trained = fit_job(spark, rows, loss)
+    trained = fit_job(spark, rows, loss, regs, features)
     return trained, evaluate_job(rows, trained)
 
 
@@ -176,11 +214,27 @@ def score_job(
 
 
 def report_job(
-    spark: SparkSession, predictions_path: str, split_name: str = "eval", by: list[str] | None = None
+    spark: SparkSession,
+    predictions_path: str,
+    split_name: str = "eval",
+    by: list[str] | None = None,
+    missing: str = "error",
 ) -> DataFrame:
     """Report on stored predictions of any model (``split, y_log, y_log_pred``)."""
     scored = spark.read.parquet(predictions_path).where(F.col("split") == split_name)
-    return metrics.eval_report(scored, by, pred_log="y_log_pred")
+    return metrics.eval_report(scored, by, pred_log="y_log_pred", missing=missing)
+
+
+def epochs_job(
+    spark: SparkSession, predictions_path: str, split_name: str = "validation", missing: str = "error"
+) -> tuple[DataFrame, DataFrame]:
+    """Metric of every epoch of a model of one's own, and the best one.
+
+    Predictions are stored with an ``epoch``, as by ``score`` into one folder ``epoch=...`` each.
+    """
+    report = report_job(spark, predictions_path, split_name, ["epoch"], missing)
+    epochs = metrics.best_so_far(report.select("epoch", F.col("rmspe").alias("metric"), "rmse", "count"))
+    return epochs, metrics.best_epoch(epochs)
 
 
 def serve_job(
@@ -226,6 +280,7 @@ def _arguments() -> argparse.Namespace:
 
     build = stages.add_parser("build", help="build samples, statistics and manifests")
     build.add_argument("--index", required=True)
+    build.add_argument("--append", action="store_true", help="add the buckets that earlier builds lack")
     build.add_argument("--book", required=True)
     build.add_argument("--trade", required=True)
     build.add_argument("--out", required=True)
@@ -242,8 +297,15 @@ def _arguments() -> argparse.Namespace:
     what = fit.add_mutually_exclusive_group(required=True)
     what.add_argument("--built")
     what.add_argument("--predictions", help="output of score, of a model of any kind")
-    fit.add_argument("--loss", choices=sorted(FITS), default="log_mse")
+    fit.add_argument("--loss", choices=LOSSES, default="log_mse")
     fit.add_argument("--out", required=True)
+    choose = stages.add_parser("epochs", help="metric per epoch of stored predictions, and the best epoch")
+    choose.add_argument("--predictions", required=True, help="with a column or folders epoch=...")
+    choose.add_argument("--out", required=True)
+    for stage, default in ((fit, "eval"), (choose, "validation")):
+        stage.add_argument("--split", choices=split.SPLITS, default=default, help="of the predictions")
+        stage.add_argument("--missing", choices=["error", "skip"], default="error", help="missing predictions")
+    fit.add_argument("--by", nargs="*", metavar="COLUMN", help="report on predictions per group")
 
     score = stages.add_parser("score", help="score stored samples")
     score.add_argument("--samples", required=True)
@@ -276,7 +338,8 @@ def main() -> None:
             spark, args.labels, args.out, args.eval_fraction, args.validation_fraction, args.seed
         )
     elif args.stage == "build":
-        build_job(
+        make = increments.append_build if args.append else build_job
+        make(
             spark,
             tables.read_index(spark, args.index),
             tables.read_book(spark, args.book),
@@ -287,7 +350,12 @@ def main() -> None:
             args.features,
         )
     elif args.stage == "evaluate" and args.predictions:
-        tables.write_json(report_job(spark, args.predictions), f"{args.out}/report")
+        report = report_job(spark, args.predictions, args.split, args.by, args.missing)
+        tables.write_json(report, f"{args.out}/report")
+    elif args.stage == "epochs":
+        epochs, best = epochs_job(spark, args.predictions, args.split, args.missing)
+        tables.write_json(epochs, f"{args.out}/epochs")
+        tables.write_json(best, f"{args.out}/best")
     elif args.stage == "evaluate":
         trained, report = train_eval_job(spark, args.built, args.loss)
         tables.write_json(report, f"{args.out}/report")

@@ -661,7 +661,7 @@ def train_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, features, statistics, fits, choice and report, for both losses."""
     built = _built(spark, sf_dir)
     reports = []
-    for loss in jobs.FITS:
+    for loss in jobs.LOSSES:
         trained, report = jobs.train_eval_job(spark, built, loss)
         reports.append(
             report.withColumns({"loss": F.lit(loss), "reg": F.lit(float(trained.reg))})

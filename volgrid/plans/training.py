@@ -12,7 +12,7 @@ from ..schemas import BUCKET_KEY, EPS, FEATURES, SHUFFLE_SEED, SPLIT_SEED
 from ..session import scratch_path
 from ..sources import fixtures
 from ..streaming import moments as moment_streams
-from . import increments
+from . import increments, jobs
 from .oracles import BUILT, BUILT_FEATURES, KEY, PREDICTIONS, STD, digest, r, rs, unit
 from .oracles import SQL as EARLIER
 from .queries import BATCH, CONSUMERS, SHARD, Query, _split_features, rounded
@@ -137,6 +137,20 @@ def append_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def train_eval_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build in another order of features, then fit, choose and report with one input."""
+    out = scratch_path(spark, "built")
+    labels = fixtures.labels(spark, sf_dir)
+    book, trade = fixtures.book(spark, sf_dir), fixtures.trade(spark, sf_dir)
+    jobs.build_job(spark, labels, book, trade, out, shard_size=SHARD, columns=["rv_30s", "log_return", "size"])
+    reports = []
+    for loss in jobs.LOSSES:
+        trained, report = jobs.train_eval_job(spark, out, loss, (0.0,), ["log_rv"])
+        reports.append(report.withColumn("loss", F.lit(loss)))
+    return rounded(reports[0].unionByName(reports[1]), 4)
+
+
 # --- SQL -------------------------------------------------------------------------------------
 
 
@@ -262,3 +276,26 @@ SQL["append_samples"] = f"""{BUILT_FEATURES},
 sums AS (SELECT stock_id, time_id, sum({_CELLS}) AS total FROM built GROUP BY ALL)
 SELECT stock_id, time_id, split, {r("ln(target + 1e-8::DOUBLE)::FLOAT", 3, "y_log")}, 8400::INTEGER AS cells, {r("total", 3)}
 FROM placed JOIN sums USING (stock_id, time_id)"""
+
+SQL["train_eval_line"] = f"""{BUILT_FEATURES},
+points AS (
+  SELECT split, ln(sqrt(sum(log_return::FLOAT::DOUBLE * log_return::FLOAT::DOUBLE)) + 1e-8::DOUBLE) AS x,
+    any_value(ln(target + 1e-8::DOUBLE)::FLOAT)::DOUBLE AS t
+  FROM built JOIN placed USING (stock_id, time_id, split) GROUP BY stock_id, time_id, split),
+weighted AS (
+  SELECT 'log_mse' AS loss, split, x, t, t AS y, 1.0::DOUBLE AS w FROM points
+  UNION ALL SELECT 'rmspe', split, x, t, exp(t) - 1e-8::DOUBLE, 1 / (exp(t) * exp(t)) FROM points),
+means AS (
+  SELECT loss, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM weighted
+  WHERE split = 'train' GROUP BY loss),
+lines AS (
+  SELECT loss, any_value(mx) AS mx, any_value(my) AS my,
+    sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope
+  FROM weighted JOIN means USING (loss) WHERE split = 'train' GROUP BY loss),
+scored AS (
+  SELECT loss, CASE WHEN loss = 'log_mse' THEN exp(my + slope * (x - mx)) - 1e-8::DOUBLE
+      ELSE greatest(my + slope * (x - mx), 0) END AS p, exp(t) - 1e-8::DOUBLE AS y
+  FROM weighted JOIN lines USING (loss) WHERE split = 'eval')
+SELECT loss, {r("sqrt(avg((p - y) * (p - y)))", 4, "rmse")},
+  {r("sqrt(avg((p - y) / (y + 1e-8::DOUBLE) * ((p - y) / (y + 1e-8::DOUBLE))))", 4, "rmspe")}, count(*) AS count
+FROM scored GROUP BY loss"""
