@@ -4,7 +4,9 @@ A text is cut at spaces and line ends into segments that the tokenizer provably
 one, so that each distinct segment is encoded once per task and then looked up.
 
 - *Word tokenizers* (white space dropped before the merges): every space or line end separates
-  tokens, so segments are what lies between them.
+  tokens, so segments are what lies between them. Where the file lower-cases and cuts words as
+  ``_WORDS`` says, and the text holds only characters that this is certain for, segments are its
+  lower-cased words: there are far fewer of them, and many are encoded in one go.
 - *Byte tokenizers* (white space belongs to the following word): a token boundary lies before a
   run of spaces and line ends that follows any other character, provided the text holds no
   further kind of white space, and what follows the boundary does not depend on what lies
@@ -17,9 +19,12 @@ segment and get the library's default treatment.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -29,6 +34,25 @@ KEPT = 900_000
 #: Longer ones are encoded anew each time, so that what is kept is bounded in bytes.
 LONGEST_KEPT = 64
 
+#: Distinct lower-cased words that a worker keeps, twice: some 60 MB each.
+KEPT_WORDS = 250_000
+#: Words that are encoded in one go.
+JOINED = 512
+
+# How the files of word tokenizers that are cut finely normalise and cut texts.
+_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Lower-case letters of Latin alphabets, which no normalisation changes or joins.
+_LETTERS = "a-zß-öø-ſ"
+#: Any other character than these letters, their capitals, ASCII, spaces and line ends, or what
+#: may be a special string.
+_UNSURE = re.compile(r"[^\n -~À-ÖØ-öø-įı-ňŊ-ſ]|<\|")
+_LOWER_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+
 _BYTE_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -46,6 +70,8 @@ def load(path: str):
 class _Known:
     """Values of segments, encoded on first sight; ``parse`` makes a value of an encoding."""
 
+    kept = KEPT
+
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.known: dict = {}
@@ -54,36 +80,79 @@ class _Known:
     def parse(self, encoding):
         raise NotImplementedError
 
+    def encoded(self, new: list[str]) -> Iterator:
+        """The values of segments that were not seen before."""
+        for at in range(0, len(new), 4096):
+            yield from map(self.parse, self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False))
+
     def values(self, parts: list[list[str]]) -> list[list]:
-        """The values of the segments of several texts: one look-up each, then the unseen ones."""
-        out = [list(map(self.known.get, p)) for p in parts]
-        short = [i for i, values in enumerate(out) if None in values]
-        if short:
-            unseen = {s for i in short for s, v in zip(parts[i], out[i]) if v is None}
-            found = {s: self.older[s] for s in unseen & self.older.keys()}
-            new = list(unseen - found.keys())
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                batch = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                found.update(zip(some, map(self.parse, batch)))
-            for i in short:
-                out[i] = [found[s] if v is None else v for s, v in zip(parts[i], out[i])]
-            if len(self.known) + len(found) > KEPT:
-                self.older, self.known = self.known, {}
-            self.known.update((s, v) for s, v in found.items() if len(s) <= LONGEST_KEPT)
-        return out
+        """The values of the segments of several texts: distinct unseen ones first, then one
+        look-up each."""
+        flat = list(chain.from_iterable(parts))
+        unseen = set(flat).difference(self.known)
+        if len(self.known) + len(unseen) > self.kept:
+            self.older, self.known = self.known, {}
+            unseen = set(flat)
+        again = unseen.intersection(self.older)
+        self.known.update((s, self.older[s]) for s in again)
+        new = list(unseen - again)
+        self.known.update(zip(new, self.encoded(new)))
+        found = list(map(self.known.__getitem__, flat))
+        for s in [s for s in new if len(s) > LONGEST_KEPT]:
+            del self.known[s]
+        ends = list(accumulate(map(len, parts), initial=0))
+        return [found[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class _Words(_Known):
+    """Token ids of lower-cased words, each of which ends with a token that is marked as an end."""
+
+    kept = KEPT_WORDS
+
+    def __init__(self, tokenizer, suffix: str):
+        self.tokenizer = tokenizer
+        self.known, self.older = {}, {}
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encoded(self, new: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(new), JOINED):
+            some = new[at : at + JOINED]
+            joined = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer does not end each word with a token of its own")
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *cuts], cuts))
 
 
 class WordIds(_Known):
     """Token ids of texts under a word tokenizer, as little-endian unsigned 32-bit bytes."""
 
+    kept = KEPT_WORDS
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        cut = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = said["model"].get("end_of_word_suffix")
+        same = (said.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        special = all(t["content"].startswith("<|") for t in said.get("added_tokens", []))
+        fine = same and special and suffix and cut[0].get("pattern") == {"Regex": _WORDS}
+        self.words = _Words(self.tokenizer, suffix) if fine else None
+
     def parse(self, encoding) -> bytes:
         ids = encoding.ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        return [b"".join(values) for values in self.values(parts)]
+        sure = [self.words is not None and not _UNSURE.search(t) for t in texts]
+        fine = iter(self.words.values([_LOWER_WORD.findall(t.lower()) for t, s in zip(texts, sure) if s]) if any(sure) else ())
+        rough = iter(self.values([t.replace("\n", " ").split(" ") for t, s in zip(texts, sure) if not s]))
+        return [b"".join(next(fine if s else rough)) for s in sure]
 
 
 class ByteCounts(_Known):
