@@ -71,7 +71,12 @@ def slot_states(
     Between two slots the filled price does not move, so its log return is 0 there and the
     slots hold every non-zero return of the bucket.
     """
-    raw = merged_slots(index, book, trade, keep_trade_only, carry, unique_slots).select(
+    return states_of_slots(merged_slots(index, book, trade, keep_trade_only, carry, unique_slots), carry)
+
+
+def states_of_slots(slots: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same from slots that are placed by bucket, in the form of ``grid.merged_slots``."""
+    raw = slots.select(
         *SLOT_KEY,
         *carry,
         "_anchor",
@@ -126,7 +131,11 @@ def bucket_features(
     unique_slots: bool = False,
 ) -> DataFrame:
     """600 rows per indexed bucket: second, carried columns and the features in order."""
-    states = slot_states(index, book, trade, keep_trade_only, carry, unique_slots)
+    return features_of_states(slot_states(index, book, trade, keep_trade_only, carry, unique_slots), carry)
+
+
+def features_of_states(states: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The features from the states after each slot (see ``slot_states``)."""
     seconds_since_trade = staleness("_trade_second")
 
     def at_slot(value: Column) -> Column:

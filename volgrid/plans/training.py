@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import permutation as perm
-from ..operators import epochs, moments, ordering, quota, regpath
+from ..operators import custom, epochs, moments, ordering, quota, regpath
 from ..operators import split as splits
 from ..schemas import BUCKET_KEY, EPS, FEATURES, SHUFFLE_SEED, SPLIT_SEED
 from ..session import scratch_path
-from ..sources import fixtures
+from ..sources import fixtures, layout
 from ..streaming import moments as moment_streams
 from . import increments, jobs
-from .oracles import BUILT, BUILT_FEATURES, KEY, PREDICTIONS, STD, digest, r, rs, unit
+from .oracles import ALL, BUILT_FEATURES, KEY, PREDICTIONS, STD, digest, r, rs, unit
 from .oracles import SQL as EARLIER
 from .queries import BATCH, CONSUMERS, SHARD, Query, _split_features, rounded
 
@@ -151,6 +152,47 @@ def train_eval_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports[0].unionByName(reports[1]), 4)
 
 
+@query
+def bucket_features_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features from tables that are stored in their distribution: no shuffle."""
+    frame = layout.bucket_features(spark, *_stored_layout(spark, sf_dir))
+    flag = "last_trade_gap_geq_cap"
+    return rounded(frame.withColumn(flag, F.col(flag).cast("int")))
+
+
+def _stored_layout(spark: SparkSession, sf_dir: str, buckets: int = 8) -> tuple[str, str]:
+    """Names of the stored index and slots of the derived market."""
+    folder = scratch_path(spark, "layout")
+    name = folder.rsplit("-", 1)[1]
+    index, book, trade = fixtures.market(spark, sf_dir)
+    layout.write_slots(book, trade, f"slots_{name}", f"{folder}/slots", buckets)
+    layout.write_index(index, f"index_{name}", f"{folder}/index", buckets)
+    return f"index_{name}", f"slots_{name}"
+
+
+def volatility(stock_id: int, time_id: int, book, trade) -> dict[str, np.ndarray]:
+    """An example of a function of one's own: log returns of the filled price, and traded size."""
+    seconds = np.arange(600)
+    sizes = book["bid_size1"] + book["ask_size1"] + 1e-8
+    wap = (book["bid_price1"] * book["ask_size1"] + book["ask_price1"] * book["bid_size1"]) / sizes
+    good = wap.notna().to_numpy()
+    at, prices = book["seconds_in_bucket"].to_numpy()[good], wap.to_numpy()[good]
+    logs = np.where(prices > 0, np.log(np.where(prices > 0, prices, 1.0)), np.nan)
+    last = np.searchsorted(at, seconds, side="right") - 1
+    filled = np.where(last >= 0, logs[last], np.nan) if len(at) else np.full(600, np.nan)
+    size = np.zeros(600)
+    size[trade["seconds_in_bucket"].to_numpy()] = trade["size"].fillna(0).to_numpy()
+    return {"log_return": np.nan_to_num(np.diff(filled, prepend=np.nan)), "size": size}
+
+
+@query
+def bucket_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realized volatility and traded size of each bucket, by the function above."""
+    rows = custom.bucket_udf(*fixtures.market(spark, sf_dir), volatility, ["log_return", "size"])
+    squares = F.sqrt(F.sum(F.col("log_return") * F.col("log_return")))
+    return rounded(rows.groupBy(*BUCKET_KEY).agg(squares.alias("rv"), F.sum("size").alias("size")), 8)
+
+
 # --- SQL -------------------------------------------------------------------------------------
 
 
@@ -299,3 +341,8 @@ scored AS (
 SELECT loss, {r("sqrt(avg((p - y) * (p - y)))", 4, "rmse")},
   {r("sqrt(avg((p - y) / (y + 1e-8::DOUBLE) * ((p - y) / (y + 1e-8::DOUBLE))))", 4, "rmspe")}, count(*) AS count
 FROM scored GROUP BY loss"""
+
+SQL["bucket_features_layout"] = EARLIER["bucket_features"]
+SQL["bucket_udf"] = f"""{ALL}
+SELECT stock_id, time_id, {r("sqrt(sum(log_return * log_return))", 8, "rv")}, {r("sum(size)", 8, "size")}
+FROM features GROUP BY stock_id, time_id"""
