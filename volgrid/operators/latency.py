@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import EPS
 from ..session import cut_lineage
-from .ordering import same_keys
+from .ordering import null_free
 
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 # Ranges per unit of the natural logarithm, and the offset that keeps indexes of tiny values
@@ -78,10 +78,9 @@ def combined(timings: DataFrame, by: list[str], value: str = "latency_ms") -> Da
 
 
 def _within(values: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The values that lie in a hit cell, with the cell's columns."""
+    """The values that lie in a hit cell, with the cell's columns. ``keys`` are never null."""
     carried = [c for c in cells.columns if c not in keys]
-    joined = values.alias("values").join(cells.alias("cells"), same_keys("values", "cells", keys))
-    return joined.select("values.*", *[F.col(f"cells.{c}") for c in carried])
+    return values.join(cells, keys).select(*values.columns, *carried)
 
 
 def select_percentiles(
@@ -89,7 +88,7 @@ def select_percentiles(
 ) -> DataFrame:
     """One row per group of ``combined`` values: the value at each floor rank.
 
-    Three narrowing steps: fixed ranges, parts of the hit ranges, values of the hit parts. At
+    The columns of ``by`` are never null (see ``ordering.null_free``). Three narrowing steps: fixed ranges, parts of the hit ranges, values of the hit parts. At
     most one range per group and quantile is looked at again.
     """
     ranks = {_rank_name(q): p for q, p in quantiles.items()}
@@ -129,7 +128,9 @@ def percentiles(
 
     Calling this reads and combines the rows (see ``combined``).
     """
-    return select_percentiles(combined(timings, by, value), by, quantiles)
+    keyed, keys, restored = null_free(timings, by)
+    picked = select_percentiles(combined(keyed, keys, value), keys, quantiles)
+    return picked.select(*restored, *quantiles)
 
 
 def latency_summary(
@@ -143,21 +144,17 @@ def latency_summary(
     Without ``by`` all timings form one group. Calling this reads and combines the rows.
     """
     grouped = timings if by else timings.withColumn("_all", F.lit(0))
-    keys = by or ["_all"]
-    values = combined(grouped, keys, value)
+    keyed, keys, restored = null_free(grouped, by or ["_all"])
+    values = combined(keyed, keys, value)
     busy = F.sum(F.col("_value") * F.col("_rows"))
     count = F.coalesce(F.sum(F.when(F.col("_value").isNotNull(), F.col("_rows"))), F.lit(0))
     totals = values.groupBy(*keys).agg(
         F.try_divide(busy, count).alias("mean_ms"), count.alias("count"), (busy / 1000).alias("total_s")
     )
     picked = select_percentiles(values, keys)
-    joined = totals.alias("totals").join(
-        picked.alias("picked"), same_keys("totals", "picked", keys), "left"
-    )
     rate = F.col("count") * batch_size / F.greatest(F.col("total_s"), F.lit(EPS))
-    return joined.select(
-        *[F.col(f"totals.{k}") for k in by or []],
-        "mean_ms", *QUANTILES, "count", "total_s", rate.alias("throughput_qps"),
+    return totals.join(picked, keys, "left").select(
+        *(restored if by else []), "mean_ms", *QUANTILES, "count", "total_s", rate.alias("throughput_qps")
     )
 
 

@@ -20,6 +20,26 @@ INTERVALS_PER_PARTITION = 64
 CHUNK = 1024
 
 
+def null_free(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """The rows with key columns that are never null, their names, and the keys back from them.
+
+    Null is a value of its own. Joins on such columns are plain equalities, which reuse the
+    partitioning of windows and aggregations by them; a null-safe comparison of the keys
+    themselves would shuffle the rows again.
+    """
+    added: dict[str, Column] = {}
+    restored: list[Column] = []
+    types = dict(df.dtypes)
+    for i, k in enumerate(keys):
+        kind = types[k]
+        plain = kind in ("tinyint", "smallint", "int", "bigint", "string")
+        value = F.col(k) if plain else F.col(k).cast("string")
+        filler = F.lit("") if kind == "string" or not plain else F.lit(0).cast(kind)
+        added |= {f"_key_{i}": F.coalesce(value, filler), f"_none_{i}": F.col(k).isNull()}
+        restored.append(F.when(~F.col(f"_none_{i}"), F.col(f"_key_{i}").cast(kind)).alias(k))
+    return df.withColumns(added) if added else df, list(added), restored
+
+
 def running_totals(
     df: DataFrame, index: str, values: dict[str, Column | str], group: list[str] = []
 ) -> DataFrame:
@@ -29,12 +49,13 @@ def running_totals(
     of indexes first, so a task holds one chunk, or one row per chunk of a group, never the
     whole group.
     """
-    chunk = [*group, "_chunk"]
-    rows = df.withColumn("_chunk", F.floor(F.col(index) / CHUNK))
+    keyed, keys, _ = null_free(df, group)
+    chunk = [*keys, "_chunk"]
+    rows = keyed.withColumn("_chunk", F.coalesce(F.floor(F.col(index) / CHUNK), F.lit(-1)))
     totals = rows.groupBy(*chunk).agg(
         *[F.sum(v).alias(f"_total_{name}") for name, v in values.items()]
     )
-    by_chunk = _window(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = _window(keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         *chunk,
         *[
@@ -50,21 +71,12 @@ def running_totals(
             for name, v in values.items()
         ],
     )
-    joined = local.alias("rows").join(bases.alias("bases"), same_keys("rows", "bases", chunk))
-    return joined.select(
-        *[F.col(f"rows.{c}") for c in df.columns],
-        *[(F.col(f"_base_{n}") + F.col(f"_local_{n}")).alias(n) for n in values],
+    # The rows stay where their window has put them; only the totals move.
+    return local.join(bases, chunk).select(
+        *df.columns, *[(F.col(f"_base_{n}") + F.col(f"_local_{n}")).alias(n) for n in values]
     )
 
 
-def same_keys(left: str, right: str, keys: list[str]) -> Column:
-    """Equal keys, null being a value of its own, for frames under these aliases."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return same
-
-
 def _window(group: list[str]) -> WindowSpec:
     # Without a group there is one row per interval (64 per partition) or per 1,024 indexes.
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
@@ -84,23 +96,21 @@ def hash_rank(
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     intervals = INTERVALS_PER_PARTITION * partitions
-    part = [*group, "_interval"]
-    rows = df.withColumn("_unit", unit).withColumn(
-        "_interval", F.floor(F.col("_unit") * intervals).cast("int")
+    keyed, keys, _ = null_free(df, group)
+    part = [*keys, "_interval"]
+    rows = keyed.withColumn("_unit", unit).withColumn(
+        "_interval", F.coalesce(F.floor(F.col("_unit") * intervals), F.lit(0)).cast("int")
     )
     counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
-    before = _window(group).orderBy("_interval").rowsBetween(Window.unboundedPreceding, -1)
+    before = _window(keys).orderBy("_interval").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         *part, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
     within = Window.partitionBy(*part).orderBy("_unit", *tie_break)
     numbered = rows.withColumn("_local", F.row_number().over(within) - 1)
-    # The numbered rows keep their partitioning in this join; only the counts move. Every part
-    # has a start: the left join merely spares a null filter on the hash.
-    joined = numbered.alias("rows").join(starts.alias("starts"), same_keys("rows", "starts", part), "left")
-    return joined.select(
-        *[F.col(f"rows.{c}") for c in df.columns],
-        (F.col("_start") + F.col("_local")).alias(name),
+    # The numbered rows keep their partitioning in this join; only the counts move.
+    return numbered.join(starts, part).select(
+        *df.columns, (F.col("_start") + F.col("_local")).alias(name)
     )
 
 

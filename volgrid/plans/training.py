@@ -7,14 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import permutation as perm
-from ..operators import custom, epochs, moments, ordering, quota, regpath
+from ..operators import boosting, custom, epochs, moments, ordering, quota, regpath
 from ..operators import split as splits
 from ..schemas import BUCKET_KEY, EPS, FEATURES, SHUFFLE_SEED, SPLIT_SEED
 from ..session import scratch_path
 from ..sources import fixtures, layout
+from ..streaming import features as live_buckets
+from ..streaming import latency as live
 from ..streaming import moments as moment_streams
 from . import increments, jobs
-from .oracles import ALL, BUILT_FEATURES, KEY, PREDICTIONS, STD, digest, r, rs, unit
+from .oracles import ALL, BUILT_FEATURES, KEY, PREDICTIONS, SLOT, STD, digest, r, rs, unit
 from .oracles import SQL as EARLIER
 from .queries import BATCH, CONSUMERS, SHARD, Query, _split_features, rounded
 
@@ -193,6 +195,70 @@ def bucket_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy(*BUCKET_KEY).agg(squares.alias("rv"), F.sum("size").alias("size")), 8)
 
 
+EVERY, DELAY = "6 hours", "2 hours"
+
+
+@query
+def latency_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency of finished windows, by mode: two runs of a stream, every tenth row sent twice."""
+    folder = scratch_path(spark, "latency")
+    events = fixtures.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("event_type").alias("mode"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms")
+    )
+    sent = events.unionByName(events.where("request_id % 10 = 0"))
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    histograms = None
+    for part in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        sent.where(part).write.mode("append").parquet(f"{folder}/timings")
+        arriving = moment_streams.read_row_stream(spark, f"{folder}/timings", sent.schema)
+        histograms = live.latency_histograms(arriving, ["mode"], EVERY, DELAY)
+        live.write_histograms(histograms, f"{folder}/counts", f"{folder}/progress", available_now=True).awaitTermination()
+    counts = live.read_histograms(spark, f"{folder}/counts", histograms)
+    bounds = live.latency_bounds(counts, ["window_start", "mode"])
+    return rounded(bounds.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")), 6)
+
+
+@query
+def features_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all seconds that are final after two runs; the first ends amid a day."""
+    folder = scratch_path(spark, "live-features")
+    # A slot of the derived market stands for 144 seconds of its day.
+    start = (F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("time_id") * 86_400).cast("timestamp")
+    at = F.timestamp_add("second", F.col("seconds_in_bucket") * fixtures.SLOT_SECONDS, start)
+    index, book, trade = fixtures.market(spark, sf_dir)
+    rows = live_buckets.bucket_rows(book.withColumn("ts", at), trade.withColumn("ts", at), index.withColumn("ts", start))
+    path = scratch_path(spark, "live-rows")
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    first = F.struct("time_id", "seconds_in_bucket") < F.struct(F.lit(15), F.lit(300))
+    for part in (first, ~first):
+        stored.where(part).write.mode("append").parquet(f"{folder}/rows")
+        arriving = moment_streams.read_row_stream(spark, f"{folder}/rows", stored.schema)
+        frame = live_buckets.live_features(arriving, DELAY, fixtures.SLOT_SECONDS)
+        live_buckets.write_features(frame, f"{folder}/features", f"{folder}/progress", available_now=True).awaitTermination()
+    found = spark.read.parquet(f"{folder}/features")
+    missing = {c: F.when(~F.isnan(c), F.col(c)) for c, kind in found.dtypes if kind == "double"}
+    flag = "last_trade_gap_geq_cap"
+    return rounded(found.withColumns(missing | {flag: F.col(flag).cast("int")}))
+
+
+STUMP_EDGES = {"l_quantity": [5.0 * i for i in range(1, 10)], "pred": [5000.0 * i for i in range(1, 16)]}
+
+
+@query
+def boosted_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best single cut under the percentage error, and the values on its sides."""
+    rows = fixtures.predictions(spark, sf_dir).join(
+        fixtures.table(spark, sf_dir, "lineitem").select(*fixtures.PREDICTION_KEY, "l_quantity"), fixtures.PREDICTION_KEY
+    )
+    model = boosting.fit_boosted(
+        rows, list(STUMP_EDGES), "y", rounds=1, depth=1, rate=1.0, least=1, edges=list(STUMP_EDGES.values())
+    )
+    (tree,) = model.trees
+    found = (model.features[tree.feature], tree.edge, model.start + tree.left.value, model.start + tree.right.value)
+    return rounded(spark.createDataFrame([found], "feature string, edge double, low double, high double"), 4)
+
+
 # --- SQL -------------------------------------------------------------------------------------
 
 
@@ -346,3 +412,55 @@ SQL["bucket_features_layout"] = EARLIER["bucket_features"]
 SQL["bucket_udf"] = f"""{ALL}
 SELECT stock_id, time_id, {r("sqrt(sum(log_return * log_return))", 8, "rv")}, {r("sum(size)", 8, "size")}
 FROM features GROUP BY stock_id, time_id"""
+
+_BOUNDS = ", ".join(
+    f"max(least) FILTER (rank_{p} > before AND rank_{p} <= upto) / 1000.0::DOUBLE AS p{p}_ms_low, "
+    f"max(most) FILTER (rank_{p} > before AND rank_{p} <= upto) / 1000.0::DOUBLE AS p{p}_ms_high"
+    for p in (50, 95, 99)
+)
+_RANKS = ", ".join(
+    f"greatest(1, floor({p / 100!r}::DOUBLE * sum(n) OVER (PARTITION BY window_start, mode))) AS rank_{p}" for p in (50, 95, 99)
+)
+SQL["latency_live"] = f"""WITH timed AS (
+  SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type AS mode,
+    round(value * 1000)::BIGINT AS v FROM events),
+done AS (SELECT * FROM timed WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR),
+ranged AS (SELECT *, greatest(length(bin(v)) - {live.BITS}, 0)::BIGINT AS s FROM done),
+ranges AS (
+  SELECT window_start, mode, (v >> s) << s AS low, count(*) AS n, sum(v) AS total, min(v) AS least, max(v) AS most
+  FROM ranged GROUP BY ALL),
+placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY window_start, mode ORDER BY low) AS upto,
+    sum(n) OVER (PARTITION BY window_start, mode ORDER BY low) - n AS before, {_RANKS} FROM ranges),
+bounds AS (
+  SELECT window_start, mode, sum(total) / 1000.0::DOUBLE / sum(n) AS mean_ms, {_BOUNDS},
+    sum(n)::BIGINT AS count, 0::BIGINT AS invalid FROM placed GROUP BY ALL)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS window_start, mode, count, invalid, {rs("mean_ms, p50_ms_low, p50_ms_high, p95_ms_low, p95_ms_high, p99_ms_low, p99_ms_high")}
+FROM bounds"""
+
+SQL["features_live"] = f"""{ALL},
+ends AS (SELECT time_id * 600 + seconds_in_bucket AS slot FROM book UNION ALL SELECT time_id * 600 + seconds_in_bucket FROM trade)
+SELECT {SLOT}, size, order_count, {rs("wap_last")}, seconds_since_last_wap, {rs("log_return, rv_30s, rv_120s, spread_last")},
+  {rs("mid_last, rel_spread_last, ofi_last")}, seconds_since_last_trade, last_trade_gap_geq_cap, order_intensity_60s
+FROM features WHERE (time_id * 600 + seconds_in_bucket + 1) * 144 <= (SELECT max(slot) FROM ends) * 144 - 7200"""
+
+_CUTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS place, unnest({edges})::DOUBLE AS edge" for i, (c, edges) in enumerate(STUMP_EDGES.items())
+)
+SQL["boosted_stump"] = f"""{PREDICTIONS},
+weighted AS (
+  SELECT p.*, l_quantity, 1 / ((y + {EPS!r}::DOUBLE) * (y + {EPS!r}::DOUBLE)) AS w
+  FROM predictions AS p JOIN lineitem USING ({KEY})),
+values AS (
+  SELECT 'l_quantity' AS feature, l_quantity::DOUBLE AS x, y, w FROM weighted
+  UNION ALL SELECT 'pred', pred, y, w FROM weighted),
+cuts AS ({_CUTS}),
+sides AS (
+  SELECT c.feature, place, edge, x <= edge AS is_low, sum(w * y) / sum(w) AS value, sum(w) AS w
+  FROM values JOIN cuts AS c USING (feature) GROUP BY ALL),
+means AS (SELECT sum(w * y) / sum(w) AS m FROM weighted),
+gains AS (
+  SELECT feature, place, edge, sum(w * (value - m) * (value - m)) AS gain, max(value) FILTER (is_low) AS low,
+    max(value) FILTER (NOT is_low) AS high
+  FROM sides, means GROUP BY ALL HAVING count(*) = 2)
+SELECT feature, edge, {r("low", 4)}, {r("high", 4)} FROM gains ORDER BY gain DESC, place, edge LIMIT 1"""
