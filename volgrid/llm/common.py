@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -17,7 +20,7 @@ from ..session import scratch_path
 
 #: Rows per Arrow batch that a text function works on at once, so that a batch of very long
 #: texts stays small.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Words and stretches up to this length are kept in the look-up tables of tasks.
 LONGEST_KEPT = 64
 
@@ -93,6 +96,13 @@ def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return unused memory to the system: workers live on for the tasks after this one."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
@@ -109,6 +119,8 @@ def map_texts(
                 out = function(part, state) if setup else function(part)
                 if out is not None and out.num_rows:
                     yield out
+        del state
+        give_back()
 
     return df.mapInArrow(run, schema)
 

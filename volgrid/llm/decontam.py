@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import keep_short, map_texts, written
+from .common import map_texts, written
 
 WORDS = 5
 THRESHOLD = 0.5
 #: Seeds that tasks hold at once (8 bytes each). More are looked for in several passes.
 SEEDS_AT_ONCE = 2_000_000
-#: Distinct words kept per task.
-KEPT_WORDS = 1_000_000
 
 _PUNCTUATION = string.punctuation.encode()
 _MULTIPLIERS = [np.uint64(m) for m in (
@@ -43,31 +41,21 @@ _MULTIPLIERS = [np.uint64(m) for m in (
 _BASE = 0x9E3779B97F4A7C55
 
 
-class Words:
-    """Codes of words (0 for those of punctuation alone), each distinct one computed once."""
+def _bare(word: bytes) -> bytes:
+    return word.strip(_PUNCTUATION)
+
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+class Words:
+    """Codes of words without their punctuation; words of punctuation alone do not count."""
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all words, the text that each is in, and the place where each text starts."""
-        split = [t.split() for t in texts]
-        codes = list(map(self.known.get, chain.from_iterable(split)))
-        if None in codes:
-            flat = list(chain.from_iterable(split))
-            found = {
-                w: xxh3_64_intdigest(s) | 1 if (s := w.strip(_PUNCTUATION)) else 0
-                for w in {w for w, c in zip(flat, codes) if c is None}
-            }
-            codes = [found[w] if c is None else c for w, c in zip(flat, codes)]
-            if len(self.known) + len(found) > KEPT_WORDS:
-                self.known = {}
-            keep_short(self.known, found)
-        h = np.array(codes, dtype=np.uint64)
-        text = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        real = h != 0
-        h, text = h[real], text[real]
-        return h, text, np.searchsorted(text, np.arange(len(texts)))
+        split = [[w for w in map(_bare, t.split()) if w] for t in texts]
+        sizes = np.array([len(s) for s in split], dtype=np.int64)
+        codes = map(xxh3_64_intdigest, chain.from_iterable(split))
+        h = np.fromiter(codes, dtype=np.uint64, count=int(sizes.sum())) | np.uint64(1)
+        starts = np.cumsum(sizes) - sizes
+        return h, np.repeat(np.arange(len(texts)), sizes), starts
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all five-word windows, the text that each is in, and its word position."""

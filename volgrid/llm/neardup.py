@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import keep_short, map_texts, written
+from .common import map_texts, written
 
 WORDS = 5
 ROWS = 5
@@ -49,8 +49,6 @@ SCREENED = 4e-6
 BROADCAST_IDS = 500_000
 #: Shingles that are hashed at once.
 AT_ONCE = 100_000
-#: Distinct words kept per task.
-KEPT_WORDS = 1_000_000
 
 
 
@@ -110,29 +108,18 @@ def _permute(x: np.ndarray) -> None:
 
 
 class Shingles:
-    """Sets of shingle hashes, with the hash of each distinct word computed once."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+    """Sets of shingle hashes. Words are hashed anew each time, which is quicker than a look-up."""
 
     def codes(self, texts: list[bytes]) -> list[np.ndarray]:
         """Per text the hashes of its distinct shingles, sorted."""
-        split = [t.lower().split() for t in texts]  # of bytes: A-Z and the six white spaces only
-        hashes = [list(map(self.words.get, words)) for words in split]
-        short = [i for i, h in enumerate(hashes) if None in h]
-        found = {w: xxh3_64_intdigest(w) for w in {w for i in short for w, h in zip(split[i], hashes[i]) if h is None}}
-        for i in short:
-            hashes[i] = [found[w] if h is None else h for w, h in zip(split[i], hashes[i])]
-        if len(self.words) + len(found) > KEPT_WORDS:
-            self.words = {}
-        keep_short(self.words, found)
         out = []
-        for words, known in zip(split, hashes):
+        for text in texts:
+            words = text.lower().split()  # of bytes: A-Z and the six white spaces only
             n = len(words)
             if not n:
                 out.append(np.empty(0, dtype=np.uint64))
                 continue
-            h = np.array(known, dtype=np.uint64)
+            h = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=n)
             width = min(n, WORDS)
             total = np.full(n - width + 1, width, dtype=np.uint64)
             for k in range(width):

@@ -41,7 +41,7 @@ STEPS = 120
 SEQUENCE = 128
 LONGEST = 160
 #: Distinct words whose shape is kept per task.
-KEPT = 400_000
+KEPT = 150_000
 KEPT_SHAPES = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

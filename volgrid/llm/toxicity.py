@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_short, map_texts, small_slices, written
+from .common import give_back, keep_short, map_texts, small_slices, written
 
 #: Bounds of the fit: expected labelled documents, and words per category.
 TRAIN_DOCS = 20_000
@@ -48,7 +48,7 @@ REGULARISATION = 1e-4
 #: Above this many labels they are joined by shuffle instead of being broadcast.
 BROADCAST_LABELS = 1_000_000
 #: Distinct stretches of text kept per task.
-KEPT = 400_000
+KEPT = 150_000
 #: Characters stripped from around a word.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
     schema = "features array<double>, fold int, weight double, " + ", ".join(f"`{c}` double" for c in categories)
     rows = written(
         map_texts(sample.select("text", *names), featurise, schema, setup=lambda: Features(vocabulary)), "toxic-rows"
-    ).persist()
+    )
     width = len(vocabulary)
     steps: list[Step] = []
     before: list[str] = []
@@ -251,11 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
         folded = parts[0]
         for p in parts[1:]:
             folded = folded.unionAll(p)
-        rows.unpersist()
-        rows = written(folded, "toxic-rows").persist()
+        rows = written(folded, "toxic-rows")
         before.append(f"_p_{len(before)}")
     scores = rows.select(before[-1], categories[-1], "weight").toPandas()  # the bounded sample
-    rows.unpersist()
     return Chain(vocabulary, steps, best_threshold(*(scores.iloc[:, i].to_numpy() for i in range(3))))
 
 
@@ -315,5 +313,7 @@ def keep(docs: DataFrame, model: Chain | None) -> DataFrame:
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
                 p = probabilities(model, features.of(texts))[:, -1]
                 yield part.filter(pa.array(p <= model.threshold))
+        del features
+        give_back()
 
     return docs.mapInArrow(verdicts, docs.schema)
