@@ -215,6 +215,89 @@ def test_toxicity_with_few_toxic_labels(spark):
     assert toxicity.keep(plain, toxicity.fit(plain, labels, ["toxic"])).count() == 90
 
 
+def _logistic(x, y, weight, reg):
+    """Penalised logistic regression by Newton's method, on inputs scaled to unit deviation."""
+    total = weight.sum()
+    mean = (weight[:, None] * x).sum(0) / total
+    spread = np.sqrt((weight[:, None] * (x - mean) ** 2).sum(0) / (total - (weight**2).sum() / total))
+    used = spread > 0
+    z = np.column_stack([x[:, used] / spread[used], np.ones(len(x))])
+    penalty = np.append(np.full(used.sum(), reg), 0.0)
+    beta = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ beta))
+        gradient = z.T @ (weight * (p - y)) / total + penalty * beta
+        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z / total + np.diag(penalty + 1e-12)
+        step = np.linalg.solve(hessian, gradient)
+        beta -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    out = np.zeros(x.shape[1])
+    out[used] = beta[:-1] / spread[used]
+    return out, beta[-1]
+
+
+def test_toxicity_chain_against_numpy(spark, monkeypatch):
+    """The same chain from the same features: own regressions, own folds."""
+    monkeypatch.setattr(toxicity, "REGULARISATION", 0.01)
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(500):
+        junk = rng.random() < 0.4
+        toxic = rng.random() < (0.5 if junk else 0.15)
+        extra = ["filler"] * (rng.random() < (0.7 if junk else 0.3)) + ["scum"] * (rng.random() < (0.6 if toxic else 0.1))
+        rows.append((i, " ".join(words(rng, 30, pool).split() + extra), "clash", 1.0))
+        labels.append((i, int(junk), int(toxic), "x"))
+    # Labels that disagree, and a category with the name of an own column.
+    labels += [(1, 1, 0, "y"), (2, 0, 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, features string, weight double")
+    table = spark.createDataFrame(labels, "doc_id long, fold int, text int, more string")
+    model = toxicity.fit(docs, table, ["fold", "text"])
+    named = table.select("doc_id", F.col("fold").alias("a"), F.col("text").alias("b"))
+    sample = toxicity.training_sample(docs, named, ["a", "b"]).collect()
+    said = {i: (max(r[1] for r in labels if r[0] == i), max(r[2] for r in labels if r[0] == i)) for i in range(500)}
+    by_text = {t: said[i] for i, t, _, _ in rows}
+    assert len(sample) == 500 and all((r["a"], r["b"]) == by_text[r["text"]] for r in sample)
+    x = toxicity.Features(model.vocabulary).of([r["text"] for r in sample])
+    fold, weight = (np.array([r[c] for r in sample], dtype=float) for c in ("fold", "weight"))
+    wanted, held = np.zeros((500, 2)), np.zeros((500, 2))
+    for k, c in enumerate("ab"):
+        y = np.array([r[c] for r in sample])
+        inputs = np.column_stack([x, held[:, :k]])
+        w, b = _logistic(inputs, y, weight, 0.01)
+        wanted[:, k] = 1 / (1 + np.exp(-(np.column_stack([x, wanted[:, :k]]) @ w + b)))
+        for f in range(toxicity.FOLDS):
+            other = fold != f
+            w, b = _logistic(inputs[other], y[other], weight[other], 0.01)
+            held[~other, k] = 1 / (1 + np.exp(-(inputs[~other] @ w + b)))
+    assert np.abs(toxicity.probabilities(model, x) - wanted).max() < 2e-3
+    assert [s.category for s in model.steps] == ["fold", "text"] and len(model.vocabulary) >= 2
+    assert model.threshold == pytest.approx(toxicity.best_threshold(held[:, 1], np.array([r["b"] for r in sample]), weight), abs=2e-3)
+
+
+def test_words_that_tell_come_before_common_ones(spark):
+    """Common words that differ a little between the labels do not crowd out the insults."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(400)]
+    rows = []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        # Every common word is somewhat more frequent in toxic documents.
+        text = [w for w in common if rng.random() < (0.56 if toxic else 0.5)]
+        rows.append((i, " ".join(text + ([f"insult{i // 10 % 40}"] if toxic else [])), 1.0, float(toxic)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, weight double, toxic double")
+    chosen = toxicity.choose_words(sample, ["toxic"], 60)
+    assert {f"insult{i}" for i in range(40)} <= set(chosen)
+    counts = spark.createDataFrame([(30.0, 30.0), (50.0, 100.0), (0.0, 40.0), (0.0, 0.0)], "a double, n double")
+    got = [r[0] for r in counts.select(toxicity.association(F.col("a"), F.col("n"), 100.0, 200.0)).collect()]
+    for (a, n), g in zip([(30, 30), (50, 100), (0, 40), (0, 0)], got):
+        table = np.array([[a, n - a], [100 - a, 100 - n + a]], dtype=float)
+        expected = table.sum(1, keepdims=True) * table.sum(0) / 200
+        with np.errstate(divide="ignore", invalid="ignore"):
+            assert g == pytest.approx(2 * np.nansum(table * np.log(table / expected)), abs=1e-9)
+
+
 def test_threshold_needs_more_than_chance():
     rng = np.random.default_rng(71)
     y = (np.arange(400) % 10 == 0).astype(float)

@@ -13,7 +13,8 @@ that separate a category best, counted over the sample by Spark. The sample is b
 share of them, so that rare ones are kept whole, and documents weigh as many as they stand for. The
 last category's threshold maximises its F1 over out-of-fold predictions; where these do not separate
 the labels better than chance does, nothing is toxic.
-Every document is scored on its whole text.
+Every document is scored on its whole text. Labels that disagree on one doc_id: a category holds if
+any of them says so. Other columns of the tables are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, keep_short, map_texts, small_slices, written
@@ -39,8 +40,6 @@ BEGINNINGS = (4, 6)
 #: A word counts if it is in so many documents of the sample, or in the root of the number of the
 #: rarer label, if that is less.
 MIN_DOCS = 8
-#: ... and its log odds are so many standard errors away from even.
-MIN_ERRORS = 3.0
 #: A threshold counts if it finds so many standard errors more than chance does.
 MIN_LIFT = 3.0
 FOLDS = 3
@@ -130,8 +129,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: list[str], n
     usable = labels.where(F.col("doc_id").isNotNull())
     for c in categories:
         usable = usable.where(F.col(c).isNotNull())
-    usable = usable.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) != 0).cast("double").alias(c) for c in categories]
+    # Labels that disagree on a doc_id: a category holds if any of them says so.
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        *[F.max((F.col(c) != 0).cast("double")).alias(c) for c in categories]
     )
     counted = usable.groupBy(*categories).count().orderBy("count", *categories).collect()  # 2 to the categories
     total, left = sum(r["count"] for r in counted), float(n)
@@ -145,7 +145,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: list[str], n
         rate = F.when(same, F.lit(share / r["count"])).otherwise(rate)
     usable = usable.withColumn("weight", 1 / rate)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 / F.col("weight")
-    usable = usable.where(drawn).dropDuplicates(["doc_id"])
+    usable = usable.where(drawn)
     if min(total, 2 * n) <= BROADCAST_LABELS:  # the drawn ones are n on average
         usable = F.broadcast(usable)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
@@ -161,8 +161,31 @@ def _beginning(n: int):
     return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
 
 
+def _x_log_x(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+
+def association(both: Column, with_word: Column, positive: float, total: float) -> Column:
+    """Likelihood ratio of word and label being independent (G squared), from document counts.
+
+    Unlike an estimate over its error it does not shrink where a word never occurs without the
+    label, and a common word that differs a little is below a rarer one that tells.
+    """
+    cells = [both, with_word - both, positive - both, total - positive - with_word + both]
+    margins = [with_word, total - with_word, F.lit(positive), F.lit(total - positive)]
+    terms = [_x_log_x(c) for c in cells] + [-_x_log_x(m) for m in margins] + [_x_log_x(F.lit(total))]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return 2 * out
+
+
 def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY) -> list[str]:
-    """The words that separate a category best, by their weighted log odds, ``n`` for each."""
+    """The words that are associated with a category most, ``n`` at most for each.
+
+    Words that as many tries would bring about by chance do not count: those below
+    ``2 ln(words tried)``.
+    """
     plain = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
     starts = [
         F.array_distinct(F.transform(F.filter("plain", _longer(n)), _beginning(n)))
@@ -178,15 +201,12 @@ def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY)
     rarer = {c: min(float(totals[c] or 0), totals["n"] - float(totals[c] or 0)) for c in categories}
     least = {c: max(2, min(MIN_DOCS, math.isqrt(int(rarer[c])))) for c in categories}
     counts = written(counts.where(F.col("_n") >= min(least.values())), "words")
+    tried = max(2, counts.count())
     chosen: dict[str, None] = {}
     for c in categories:
-        positive = float(totals[c] or 0)
-        negative = float(totals["n"] - positive)
-        a, b = F.col(c), F.col("_n") - F.col(c)
-        odds = F.log((a + 0.5) / (positive - a + 0.5)) - F.log((b + 0.5) / (negative - b + 0.5))
-        error = F.sqrt(1 / (a + 0.5) + 1 / (positive - a + 0.5) + 1 / (b + 0.5) + 1 / (negative - b + 0.5))
-        scored = counts.where(F.col("_n") >= least[c]).select("word", F.abs(odds / error).alias("z")).where(F.col("z") >= MIN_ERRORS)
-        best = scored.orderBy(F.desc("z"), "word").limit(n)
+        found = association(F.col(c), F.col("_n").cast("double"), float(totals[c] or 0), float(totals["n"]))
+        scored = counts.where(F.col("_n") >= least[c]).select("word", found.alias("g"))
+        best = scored.where(F.col("g") >= 2 * math.log(tried)).orderBy(F.desc("g"), "word").limit(n)
         chosen.update((r["word"], None) for r in best.collect())  # n words
     return list(chosen)
 
@@ -218,6 +238,10 @@ def _margin(weights: np.ndarray, intercept: float, inputs: list[str]):
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAIN_DOCS) -> Chain | None:
     """The chain for ``categories`` in their order; None without any usable label."""
+    said = list(categories)
+    # Columns of our own, so that a category may have any name.
+    categories = [f"_category_{i}" for i in range(len(said))]
+    labels = labels.select("doc_id", *[F.col(c).alias(own) for c, own in zip(said, categories)])
     sample = written(training_sample(docs, labels, categories, n), "toxic-sample")
     if sample.isEmpty():
         return None
@@ -238,9 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
     width = len(vocabulary)
     steps: list[Step] = []
     before: list[str] = []
-    for c in categories:
+    for name, c in zip(said, categories):
         weights, intercept = _fit_step(rows, c, before, width + len(before))
-        steps.append(Step(c, weights[:width], weights[width:], intercept))
+        steps.append(Step(name, weights[:width], weights[width:], intercept))
         # Out of fold: each fold is predicted by a model of the others.
         parts = []
         for k in range(FOLDS):
