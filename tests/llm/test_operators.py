@@ -137,6 +137,66 @@ def test_personal_data_field(spark):
     assert not any(pii.base_spans(r["text"] or "")["email"] for r in texts.values())
 
 
+HELD_OUT = (
+    "w {phone:(<93>) <93> <94>} w", "w {email:<x5><91>(at)<x7>.<x2>} w", "w {secret:<x3>_<m36>} w", "w {secret:AKIA<K16>}. w",
+    "w {secret:passwd=<m14>} w", "w token = {secret:'<h40>'} w", "w secret: {secret:<m24>} w", "w {secret:apikey=<h32>} w",
+)
+CLEAN = ("w <94> w <92> w", "w <x4>=<x6> w", "w version <91>.<92>.<91> w", "w <X12> w <x3>-<x8> w", "w token w password w", "w <h6> w")
+
+
+def test_secrets_and_other_forms_held_out(spark):
+    """Forms of other templates and other values than those the field has learned from."""
+    rng = random.Random(91)
+    docs = spark.createDataFrame([(1, "write to a@b.example.com or 10.0.0.1 now")], "doc_id long, text string")
+    model = pii.fit(pii.training_rows(docs))
+    rows = [pii.template_row(t, rng) for t in HELD_OUT for _ in range(20)]
+    clean = [pii.template_row(t, rng)[0] for t in CLEAN for _ in range(20)]
+    decoder = pii.Decoder(model)
+    found = 0
+    for (ws, tags), got in zip(rows, decoder.decode([ws for ws, _ in rows])):
+        text = " ".join(ws)
+        spans = pii.added_spans(text, got, {k: [] for k in pii.KINDS})
+        kind = next(t[2:] for t in tags if t != "O")
+        found += any(k == f"crf_{kind}" for k, _, _ in spans)
+    assert found >= 0.9 * len(rows)
+    left = [not pii.added_spans(" ".join(ws), got, {k: [] for k in pii.KINDS}) for ws, got in zip(clean, decoder.decode(clean))]
+    assert sum(left) >= 0.97 * len(left)
+
+
+def test_field_reads_long_texts_and_words(spark):
+    rng = random.Random(17)
+    pool = ["alpha", "beta", "gamma", "of"]
+    docs = spark.createDataFrame([(1, "write to a@b.example.com now")], "doc_id long, text string")
+    model = pii.fit(pii.training_rows(docs))
+    secrets = ["AKIA" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(16)) for _ in range(60)]
+    # One secret after every 37 words, so that they fall on all places around the cuts.
+    far = " ".join(words(rng, 37, pool) + " " + s for s in secrets)
+    # No space at all: the secret lies behind 70,000 characters.
+    unspaced = "x" * 70_000 + secrets[0]
+    rows = [(1, far), (2, unspaced), (3, "y" * 5000), (4, words(rng, 500, pool)), (5, None)]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    starts = [m.start() for m in re.finditer("AKIA", far)]
+    assert out[1]["spans"] == ",".join(f"crf_secret:{a}:{a + 20}" for a in starts)
+    assert out[1]["n_spans"] == out[1]["n_added"] == 60
+    assert "crf_secret" in out[2]["spans"] and [out[i]["n_spans"] for i in (3, 4, 5)] == [0, 0, 0]
+    # Skipping stretches of plain words and overlapping sequences changes no tag of other words.
+    decoder = pii.Decoder(model)
+    ws = far.split()
+    (long_tags,) = decoder.decode([ws])
+    for a in range(0, len(ws) - 60, 53):
+        (own,) = decoder.decode([ws[a : a + 60]])
+        assert (own[20:40] == long_tags[a + 20 : a + 40]).all()
+
+
+def test_training_rows_are_drawn_by_rate(spark):
+    rows = [(i, f"mail{i}@host{i % 7}.example.com is one of {i}") for i in range(4000)] + [(None, None), (4001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    few, again = (pii.training_rows(docs, 100) for _ in range(2))
+    drawn = len(few) - len(pii.template_rows())
+    assert few == again and 60 < drawn / 3 < 160
+    assert len(pii.template_rows()) >= 500 and len(pii.training_rows(docs.limit(0))) == len(pii.template_rows())
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     signs = ["x", "4", "+1", "x@x.x"]
@@ -144,7 +204,8 @@ def test_viterbi_equals_brute_force():
     tags = len(pii.TAGS)
     model = pii.Field(index, *[rng.normal(size=(len(index), tags)) for _ in range(3)], rng.normal(size=(tags, tags)))
     decoder = pii.Decoder(model)
-    lists = [list(rng.choice(["ab", "1234", "+1", "a@b.c"], n)) for n in (1, 3, 4, 0, 2)]
+    # Words of letters alone make no sequence of their own.
+    lists = [["1234", *rng.choice(["ab", "1234", "+1", "a@b.c"], max(n - 1, 0))][:n] for n in (1, 3, 4, 0, 2)]
     blocked = pii._allowed()
 
     def score(ws, ys):
