@@ -620,6 +620,53 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_with_few_documents_keeps_its_words(spark):
+    """A frequent language does not take the words of a rare one; scores against plain counting."""
+    rng = random.Random(83)
+    big = ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(3000)]
+    small = ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(40)]
+    rows = [(i, words(rng, 60, big), "big") for i in range(400)] + [(500 + i, words(rng, 12, small), "small") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = [(r["lang"], r["word"], r["n"]) for r in language.word_counts(docs, vocabulary=300).collect()]
+    per = collections.Counter(lang for lang, _, _ in counts)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    wanted = collections.Counter(w for _, t, lang in learned if lang == "small" for w in t.split())
+    assert per["big"] == 150 and per["small"] == len(wanted)
+    assert {w: n for lang, w, n in counts if lang == "small"} == wanted
+    out = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert all(out[500 + i]["lang_pred"] == "small" for i in range(8))
+
+    # The model by hand: shares of counts plus SMOOTHING, by word or by the longest known n-grams.
+    model = language.fit(counts)
+    tables = [collections.defaultdict(lambda: collections.Counter()) for _ in range(5)]
+    for lang, w, n in counts:
+        tables[0][w][lang] += n
+        for k in range(1, 5):
+            for i in range(len(w) + 3 - k):
+                tables[k][f"_{w}_"[i : i + k]][lang] += n
+
+    def share(k, gram):
+        logs = []
+        for lang in ("big", "small"):
+            total = sum(c[lang] + language.SMOOTHING for c in tables[k].values())
+            logs.append(np.log((tables[k][gram][lang] + language.SMOOTHING) / total))
+        return np.array(logs) - np.log(np.exp(logs).sum())
+
+    def by_hand(w):
+        if w in tables[0]:
+            return share(0, w)
+        for k in range(4, 0, -1):
+            grams = [g for i in range(len(w) + 3 - k) if (g := f"_{w}_"[i : i + k]) in tables[k]]
+            if grams:
+                return np.mean([share(k, g) for g in grams], axis=0)
+        return np.zeros(2)
+
+    for text in [rows[0][1], rows[405][1], "abcde unseen zzz eaeae", "qqq"]:
+        total = sum(by_hand(w) for w in text.split())
+        got = language.Scorer(model).texts([text])[0]
+        assert np.allclose(got[:-1], total, atol=1e-9)
+
+
 def brute_components(rows):
     sets, by = {}, {}
     for i, t in rows:

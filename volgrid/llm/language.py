@@ -6,7 +6,8 @@ over its known n-grams of the longest length that has any. Scores are normalised
 languages and summed over the text.
 
 The model is fitted on a bounded sample: an expected ``TRAIN_DOCS`` labelled documents per
-language, chosen by a hash of the doc_id, and the ``VOCABULARY`` most frequent words among them.
+language, chosen by a hash of the doc_id, and the most frequent words of each language among them:
+``VOCABULARY`` in equal shares, at least ``LEAST_WORDS``.
 Every document is scored on its whole text.
 """
 
@@ -19,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep_short, map_texts, written
@@ -27,6 +28,8 @@ from .common import keep_short, map_texts, written
 #: Bounds of the fit: expected documents per language, and word counts kept.
 TRAIN_DOCS = 4_000
 VOCABULARY = 120_000
+#: Words that each language has at least.
+LEAST_WORDS = 100
 LONGEST = 4
 #: Above this many labels their table is joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
@@ -57,13 +60,18 @@ def word_counts(docs: DataFrame, per_language: int = TRAIN_DOCS, vocabulary: int
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
     sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("_of")), "languages")
-    if sizes.count() <= BROADCAST_LANGUAGES:
+    languages = sizes.count()
+    if languages <= BROADCAST_LANGUAGES:
         sizes = F.broadcast(sizes)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     sample = labelled.join(sizes, "lang").where(drawn < F.lit(per_language) / F.col("_of"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     counts = words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "lang", "word").limit(vocabulary)
+    # Each language has its own share, however few of its documents are labelled. A language's
+    # counts are those of its sample, so they fit a task.
+    share = max(LEAST_WORDS, vocabulary // max(1, languages))
+    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    return ranked.where(F.col("_rank") <= share).drop("_rank")
 
 
 def fit(counts: list[tuple[str, str, int]]) -> Model:
