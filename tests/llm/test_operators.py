@@ -514,68 +514,116 @@ def test_two_fit_replaces_the_smallest():
         assert used == counts
 
 
+def _natural(rng):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+
+
 def test_substring_chunks(spark, empty):
     rng = random.Random(29)
-    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
-    passages = [words(rng, 60, pool) for _ in range(40)]
+    pool = _natural(rng)
+    passages = [words(rng, 140, pool) for _ in range(40)]
     rows = [(2 * i, f"{words(rng, rng.randint(5, 40), pool)} {p} {words(rng, 20, pool)}") for i, p in enumerate(passages)]
-    rows += [(2 * i + 1, f"{words(rng, rng.randint(5, 40), pool)} {p} {words(rng, 20, pool)}") for i, p in enumerate(passages)]
-    rows += [(500 + i, words(rng, 200, pool)) for i in range(60)] + [(900, None), (901, ""), (None, passages[0])]
+    # Other words before and behind, and one more in the middle: only the chunks around it change.
+    rows += [(2 * i + 1, f"{words(rng, rng.randint(5, 40), pool)} {p[:400]}inserted {p[400:]} {words(rng, 20, pool)}") for i, p in enumerate(passages)]
+    rows += [(500 + i, words(rng, 200, pool)) for i in range(60)] + [(900, None), (901, ""), (None, passages[0]), (None, passages[0]), (None, "alone")]
+    # Copies, a document that repeats itself, and what several share of fewer words.
+    rows += [(910, passages[1]), (910, passages[1]), (911, (words(rng, 30, pool) + "\n") * 9)]
+    short = words(rng, 12, pool)
+    rows += [(920 + i, f"{words(rng, 90, pool)} {short} {words(rng, 90, pool)}") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1))
     out = chunks.repeated_passages(docs).collect()
-    found = {r["doc_id"] for r in out}
-    assert len([i for i in range(40) if 2 * i + 1 in found]) >= 39
-    assert found <= {2 * i + 1 for i in range(40)} | {None}
-    text = dict(rows)
+    assert {r["doc_id"] for r in out} == {2 * i + 1 for i in range(40)} | {None, 910}
+    assert sum(r["doc_id"] is None for r in out) >= 1
+    text = {i: (t or "").encode() for i, t in rows if i is not None} | {None: passages[0].encode()}
     for r in out:
-        middle = (r["start"] + r["end"]) // 2
-        part = text[r["doc_id"]].encode()[middle - 30 : middle + 30]
-        assert part in text[r["first_doc_id"]].encode()
+        # All of it is in the first document.
+        assert r["end"] - r["start"] >= 100 and r["n_words"] > 50
+        assert text[r["doc_id"]][r["start"] : r["end"]] in text[r["first_doc_id"]]
+        assert r["first_doc_id"] < (r["doc_id"] or 10**6)
+    # On either side of the insertion most of the passage is found.
+    for i in range(40):
+        sides = sorted((r["start"], r["end"]) for r in out if r["doc_id"] == 2 * i + 1)
+        assert len(sides) == 2 and sum(b - a for a, b in sides) > 0.7 * len(passages[i])
     assert chunks.repeated_passages(empty).count() == 0
 
 
 def test_every_passage_over_50_words_is_found(spark):
     rng = random.Random(59)
-    pools = [["a", "b"], ["it", "is", "so"], ["x"], ["no", "yes", "maybe", "or", "and"], [f"w{i}" for i in range(500)]]
-    rows = []
-    for k, pool in enumerate(pools * 30):
+    natural = [_natural(rng), [f"w{i}" for i in range(500)], ["maybe", "never", "always", "often", "rarely"], ["longword"]]
+    tiny = [["a", "b"], ["it", "is", "so"], ["x"], ["no", "yes", "or"]]
+    rows, kinds = [], []
+    for k, pool in enumerate((natural + tiny) * 40):
         passage = words(rng, 51, pool)
-        assert len(passage.encode()) >= chunks.SIZE + chunks.SPAN - 1
+        kinds.append(pool in natural)
         for side in range(2):
             own = [words(rng, rng.randint(1, 30), [f"q{k}s{side}n{i}" for i in range(99)]) for _ in range(2)]
             rows.append((2 * k + side, f"{own[0]} {passage} {own[1]}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = chunks.repeated_passages(docs).collect()
-    assert {2 * k + 1 for k in range(len(rows) // 2)} <= {r["doc_id"] for r in out}
-    text = {i: t.encode() for i, t in rows}
-    for r in out:
-        part = text[r["doc_id"]][r["start"] : r["start"] + chunks.SIZE]
-        assert r["end"] - r["start"] >= chunks.SIZE and any(part in text[i] for i in range(r["doc_id"] + 1))
+    found = {r["doc_id"] for r in chunks.repeated_passages(docs).collect()}
+    assert all(2 * k + 1 in found for k, plain in enumerate(kinds) if plain and k >= 8)
+    # A passage of 51 words of one letter has 101 bytes, too few to be certain.
+    assert sum(2 * k + 1 in found for k, plain in enumerate(kinds) if not plain) >= 0.85 * sum(not k for k in kinds)
+
+
+def slow_borders(data):
+    """The border rule by its definition."""
+    gear = chunks.GEAR.tolist()
+    h = [sum(gear[data[i - k]] << k for k in range(chunks.REACH)) % (1 << 32) for i in range(chunks.REACH - 1, len(data))]
+    out = set()
+    for i in range(len(h) - chunks.SPAN + 1):
+        least = min(h[i : i + chunks.SPAN])
+        out.add(frozenset(j + chunks.REACH for j in range(i, i + chunks.SPAN) if h[j] == least))
+    return out
 
 
-def test_anchors_are_the_least_hashes(monkeypatch):
+def test_borders_are_the_least_gear_hashes(monkeypatch):
     rng = random.Random(61)
-    texts = [rng.randbytes(3000), b"it " * 400, b"x" * 1000, b"a" * chunks.SIZE, b"a" * (chunks.SIZE - 1), b""]
-    texts += [bytes(rng.choice(b"ab") for _ in range(rng.randint(chunks.SIZE, 400))) for _ in range(50)]
+    texts = [rng.randbytes(3000), b"it " * 400, b"x" * 1000, b"a" * 47, b"a" * 46, b"abc", b""]
+    texts += [bytes(rng.choice(b"ab ") for _ in range(rng.randint(40, 400))) for _ in range(30)]
     for data in texts:
-        h = chunks._window_hashes(np.frombuffer(data, np.uint8), chunks.SIZE).tolist() if len(data) >= chunks.SIZE else []
+        wanted = slow_borders(data)
         for at_once in (1 << 20, 64):
             monkeypatch.setattr(chunks, "AT_ONCE", at_once)
-            at = set(chunks.anchors(data).tolist())
-            assert bool(at) == bool(h) and len(at) <= 4 * len(h) / chunks.SPAN + 4
-            for i in range(max(0, len(h) - chunks.SPAN + 1)):
-                least = min(h[i : i + chunks.SPAN])
-                assert any(j in at and h[j] == least for j in range(i, i + chunks.SPAN)), i
+            ends = chunks.borders(data).tolist()
+            assert ends[-1:] == ([len(data)] if data else []) and ends == sorted(set(ends))
+            # Each stretch has one of its smallest hashes among the borders, and no others are.
+            assert all(group & set(ends) for group in wanted)
+            assert set(ends) - {len(data)} <= {e for group in wanted for e in group}
+            assert max(np.diff([chunks.REACH, *ends]), default=0) <= chunks.SPAN
+            assert len(ends) <= 4 * len(data) / chunks.SPAN + 4
 
 
 def test_borders_move_with_insertions():
     data = random.Random(31).randbytes(4000)
-    ends = chunks.borders(data)
-    moved = chunks.borders(b"inserted" + data)
-    assert ends[-1] == 4000 and 90 < len(ends) < 260
-    assert len(set(ends.tolist()) - set((moved - 8).tolist())) == 0
-    slow = [i + 1 for i in range(15, 4000) if sum(int(chunks.GEAR[data[i - k]]) << k for k in range(16)) % (1 << 32) < (1 << 32) // 24]
-    assert ends[:-1].tolist() == [e for e in slow if e < 4000]
+    ends = set(chunks.borders(data).tolist())
+    assert 200 < len(ends) < 320
+    for at in (0, 1000, 2345):
+        moved = chunks.borders(data[:at] + b"inserted" + data[at:])
+        same = {e if e <= at else e - 8 for e in moved.tolist()}
+        near = chunks.REACH + chunks.SPAN
+        assert all(at - near <= e <= at + near for e in ends ^ same)
+
+
+def test_chunk_measures():
+    data = ("one two three " * 9 + "four\tfive\nsix " * 7).encode()
+    packed, digests = chunks.chunk_rows(data)
+    assert len(packed) == len(digests) > 3
+    cuts = [0, *chunks.borders(data).tolist()]
+    begins = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+
+    def count(a, b):
+        return sum(a <= x < b for x in begins)
+
+    for i, value in enumerate(packed.tolist()):
+        got = {}
+        for name, bits in reversed(chunks._PACKED):
+            got[name] = value & ((1 << bits) - 1)
+            value >>= bits
+        a, b, c = cuts[i : i + 3]
+        assert got == {
+            "start": a, "size": c - a, "step_words": count(a, b), "words": count(a, c),
+            "left": count(max(0, a - chunks.MARGIN), a), "right": count(c, c + chunks.MARGIN),
+        }
 
 
 def test_quality_rules(docs, texts, empty):

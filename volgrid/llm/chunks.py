@@ -1,15 +1,18 @@
-"""Repeated passages by anchors that depend on content.
-
-Every window of ``SIZE`` bytes has a hash. Of ``SPAN`` windows that start one after the other the
-one with the smallest hash is an *anchor*, for every such stretch, so that any passage of
-``SIZE + SPAN - 1`` bytes has an anchor inside, the same one wherever it stands, whatever its
-content: 101 bytes, which 51 words of one letter take. Where a hash repeats (one word for ever), few
-of the equal ones are anchors, as one per stretch will do.
-
-Anchors are compared by a 64-bit digest of their ``SIZE`` bytes; of equal ones the first (smallest
-doc_id, then position) is kept and the others are repeats. Repeats that touch or overlap form a
-passage. Its length is a lower bound: all of it is repeated, and up to ``SPAN`` - 1 bytes more may
-be at either end.
+"""Repeated passages by content-defined chunks.
+
+*Borders.* A gear hash rolls over the bytes: each byte adds a random value and doubles what came
+before, so the hash depends on the last ``REACH`` bytes alone. The position with the smallest hash of
+every ``SPAN`` positions in a row is a border. Borders so follow content and move along with it: an
+insertion changes those around it and no others, and no two are more than ``SPAN`` bytes apart.
+
+*Chunks.* The bytes between two borders are a variable chunk. Chunks are deduplicated by the digest of
+a chunk and the one after it, some 33 bytes, since single ones are so short that common phrases
+repeat them. The smallest doc_id that has a digest keeps the chunk; in other documents it is a repeat.
+
+*Passages.* Repeats that touch or overlap are a passage. It is reported if it may have more than
+``WORDS`` words: those of its chunks, and those within ``MARGIN`` bytes at either end, as a passage
+begins and ends between borders. What two documents share of ``5 * SPAN + REACH`` bytes or more
+always has a chunk; of shorter ones (50 words of one or two letters) nearly all do.
 """
 
 from __future__ import annotations
@@ -22,62 +25,38 @@ from xxhash import xxh3_64_intdigest
 
 from .common import map_texts, written
 
-#: Mean chunk length in bytes of ``borders``.
-MEAN_BYTES = 24
-#: Bytes of an anchor, and so of the shortest passage reported. More would need more anchors to find
-#: all passages of 51 words: with 80 (and 22 starts) more than four times the input is written, at 64 (and 38) 4.22 times.
-SIZE = 60
-#: Window starts of which one is an anchor.
-SPAN = 42
-#: Window starts that are hashed at once.
-AT_ONCE = 1 << 20
+#: Positions in a row of which one is a border.
+SPAN = 32
 #: Bytes that the hash looks back.
 REACH = 16
+#: Positions that are hashed at once.
+AT_ONCE = 1 << 20
+#: Passages of more words are reported.
+WORDS = 50
+#: Bytes at either end of a passage that its repeated chunks may not reach.
+MARGIN = 2 * SPAN
+#: Chunks whose digest is compared.
+TOGETHER = 2
 
 #: A random value per byte, from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20_240_101)).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: White space between words.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: How the measures of a chunk are packed into one long: name and bits.
+_PACKED = (("start", 31), ("size", 8), ("step_words", 6), ("words", 6), ("left", 6), ("right", 6))
 
 
-def borders(data: bytes, mean: int = MEAN_BYTES) -> np.ndarray:
-    """Ends of the chunks of ``data``; the last one is its length."""
-    if not data:
-        return np.empty(0, dtype=np.int64)
-    # h[i] = sum of GEAR[data[i - k]] << k for k < 16, by doubling the reach four times.
-    h = GEAR[np.frombuffer(data, dtype=np.uint8)]
+def gear_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash behind each byte from the ``REACH``-th on: the sum of ``GEAR[byte] << bytes since``."""
+    h = GEAR[data]
     width = 1
+    # Doubling: the sum over 2w bytes is that over the last w, and that over the w before, shifted.
     while width < REACH:
         if len(h) > width:
             h[width:] += h[:-width] << np.uint32(width)
         width *= 2
-    ends = np.flatnonzero(h < np.uint32((1 << 32) // mean)) + 1
-    # The first bytes have not yet filled the reach: their hash depends on the start.
-    ends = ends[ends >= REACH]
-    return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
-
-
-#: A random odd value per byte, from a fixed seed, and the base of the window hashes.
-_CODES = np.random.Generator(np.random.PCG64(20_240_102)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C55
-
-
-def _window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of that size, mixed so that any order of them is as good as random."""
-    n = len(data) - size + 1
-    out = np.zeros(n, dtype=np.uint64)
-    # Doubling: a window of 2w is two windows of w; the binary digits of the size are added up.
-    piece, width, done = _CODES[data], 1, 0
-    while True:
-        if size & width:
-            out = out * np.uint64(pow(_BASE, width, 1 << 64)) + piece[done : done + n]
-            done += width
-        if 2 * width > size:
-            break
-        piece = piece[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + piece[width:]
-        width *= 2
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
+    return h[REACH - 1 :]
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -90,93 +69,145 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(data: bytes, size: int = SIZE, span: int = SPAN) -> np.ndarray:
-    """Starts of the anchors of ``data``, in order; none if it is shorter than ``size``."""
+def _thinned(at: np.ndarray, value: np.ndarray, span: int) -> np.ndarray:
+    """Without most of the borders of a text that repeats one word for ever.
+
+    Equal hashes at equal distances have the same bytes between them, so of these every one that
+    is about ``span`` after the one before will do: chunks are the same wherever counting begins.
+    """
+    gap, same = np.diff(at), value[1:] == value[:-1]
+    inside = np.zeros(len(at), dtype=bool)
+    inside[1:-1] = same[:-1] & same[1:] & (gap[:-1] == gap[1:])
+    places = np.arange(len(at))
+    since = places - np.maximum.accumulate(np.where(inside, 0, places))
+    every = np.ones(len(at), dtype=np.int64)
+    every[1:] = np.maximum(1, span // gap)
+    return at[~inside | (since % every == 0)]
+
+
+def borders(data: bytes, span: int = SPAN) -> np.ndarray:
+    """Ends of the chunks of ``data`` in order; the last one is its length. None of an empty text."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    n = len(raw) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    found = []
-    for begin in range(0, max(1, n - span + 1), AT_ONCE):
-        h = _window_hashes(raw[begin : begin + AT_ONCE + span - 1 + size - 1], size)
-        k = min(span, len(h))
-        least = _least(h, k)
-        # A start is an anchor if a stretch that it is in has no smaller hash: if the largest of
+    n = len(raw) - REACH + 1
+    found = [np.array([len(raw)][: len(raw)], dtype=np.int64)]
+    for begin in range(0, max(0, n - span + 1), AT_ONCE):
+        h = gear_hashes(raw[begin : begin + AT_ONCE + span - 1 + REACH - 1])
+        least = _least(h, span)
+        # A position is a border if a stretch that it is in has no smaller hash: if the largest of
         # the minima of these stretches is its own.
-        edge = np.zeros(k - 1, dtype=np.uint64)
-        best = ~_least(~np.concatenate([edge, least, edge]), k)
+        edge = np.zeros(span - 1, dtype=np.uint32)
+        best = ~_least(~np.concatenate([edge, least, edge]), span)
         at = np.flatnonzero(best == h)
-        # Of equal hashes in a row the first and the last in each block of places.
-        value, block = h[at], (begin + at) // span
-        new = np.ones(len(at) + 1, dtype=bool)
-        new[1:-1] = (value[1:] != value[:-1]) | (block[1:] != block[:-1])
-        found.append(begin + at[new[:-1] | new[1:]])
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        found.append(begin + _thinned(at, h[at], span) + REACH)
+    return np.unique(np.concatenate(found))
 
 
-def anchored(docs: DataFrame, size: int = SIZE, span: int = SPAN) -> DataFrame:
-    """``doc_id, start, digest`` of every anchor (positions in UTF-8 bytes)."""
+def chunk_rows(data: bytes, span: int = SPAN) -> tuple[np.ndarray, list[int]]:
+    """The measures of each chunk with its followers, packed, and their digests.
+
+    ``start``; ``size`` in bytes; words that begin before the next chunk starts, and before the end;
+    words that begin within ``MARGIN`` bytes before the start and behind the end.
+    """
+    ends = borders(data, span)
+    if not len(ends):
+        return np.empty(0, dtype=np.int64), []
+    cuts = np.concatenate([[0], ends])
+    last = max(1, len(cuts) - TOGETHER)
+    start, following = cuts[:last], cuts[1 : last + 1]
+    end = cuts[TOGETHER : last + TOGETHER] if len(cuts) > TOGETHER else cuts[-1:]
+    space = _SPACE[np.frombuffer(data, dtype=np.uint8)]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    before = np.concatenate([[0], np.cumsum(begins)])  # words that begin before each place
+    size = len(data)
+    measures = (
+        start, end - start, before[following] - before[start], before[end] - before[start],
+        before[start] - before[np.maximum(start - MARGIN, 0)], before[np.minimum(end + MARGIN, size)] - before[end],
+    )
+    packed = np.zeros(len(start), dtype=np.int64)
+    for (_, bits), values in zip(_PACKED, measures):
+        packed = packed << bits | np.minimum(values, (1 << bits) - 1)
+    return packed, [xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+
+
+def chunked(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """``doc, none, packed, digest`` of every chunk; ``doc`` is the doc_id, or with ``none`` a hash
+    of the text."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts, starts, digests = [], [], [], []
+        ids, none, counts, measures, digests = [], [], [], [], []
         for doc, data in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-            at = anchors(data or b"", size, span)
-            if not len(at):
+            packed, found = chunk_rows(data or b"", span)
+            if not found:
                 continue
-            ids.append(doc)
-            counts.append(len(at))
-            starts.append(at)
-            digests += [xxh3_64_intdigest(data[a : a + size]) for a in at.tolist()]
-        rows = pa.array(np.repeat(np.arange(len(ids)), counts)) if ids else pa.array([], pa.int64())
-        places = np.concatenate(starts).astype(np.int64) if starts else np.empty(0, np.int64)
+            ids.append(xxh3_64_intdigest(data) - (1 << 63) if doc is None else doc)
+            none.append(doc is None)
+            counts.append(len(found))
+            measures.append(packed)
+            digests += found
+        rows = np.repeat(np.arange(len(ids)), counts) if ids else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()).take(rows), pa.array(places),
+            [pa.array(np.array(ids, dtype=np.int64)[rows]), pa.array(np.array(none, dtype=bool)[rows]),
+             pa.array(np.concatenate(measures) if measures else np.empty(0, np.int64)),
              pa.array(np.array(digests, dtype=np.uint64).view(np.int64))],
-            names=["doc_id", "start", "digest"],
+            names=["doc", "none", "packed", "digest"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(rows, run, "doc_id long, start long, digest long")
+    return map_texts(rows, run, "doc long, none boolean, packed long, digest long")
 
 
-def repeated_passages(docs: DataFrame, size: int = SIZE, span: int = SPAN) -> DataFrame:
-    """``doc_id, start, end, n_chunks, first_doc_id``: passages that an earlier place has too.
+def _unpacked(name: str):
+    below = sum(bits for _, bits in _PACKED[[n for n, _ in _PACKED].index(name) + 1 :])
+    return F.shiftright("packed", below).bitwiseAND(F.lit((1 << dict(_PACKED)[name]) - 1).cast("long"))
 
-    Positions are UTF-8 bytes, the end exclusive; ``n_chunks`` are the anchors of the passage and
-    ``first_doc_id`` is the document that keeps most of them. The earlier place may be in the same
-    document, and overlap: one word for ever repeats itself. Null and empty texts have no passage.
-    Rows without doc_id come last among equal anchors; rows that repeat a doc_id are one document
-    whose anchors may coincide: of equal anchors at one place of one doc_id both count as the
-    first. An empty table gives no rows. Other columns are not looked at.
+
+def repeated_passages(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
+    """``doc_id, start, end, n_chunks, n_words, first_doc_id``: passages that an earlier document has.
+
+    Positions are UTF-8 bytes, the end exclusive, of the chunks that repeat: all of it is repeated,
+    and up to ``MARGIN`` bytes more may be at either end. ``n_words`` is the most words that it may
+    have, ``first_doc_id`` the document that keeps most of its chunks. Repeats within one document
+    are not reported. Null and empty texts have no passage. Rows without doc_id are compared with
+    documents that have one; rows that repeat a doc_id are one document. An empty table gives no
+    rows. Other columns are not looked at.
     """
-    found = written(anchored(docs, size, span), "anchors")
-    # The smallest (doc_id, start) as a struct; partial sums leave one row a digest and task.
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("start"))
+    found = written(chunked(docs, span), "chunks")
+    # One row a digest and task after partial aggregation.
+    known = F.when(~F.col("none"), F.col("doc"))
     many = (
         found.groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min(place).alias("first"))
-        .where("n > 1")
+        .agg(F.min(known).alias("first"), F.max(known).alias("last"), F.bool_or("none").alias("more"))
+        .where("first IS NOT NULL AND (last > first OR more)")
         .select("digest", "first")
     )
-    here = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("start"))
-    repeats = found.join(many, "digest").where(~here.eqNullSafe(F.col("first"))).select(
-        "doc_id", "start", F.col("first.doc_id").alias("first_doc_id")
+    repeats = found.join(many, "digest").where("none OR doc <> first").select(
+        "doc", "none", "first", *[_unpacked(n).alias(n) for n, _ in _PACKED]
     )
-    # Runs of repeats: a run starts where the one before ends earlier.
-    inside = Window.partitionBy("doc_id").orderBy("start")
-    marked = repeats.withColumn(
-        "new", F.coalesce((F.lag("start").over(inside) + F.lit(size) < F.col("start")).cast("int"), F.lit(1))
+    inside = Window.partitionBy("doc", "none").orderBy("start", "size")
+    end = F.col("start") + F.col("size")
+    marked = repeats.withColumns(
+        {"end": end, "next": F.lead("start").over(inside), "reach": F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))}
+    ).withColumn("new", F.coalesce((F.col("reach") < F.col("start")).cast("int"), F.lit(1)))
+    runs = marked.withColumns(
+        {
+            "run": F.sum("new").over(inside),
+            # Words up to where the next repeat of the passage takes over.
+            "counted": F.when(F.col("next") < F.col("end"), F.col("step_words")).otherwise(F.col("words")),
+        }
     )
-    runs = marked.withColumn("run", F.sum("new").over(inside))
     return (
-        runs.groupBy("doc_id", "run", "first_doc_id")
-        .agg(F.min("start").alias("start"), F.max("start").alias("last"), F.count("*").alias("n"))
-        .groupBy("doc_id", "run")
+        runs.groupBy("doc", "none", "run", "first")
+        .agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.sum("counted").alias("counted"),
+            F.min(F.struct("start", "left")).alias("opens"), F.max(F.struct("end", "right")).alias("closes"),
+        )
+        .groupBy("doc", "none", "run")
         .agg(
-            F.min("start").alias("start"),
-            (F.max("last") + F.lit(size)).alias("end"),
-            F.sum("n").alias("n_chunks"),
-            F.max(F.struct("n", "first_doc_id")).getField("first_doc_id").alias("first_doc_id"),
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"),
+            (F.sum("counted") + F.min("opens")["left"] + F.max("closes")["right"]).alias("n_words"),
+            F.max(F.struct("n", "first")).getField("first").alias("first_doc_id"),
         )
-        .drop("run")
+        .where(F.col("n_words") > words)
+        .select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "start", "end", "n_chunks", "n_words", "first_doc_id")
     )
