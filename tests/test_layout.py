@@ -1,0 +1,277 @@
+"""Stored layout, functions of one's own per bucket, boosted trees, and joins without a shuffle."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_plans import count, plan
+from volgrid.functions.hashing import hash_unit
+from volgrid.operators import assemble, boosting, custom, features, latency, metrics, ordering
+from volgrid.plans.training import volatility
+from volgrid.schemas import BUCKET_KEY, FEATURES, SECOND, SLOT_KEY
+from volgrid.sources import fixtures, layout
+
+
+@pytest.fixture(scope="module")
+def market(spark, sf_dir, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("market"))
+    frames = []
+    for name, df in zip(("index", "book", "trade"), fixtures.market(spark, sf_dir), strict=True):
+        df.write.parquet(f"{root}/{name}")
+        frames.append(spark.read.parquet(f"{root}/{name}"))
+    return frames
+
+
+@pytest.fixture(scope="module")
+def stored(spark, market, tmp_path_factory):
+    """Layout of the market; the index has a bucket without rows more, and lacks one."""
+    index, book, trade = market
+    root = str(tmp_path_factory.mktemp("layout"))
+    some = index.orderBy(*BUCKET_KEY).limit(index.count() - 1)
+    more = spark.createDataFrame([(9999, 1)], "stock_id int, time_id int")
+    wanted = some.unionByName(more).withColumn("target", F.lit(0.5))
+    layout.write_slots(book, trade, "layout_slots", f"{root}/slots", 4)
+    layout.write_index(wanted, "layout_index", f"{root}/index", 4)
+    return wanted
+
+
+def rows_of(df, names):
+    return sorted(tuple(str(round(v, 9)) if isinstance(v, float) else str(v) for v in r) for r in df.select(*names).collect())
+
+
+def test_layout_gives_the_same_features_without_a_shuffle(spark, market, stored):
+    _, book, trade = market
+    got = layout.bucket_features(spark, "layout_index", "layout_slots", ("target",))
+    wanted = features.bucket_features(stored, book, trade, carry=("target",))
+    names = [*SLOT_KEY, "target", *FEATURES]
+    assert rows_of(got, names) == rows_of(wanted, names)
+    assert count(got, "Exchange") == 0 and "BroadcastExchange" not in plan(got)
+    # What is built on the features stays where it is.
+    assert count(assemble.bucket_tensor(got, FEATURES, ("target",)), "Exchange") == 0
+    assert count(assemble.bucket_summary(got), "Exchange") == 0
+
+
+def test_bucket_udf_against_the_operator(spark, market):
+    index, book, trade = market
+    more = index.unionByName(spark.createDataFrame([(9999, 1)], "stock_id int, time_id int"))
+    got = custom.bucket_udf(more, book, trade, volatility, ["log_return", "size"])
+    wanted = features.bucket_features(more, book, trade)
+    assert got.count() == 600 * more.count()
+    both = got.join(wanted.select(*SLOT_KEY, F.col("log_return").alias("r"), F.col("size").alias("s")), SLOT_KEY)
+    assert both.where("abs(log_return - r) > 1e-12 OR size <> s").isEmpty() and both.count() == 600 * more.count()
+    # One shuffle a side.
+    assert count(got, "Exchange") == 2
+
+
+def counting():
+    """A function of one's own; made here, as tasks cannot import this file."""
+
+    def run(stock_id, time_id, book, trade):
+        return {"n": np.full(600, float(len(book) + 10 * len(trade)))}
+
+    return run
+
+
+@pytest.fixture
+def small(spark):
+    book = "stock_id int, time_id int, seconds_in_bucket int, bid_price1 double, ask_price1 double, bid_size1 long, ask_size1 long"
+    trade = "stock_id int, time_id int, seconds_in_bucket int, size long, order_count long"
+    quotes = [(1, 1, 5, 1.0, 1.1, 5, 6), (1, 1, 5, 1.0, 1.1, 5, 6), (1, 1, 2, 1.0, None, 5, 6), (1, 1, 700, 1.0, 1.1, 5, 6), (7, 7, 1, 1.0, 1.1, 5, 6)]
+    trades = [(1, 1, 5, 3, 1), (2, 1, 9, 3, 1)]
+    index = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "stock_id int, time_id int")
+    return index, spark.createDataFrame(quotes, book), spark.createDataFrame(trades, trade)
+
+
+def test_bucket_udf_gets_one_row_per_second(small):
+    rows = custom.bucket_udf(*small, counting(), ["n"]).groupBy(*BUCKET_KEY).agg(F.count("*").alias("c"), F.max("n").alias("n")).collect()
+    # Copies are combined; seconds off the grid and buckets off the index are dropped.
+    assert {(r["stock_id"], r["c"], r["n"]) for r in rows} == {(1, 600, 12.0), (2, 600, 10.0), (3, 600, 0.0)}
+    index, book, trade = small
+    assert custom.bucket_udf(index.limit(0), book, trade, counting(), ["n"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "function, message",
+    [
+        (lambda s, t, b, tr: {"n": np.zeros(599)}, "values of n instead of 600 at stock_id"),
+        (lambda s, t, b, tr: {"n": np.zeros(600), "more": np.zeros(600)}, "the function returned"),
+        (lambda s, t, b, tr: {}, "the function returned"),
+    ],
+)
+def test_bucket_udf_checks_what_is_returned(small, function, message):
+    with pytest.raises(Exception, match=message):
+        custom.bucket_udf(*small, function, ["n"]).count()
+
+
+def test_bucket_udf_fails_on_differing_rows(spark, small):
+    index, book, trade = small
+    other = book.unionByName(spark.createDataFrame([(1, 1, 5, 2.0, 1.1, 5, 6)], book.schema))
+    with pytest.raises(Exception, match="rows of book differ at stock_id 1, time_id 1, second 5"):
+        custom.bucket_udf(index, other, trade, counting(), ["n"]).count()
+    with pytest.raises(Exception, match="more than one index row"):
+        custom.bucket_udf(index.unionByName(index), book, trade, counting(), ["n"]).count()
+
+
+# --- boosted trees ---------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def curved(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1500):
+        a, b = float(rng.normal()), float(rng.integers(5))
+        y = np.exp(np.sin(2 * a) + (b > 2) + 0.1 * rng.normal())
+        rows.append((i, None if i % 17 == 0 else float("nan") if i % 19 == 0 else a, b, 1.0, float(y)))
+    rows += [(-1, 0.0, 0.0, 1.0, None), (-2, 0.0, 0.0, 1.0, float("nan"))]
+    return spark.createDataFrame(rows, "id int, a double, b double, same double, y double").repartition(5)
+
+
+def brute_stump(x, y, w, edges):
+    """The best cut by trying every one: (feature, edge), and the values of its sides."""
+    best, found = -1.0, None
+    mean = (w * y).sum() / w.sum()
+    for f, cuts in enumerate(edges):
+        for edge in cuts:
+            left = np.isnan(x[:, f]) | (x[:, f] <= edge)
+            if not 0 < left.sum() < len(y):
+                continue
+            sides = [((w * y)[s].sum() / w[s].sum(), w[s].sum()) for s in (left, ~left)]
+            gain = sum(ws * (v - mean) ** 2 for v, ws in sides)
+            if gain > best * (1 + 1e-9):
+                best, found = gain, (f, edge, sides[0][0], sides[1][0])
+    return found
+
+
+def data(df, names):
+    rows = [r for r in df.collect() if r["y"] is not None and not np.isnan(r["y"])]
+    x = np.array([[np.nan if r[c] is None else r[c] for c in names] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    return x, y, 1 / (y + 1e-8) ** 2
+
+
+def test_a_stump_is_the_best_cut(curved):
+    names = ["same", "a", "b"]
+    edges = [[1.0], [-1.0, -0.5, 0.0, 0.5, 1.0], [0.0, 1.0, 2.0, 3.0]]
+    x, y, w = data(curved, names)
+    model = boosting.fit_boosted(curved, names, rounds=1, depth=1, rate=1.0, least=1, edges=edges)
+    feature, edge, low, high = brute_stump(x, y, w, edges)
+    (tree,) = model.trees
+    assert (tree.feature, tree.edge) == (feature, edge)
+    assert model.start + tree.left.value == pytest.approx(low, rel=1e-9)
+    assert model.start + tree.right.value == pytest.approx(high, rel=1e-9)
+
+
+def brute_boost(x, y, w, edges, rounds, depth, rate):
+    """The same trees by recursion over rows."""
+    pred = np.full(len(y), (w * y).sum() / w.sum())
+
+    def grow(mask, level):
+        r = y - pred
+        value = (w * r)[mask].sum() / w[mask].sum()
+        found = brute_stump(x[mask], r[mask], w[mask], edges) if level < depth else None
+        mean = value
+        if found:
+            f, edge, low, high = found
+            left = mask & (np.isnan(x[:, f]) | (x[:, f] <= edge))
+            if (left.sum() >= 20 and (mask & ~left).sum() >= 20) and not np.isclose(low, high):
+                return grow(left, level + 1) + grow(mask & ~left, level + 1)
+        return [(mask, mean)]
+
+    for _ in range(rounds):
+        leaves = grow(np.ones(len(y), dtype=bool), 0)
+        step = np.zeros(len(y))
+        for mask, value in leaves:
+            step[mask] = value
+        pred = pred + rate * step
+    return pred
+
+
+def test_trees_against_rows(curved):
+    names, edges = ["a", "b"], [[-1.0, -0.3, 0.4, 1.1], [0.0, 1.0, 2.0, 3.0]]
+    x, y, w = data(curved, names)
+    model = boosting.fit_boosted(curved, names, rounds=4, depth=2, rate=0.5, edges=edges)
+    wanted = brute_boost(x, y, w, edges, 4, 2, 0.5)
+    got = {r["id"]: r["y_pred"] for r in model.predict(curved).collect()}
+    ids = [r["id"] for r in curved.collect() if r["y"] is not None and not np.isnan(r["y"])]
+    assert np.allclose([got[i] for i in ids], wanted, rtol=1e-9)
+    assert got[-1] is not None
+
+
+def test_trees_beat_the_line(curved):
+    train, held = curved.where("id % 3 <> 0"), curved.where("id % 3 = 0 AND id >= 0")
+    model = boosting.fit_boosted(train, ["a", "b", "same"], rounds=25, depth=3)
+
+    def error(df, pred):
+        return df.select(F.sqrt(F.avg(((F.col(pred) - F.col("y")) / F.col("y")) ** 2))).first()[0]
+
+    constant = boosting.fit_boosted(train, ["a"], rounds=0)
+    assert error(model.predict(held), "y_pred") < 0.5 * error(constant.predict(held), "y_pred")
+    assert "Python" not in plan(model.predict(held)) and count(model.predict(held), "Exchange") <= 1
+    nothing = boosting.fit_boosted(curved.limit(0), ["a"])
+    assert nothing.trees == [] and nothing.predict(curved).select("y_pred").first()[0] == 0.0
+
+
+# --- joins on keys that are never null -------------------------------------------------------
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.fixture
+def keyed(spark, tmp_path):
+    stock = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).cast("int")
+    spark.range(20_000).select(stock.alias("stock_id"), F.col("id").alias("time_id")).write.parquet(str(tmp_path / "k"))
+    return spark.read.parquet(str(tmp_path / "k"))
+
+
+def row_exchanges(df, column):
+    """Exchanges that move a column of the rows themselves."""
+    return [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line and column in line]
+
+
+def test_ranks_move_rows_once_without_broadcasts(keyed, no_broadcast):
+    ranked = ordering.hash_rank(keyed, hash_unit(["stock_id", "time_id"], 1), ["time_id"], group=["stock_id"])
+    # The rows, their counts by interval, and the counts' totals per group.
+    assert count(ranked, "Exchange") == 4 and "<=>" not in plan(ranked)
+    got = ranked.groupBy("stock_id").agg(F.count("*").alias("n"), F.max("rank").alias("m"), F.countDistinct("rank").alias("d")).collect()
+    assert len(got) == 8 and all(r["m"] == r["n"] - 1 and r["d"] == r["n"] for r in got)
+
+
+def test_running_totals_move_rows_once_without_broadcasts(keyed, no_broadcast):
+    ranked = ordering.hash_rank(keyed, hash_unit(["time_id"], 1), ["time_id"], group=["stock_id"])
+    path = ranked.withColumn("v", F.lit(2))
+    totals = ordering.running_totals(path, "rank", {"before": "v"}, ["stock_id"])
+    assert "<=>" not in plan(totals)
+    assert totals.where("before <> 2 * rank").isEmpty()
+
+
+def test_latency_joins_are_plain(keyed, no_broadcast):
+    timed = keyed.withColumn("latency_ms", (F.col("time_id") % 997).cast("double"))
+    summary = latency.latency_summary(timed, 1, ["stock_id"])
+    joins = [line for line in plan(summary).splitlines() if "SortMergeJoin" in line]
+    assert joins and "<=>" not in plan(summary) and not any("isnull" in line for line in joins)
+    rows = {r["stock_id"]: r for r in summary.collect()}
+    for stock in (None, 0, 4):
+        where = F.col("stock_id").eqNullSafe(F.lit(stock))
+        values = sorted(r[0] for r in timed.where(where).select("latency_ms").collect())
+        assert rows[stock]["p50_ms"] == values[max(1, int(0.5 * len(values))) - 1]
+    steps = keyed.select(F.col("stock_id").alias("epoch"), "time_id").withColumns({"loss": F.lit(1.0), "n": F.lit(1), "step": F.col("time_id") + 1})
+    assert metrics.running_metric(steps.where("epoch = 4 AND time_id < 100")).columns
+    assert SECOND == "seconds_in_bucket"
+
+
+@pytest.mark.parametrize("kind, values", [("int", [0, 1, None]), ("string", ["", "0", None]), ("date", ["2024-01-01", None]), ("double", [0.0, 1.5, None])])
+def test_null_free_keys_come_back(spark, kind, values):
+    df = spark.createDataFrame([(v,) for v in values], "k string" if kind == "date" else f"k {kind}").withColumn("k", F.col("k").cast(kind))
+    keyed_rows, names, restored = ordering.null_free(df, ["k"])
+    assert keyed_rows.where(" OR ".join(f"{n} IS NULL" for n in names)).isEmpty()
+    assert keyed_rows.select(*names).distinct().count() == len(values)
+    back = keyed_rows.select(*restored)
+    assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
