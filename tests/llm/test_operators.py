@@ -300,7 +300,7 @@ def _logistic(x, y, weight, reg):
 
 def test_toxicity_chain_against_numpy(spark, monkeypatch):
     """The same chain from the same features: own regressions, own folds."""
-    monkeypatch.setattr(toxicity, "REGULARISATION", 0.01)
+    monkeypatch.setattr(toxicity.logistic, "__defaults__", (0.01,))
     rng = random.Random(5)
     pool = [f"w{i}" for i in range(60)]
     rows, labels = [], []

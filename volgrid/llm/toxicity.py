@@ -25,8 +25,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +42,7 @@ MIN_DOCS = 8
 MIN_LIFT = 3.0
 FOLDS = 3
 REGULARISATION = 1e-4
+ITERATIONS = 200
 #: Above this many labels they are joined by shuffle instead of being broadcast.
 BROADCAST_LABELS = 1_000_000
 #: Distinct stretches of text kept per task.
@@ -211,33 +210,64 @@ def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY)
     return list(chosen)
 
 
-def _constant(rows: DataFrame, category: str) -> float | None:
-    """The label that all rows have, if they do; fits need both."""
-    low, high = rows.agg(F.min(category), F.max(category)).first()
-    return low if low == high else None
-
-
-def _fit_step(rows: DataFrame, category: str, inputs: list[str], width: int) -> tuple[np.ndarray, float]:
-    constant = _constant(rows, category)
-    if constant is not None or width == 0:
-        return np.zeros(width), 6.0 if constant else -6.0
-    vector = array_to_vector(F.concat("features", F.array(*[F.col(c) for c in inputs])) if inputs else F.col("features"))
-    model = LogisticRegression(
-        featuresCol="v", labelCol=category, weightCol="weight", regParam=REGULARISATION, maxIter=60, standardization=True
-    ).fit(rows.withColumn("v", vector))
-    return model.coefficients.toArray(), float(model.intercept)
-
-
-def _margin(weights: np.ndarray, intercept: float, inputs: list[str]):
-    """The probability as a column."""
-    x = F.concat("features", F.array(*[F.col(c) for c in inputs])) if inputs else F.col("features")
-    pairs = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
-    total = F.aggregate(pairs, F.lit(float(intercept)), lambda s, v: s + v)
-    return 1 / (1 + F.exp(-total))
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = REGULARISATION) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression with a squared penalty on weights of inputs
+    scaled to unit deviation, by limited-memory BFGS. Inputs without spread get the weight 0; rows
+    that all have one label give a constant."""
+    if not len(y) or y.min() == y.max():
+        return np.zeros(x.shape[1]), 6.0 if len(y) and y[0] else -6.0
+    share = weight / weight.sum()
+    mean = share @ x
+    spread = np.sqrt(np.maximum(share @ (x * x) - mean * mean, 0) / (1 - (share * share).sum()))
+    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
+
+    def value(beta: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = x @ (beta[:-1] * scale).astype(x.dtype) + beta[-1]
+        loss = share @ (np.logaddexp(0, margin) - y * margin) + penalty / 2 * (beta[:-1] @ beta[:-1])
+        error = share * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y)
+        slope = (error.astype(x.dtype) @ x).astype(float) * scale + penalty * beta[:-1]
+        return float(loss), np.append(slope, error.sum())
+
+    beta = np.zeros(x.shape[1] + 1)
+    odds = share @ y
+    beta[-1] = math.log(odds / (1 - odds))
+    loss, slope = value(beta)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(ITERATIONS):
+        direction = slope.copy()
+        used = []
+        for s, d, r in reversed(steps):
+            a = r * (s @ direction)
+            used.append(a)
+            direction -= a * d
+        if steps:
+            s, d, _ = steps[-1]
+            direction *= (s @ d) / (d @ d)
+        for (s, d, r), a in zip(steps, reversed(used)):
+            direction += (a - r * (d @ direction)) * s
+        length, fall = 1.0 if steps else 1 / max(1.0, float(np.abs(slope).sum())), slope @ direction
+        while True:
+            trial = beta - length * direction
+            trial_loss, trial_slope = value(trial)
+            if trial_loss <= loss - 1e-4 * length * fall or length < 1e-10:
+                break
+            length /= 2
+        s, d = trial - beta, trial_slope - slope
+        gained = loss - trial_loss
+        beta, loss, slope = trial, trial_loss, trial_slope
+        if s @ d > 1e-12:
+            steps = [*steps[-9:], (s, d, 1 / (s @ d))]
+        if gained <= 1e-9 * max(abs(loss), 1e-9) or np.abs(slope).max() < 1e-7:
+            break
+    return beta[:-1] * scale, float(beta[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAIN_DOCS) -> Chain | None:
-    """The chain for ``categories`` in their order; None without any usable label."""
+    """The chain for ``categories`` in their order; None without any usable label.
+
+    The features of the bounded sample (at most ``VOCABULARY`` numbers a category and document)
+    come to the driver, where the regressions are fitted.
+    """
     said = list(categories)
     # Columns of our own, so that a category may have any name.
     categories = [f"_category_{i}" for i in range(len(said))]
@@ -249,36 +279,31 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
     names = ["fold", "weight", *categories]
 
     def featurise(part: pa.RecordBatch, features: Features) -> pa.RecordBatch:
-        values = features.of(part.column(0).to_pylist())
+        values = features.of(part.column(0).to_pylist()).astype("<f4")
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(values), pa.list_(pa.float64())), *[part.column(1 + i) for i in range(len(names))]],
+            [pa.array([row.tobytes() for row in values], pa.binary()), *[part.column(1 + i) for i in range(len(names))]],
             names=["features", *names],
         )
 
-    schema = "features array<double>, fold int, weight double, " + ", ".join(f"`{c}` double" for c in categories)
-    rows = written(
-        map_texts(sample.select("text", *names), featurise, schema, setup=lambda: Features(vocabulary)), "toxic-rows"
-    )
+    schema = "features binary, fold int, weight double, " + ", ".join(f"`{c}` double" for c in categories)
+    rows = map_texts(sample.select("text", *names), featurise, schema, setup=lambda: Features(vocabulary))
+    found = rows.orderBy(F.sha2("features", 256), *names).toArrow()  # the bounded sample, in an order of its own
     width = len(vocabulary)
+    x = np.zeros((found.num_rows, width + len(categories)), dtype=np.float32)
+    x[:, :width] = np.frombuffer(b"".join(found["features"].to_pylist()), dtype="<f4").reshape(found.num_rows, width)
+    fold, weight, *labelled = (found[c].to_numpy().astype(float) for c in names)
     steps: list[Step] = []
-    before: list[str] = []
-    for name, c in zip(said, categories):
-        weights, intercept = _fit_step(rows, c, before, width + len(before))
+    for k, (name, y) in enumerate(zip(said, labelled)):
+        inputs = x[:, : width + k]
+        weights, intercept = logistic(inputs, y, weight)
         steps.append(Step(name, weights[:width], weights[width:], intercept))
         # Out of fold: each fold is predicted by a model of the others.
-        parts = []
-        for k in range(FOLDS):
-            others = rows.where(F.col("fold") != k)
-            held = rows.where(F.col("fold") == k)
-            w, b = _fit_step(others, c, before, width + len(before))
-            parts.append(held.withColumn(f"_p_{len(before)}", _margin(w, b, before) if len(w) else F.lit(0.0)))
-        folded = parts[0]
-        for p in parts[1:]:
-            folded = folded.unionAll(p)
-        rows = written(folded, "toxic-rows")
-        before.append(f"_p_{len(before)}")
-    scores = rows.select(before[-1], categories[-1], "weight").toPandas()  # the bounded sample
-    return Chain(vocabulary, steps, best_threshold(*(scores.iloc[:, i].to_numpy() for i in range(3))))
+        for f in range(FOLDS):
+            held = fold == f
+            w, b = logistic(inputs[~held], y[~held], weight[~held])
+            x[held, width + k] = _sigmoid(inputs[held] @ w + b)
+    last = x[:, width + len(categories) - 1].astype(float)
+    return Chain(vocabulary, steps, best_threshold(last, labelled[-1], weight))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
