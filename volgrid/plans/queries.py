@@ -176,7 +176,7 @@ def synthetic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     within five deviations of mean and spread, and the same when made again."""
     buckets = fixtures.buckets(spark, sf_dir)
     samples = requests.synthetic_samples(buckets, len(FEATURES))
-    again = requests.synthetic_samples(buckets.coalesce(1), len(FEATURES))
+    again = requests.synthetic_samples(buckets.repartition(7, *BUCKET_KEY), len(FEATURES))
     cells = F.flatten("x")
     n = F.size(cells)
     total = F.aggregate(cells, F.lit(0.0), lambda s, v: s + v)

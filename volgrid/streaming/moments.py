@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.moments import MOMENTS
 from ..schemas import FEATURES
+from .scoring import read_sample_stream
 
 STATE = "version long, rows long, n long, mean double, m2 double"
 RESULT = f"{MOMENTS}, version long"
@@ -43,10 +44,7 @@ def read_row_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
     """Rows of Parquet files as they arrive, however old the files are."""
-    reader = spark.readStream.schema(schema).option("maxFileAge", "36500d")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return read_sample_stream(spark, path, schema, files_per_trigger)
 
 
 def _partial(columns: list[str]):

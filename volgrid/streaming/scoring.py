@@ -16,19 +16,21 @@ from ..operators.model import Predictor, sane_predictions, score_requests, score
 from ..sources.requests import encode_json_responses, parse_json_requests
 
 REQUEST_SCHEMA = "request_id string, body string"
+#: By default Spark leaves out files a week older than the newest that it has seen.
+ANY_AGE = "36500d"
 
 
 def read_sample_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFileAge", ANY_AGE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
 
 
 def read_request_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(REQUEST_SCHEMA).json(path)
+    return spark.readStream.schema(REQUEST_SCHEMA).option("maxFileAge", ANY_AGE).json(path)
 
 
 def _write(scored: DataFrame, path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
