@@ -30,6 +30,26 @@ def observed(df: DataFrame, pred_log: str, y_log: str, missing: str) -> DataFram
     return df.withColumns({c: F.when(good, F.col(c)) for c in (pred_log, y_log)})
 
 
+def _metrics(
+    df: DataFrame, by: list[str], values: list[Column], pred_log: str, y_log: str, missing: str
+) -> DataFrame:
+    """The aggregates ``values`` per group of ``by``, of rows as metrics take them.
+
+    With ``missing="error"`` the rows that are not finite are counted in the same aggregation, and
+    a group that has any fails the job: rows themselves need no test.
+    """
+    if missing != "error":
+        return observed(df, pred_log, y_log, missing).groupBy(*by).agg(*values)
+    p, y = (as_column(c).cast("double") for c in (pred_log, y_log))
+    # A number less itself is 0 only if it is finite.
+    finite = F.count_if((p - p) + (y - y) == 0)
+    found = df.groupBy(*by).agg(*values, (F.count(F.lit(1)) - finite).alias("_bad"))
+    names = [c for c in found.columns if c not in (*by, "_bad")]
+    message = F.concat(F.lit(f"non-finite value in {pred_log} or {y_log}: rows "), F.col("_bad").cast("string"))
+    checked = [F.when(F.col("_bad") > 0, F.raise_error(message)).otherwise(F.col(c)).alias(c) for c in names]
+    return found.select(*by, *checked)
+
+
 def _pairs(pred_log: str, y_log: str) -> Column:
     """Aggregate: number of pairs with both sides."""
     return F.count(as_column(pred_log) + as_column(y_log))
@@ -45,15 +65,13 @@ def join_truth(
 def mspe(
     df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log", missing: str = "error"
 ) -> DataFrame:
-    rows = observed(df, pred_log, y_log, missing)
-    return rows.agg(losses.mspe_from_log(pred_log, y_log).alias("mspe"))
+    return _metrics(df, [], [losses.mspe_from_log(pred_log, y_log).alias("mspe")], pred_log, y_log, missing)
 
 
 def log_mse(
     df: DataFrame, pred_log: str = "pred_log", y_log: str = "y_log", missing: str = "error"
 ) -> DataFrame:
-    rows = observed(df, pred_log, y_log, missing)
-    return rows.agg(losses.log_mse(pred_log, y_log).alias("log_mse"))
+    return _metrics(df, [], [losses.log_mse(pred_log, y_log).alias("log_mse")], pred_log, y_log, missing)
 
 
 def batch_losses(
@@ -64,10 +82,8 @@ def batch_losses(
     missing: str = "error",
 ) -> DataFrame:
     """Loss and size of each batch; the size counts pairs that the loss is a mean of."""
-    rows = observed(df, pred_log, y_log, missing)
-    return rows.groupBy(*batch).agg(
-        losses.mspe_from_log(pred_log, y_log).alias("loss"), _pairs(pred_log, y_log).alias("n")
-    )
+    values = [losses.mspe_from_log(pred_log, y_log).alias("loss"), _pairs(pred_log, y_log).alias("n")]
+    return _metrics(df, batch, values, pred_log, y_log, missing)
 
 
 def _weighted_root(batches: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -101,15 +117,15 @@ def eval_report(
     With ``missing="skip"`` the errors are means over the pairs that have both sides, ``count``
     counts these, and ``missing`` the others.
     """
-    rows = observed(df, pred_log, y_log, missing)
     n = _pairs(pred_log, y_log)
     skipped = [(F.count(F.lit(1)) - n).alias("missing")] if missing == "skip" else []
-    return rows.groupBy(*(by or [])).agg(
+    values = [
         losses.root_mean(F.sum(losses.squared_error(pred_log, y_log)), n).alias("rmse"),
         losses.root_mean(F.sum(losses.squared_percentage_error(pred_log, y_log)), n).alias("rmspe"),
         n.alias("count"),
         *skipped,
-    )
+    ]
+    return _metrics(df, by or [], values, pred_log, y_log, missing)
 
 
 def mspe_gradient(
