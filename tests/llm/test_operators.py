@@ -578,7 +578,7 @@ def slow_borders(data):
 
 def test_borders_are_the_least_gear_hashes(monkeypatch):
     rng = random.Random(61)
-    texts = [rng.randbytes(3000), b"it " * 400, b"x" * 1000, b"a" * 47, b"a" * 46, b"abc", b""]
+    texts = [rng.randbytes(3000), b"it " * 400, b"x" * 1000, b"a" * (chunks.REACH + chunks.SPAN - 1), b"a" * 40, b"abc", b""]
     texts += [bytes(rng.choice(b"ab ") for _ in range(rng.randint(40, 400))) for _ in range(30)]
     for data in texts:
         wanted = slow_borders(data)
@@ -596,7 +596,7 @@ def test_borders_are_the_least_gear_hashes(monkeypatch):
 def test_borders_move_with_insertions():
     data = random.Random(31).randbytes(4000)
     ends = set(chunks.borders(data).tolist())
-    assert 200 < len(ends) < 320
+    assert 130 < len(ends) < 210
     for at in (0, 1000, 2345):
         moved = chunks.borders(data[:at] + b"inserted" + data[at:])
         same = {e if e <= at else e - 8 for e in moved.tolist()}

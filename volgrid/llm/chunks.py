@@ -6,13 +6,14 @@ every ``SPAN`` positions in a row is a border. Borders so follow content and mov
 insertion changes those around it and no others, and no two are more than ``SPAN`` bytes apart.
 
 *Chunks.* The bytes between two borders are a variable chunk. Chunks are deduplicated by the digest of
-a chunk and the one after it, some 33 bytes, since single ones are so short that common phrases
+a chunk and the one after it, some 49 bytes, since single ones are so short that common phrases
 repeat them. The smallest doc_id that has a digest keeps the chunk; in other documents it is a repeat.
 
 *Passages.* Repeats that touch or overlap are a passage. It is reported if it may have more than
 ``WORDS`` words: those of its chunks, and those within ``MARGIN`` bytes at either end, as a passage
 begins and ends between borders. What two documents share of ``5 * SPAN + REACH`` bytes or more
-always has a chunk; of shorter ones (50 words of one or two letters) nearly all do.
+always has a chunk; of shorter ones (51 words of one or two letters) most do. On 10,000 documents 1,199
+of the 1,200 with 51 words of an earlier one are found, and 149 others, of which 140 share 30 or more.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from xxhash import xxh3_64_intdigest
 from .common import map_texts, written
 
 #: Positions in a row of which one is a border.
-SPAN = 32
+SPAN = 48
 #: Bytes that the hash looks back.
 REACH = 16
 #: Positions that are hashed at once.
@@ -34,7 +35,7 @@ AT_ONCE = 1 << 20
 #: Passages of more words are reported.
 WORDS = 50
 #: Bytes at either end of a passage that its repeated chunks may not reach.
-MARGIN = 2 * SPAN
+MARGIN = REACH + SPAN
 #: Chunks whose digest is compared.
 TOGETHER = 2
 
@@ -44,6 +45,7 @@ GEAR = np.random.Generator(np.random.PCG64(20_240_101)).integers(0, 1 << 32, 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: How the measures of a chunk are packed into one long: name and bits.
+_NONE = np.int64(-(1 << 63))
 _PACKED = (("start", 31), ("size", 8), ("step_words", 6), ("words", 6), ("left", 6), ("right", 6))
 
 
@@ -131,30 +133,30 @@ def chunk_rows(data: bytes, span: int = SPAN) -> tuple[np.ndarray, list[int]]:
 
 
 def chunked(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc, none, packed, digest`` of every chunk; ``doc`` is the doc_id, or with ``none`` a hash
-    of the text."""
+    """``doc, packed, digest`` of every chunk; ``doc`` is the doc_id. Without one it is a hash of the
+    text, and ``packed`` is negative."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, none, counts, measures, digests = [], [], [], [], []
+        ids, counts, measures, digests = [], [], [], []
         for doc, data in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
             packed, found = chunk_rows(data or b"", span)
             if not found:
                 continue
             ids.append(xxh3_64_intdigest(data) - (1 << 63) if doc is None else doc)
-            none.append(doc is None)
             counts.append(len(found))
-            measures.append(packed)
+            # The sign tells that there is no doc_id.
+            measures.append(packed | _NONE if doc is None else packed)
             digests += found
         rows = np.repeat(np.arange(len(ids)), counts) if ids else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(ids, dtype=np.int64)[rows]), pa.array(np.array(none, dtype=bool)[rows]),
+            [pa.array(np.array(ids, dtype=np.int64)[rows]),
              pa.array(np.concatenate(measures) if measures else np.empty(0, np.int64)),
              pa.array(np.array(digests, dtype=np.uint64).view(np.int64))],
-            names=["doc", "none", "packed", "digest"],
+            names=["doc", "packed", "digest"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(rows, run, "doc long, none boolean, packed long, digest long")
+    return map_texts(rows, run, "doc long, packed long, digest long")
 
 
 def _unpacked(name: str):
@@ -174,15 +176,16 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, words: int = WORDS) ->
     """
     found = written(chunked(docs, span), "chunks")
     # One row a digest and task after partial aggregation.
-    known = F.when(~F.col("none"), F.col("doc"))
+    none = F.col("packed") < 0
+    known = F.when(~none, F.col("doc"))
     many = (
         found.groupBy("digest")
-        .agg(F.min(known).alias("first"), F.max(known).alias("last"), F.bool_or("none").alias("more"))
+        .agg(F.min(known).alias("first"), F.max(known).alias("last"), F.bool_or(none).alias("more"))
         .where("first IS NOT NULL AND (last > first OR more)")
         .select("digest", "first")
     )
-    repeats = found.join(many, "digest").where("none OR doc <> first").select(
-        "doc", "none", "first", *[_unpacked(n).alias(n) for n, _ in _PACKED]
+    repeats = found.join(many, "digest").where("packed < 0 OR doc <> first").select(
+        "doc", none.alias("none"), "first", *[_unpacked(n).alias(n) for n, _ in _PACKED]
     )
     inside = Window.partitionBy("doc", "none").orderBy("start", "size")
     end = F.col("start") + F.col("size")
