@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volgrid.functions.hashing import hash_unit
-from volgrid.operators import assemble, features, latency, metrics, model, ordering, split, stats
+from volgrid.operators import assemble, epochs, features, latency, metrics, model, ordering, quota, split, stats
 from volgrid.plans import queries as registered
 from volgrid.schemas import FEATURES, SHUFFLE_SEED
 from volgrid.session import build_session, scratch_path
-from volgrid.sources import fixtures, requests, tables
+from volgrid.sources import fixtures, layout, requests, tables
 
 STOCKS = 64
 REPEATS = 2
@@ -43,7 +43,7 @@ def linear_model() -> Callable[[], model.Predictor]:
     return load
 
 
-def prepare(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def prepare(spark: SparkSession, sf_dir: str) -> dict:
     """Stored market tables, samples and requests, so that entries time one stage each."""
     root = scratch_path(spark, "bench")
     index, book, trade = fixtures.market(spark, sf_dir, STOCKS)
@@ -63,11 +63,18 @@ def prepare(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     body = F.to_json(F.struct(F.collect_list("x").alias("x"))).alias("body")
     by_request.agg(body).write.parquet(f"{root}/requests")
     stored["requests"] = spark.read.parquet(f"{root}/requests")
+    name = root.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored["layout"] = f"bench_index_{name}", f"bench_slots_{name}"
+    layout.write_index(stored["index"], stored["layout"][0], f"{root}/layout-index", buckets)
+    layout.write_slots(stored["book"], stored["trade"], stored["layout"][1], f"{root}/layout-slots", buckets)
+    ordering.assign_shards(fixtures.order_keys(spark, sf_dir).drop("target"), 64).write.parquet(f"{root}/sharded")
+    stored["sharded"] = spark.read.parquet(f"{root}/sharded")
     return stored
 
 
 def entries(
-    spark: SparkSession, sf_dir: str, t: dict[str, DataFrame]
+    spark: SparkSession, sf_dir: str, t: dict
 ) -> dict[str, Callable[[], DataFrame]]:
     market = (t["index"], t["book"], t["trade"])
     zeros, ones = [0.0] * WIDTH, [1.0] * WIDTH
@@ -100,7 +107,10 @@ def entries(
         "build_samples": lambda: assemble.build_samples(*market, unique_slots=True),
         "build_samples_copies": lambda: assemble.build_samples(*market),
         "norm_stats": lambda: stats.fit_norm(assemble.tensor_rows(t["samples"])),
+        "features_layout": lambda: layout.bucket_features(spark, *t["layout"]),
         "hash_split": lambda: split.assign_split(orders),
+        "split_exact": lambda: quota.assign_split_exact(orders),
+        "epoch_order": lambda: epochs.epoch_order(t["sharded"], t["sharded"].count(), 1, 64),
         "shard_assign": lambda: ordering.assign_shards(orders),
         "batch_assign": lambda: ordering.assign_batches(
             ordering.assign_shards(orders).drop("target", "pos"),

@@ -167,6 +167,16 @@ def test_evaluate_with_few_features(spark, sf_dir, tmp_path):
     assert trained.features == ["log_return", "log_rv"] and report.first()["rmse"] > 0
 
 
+def test_boosted_stage(spark, built, tmp_path, monkeypatch):
+    run(monkeypatch, "evaluate", "--built", built, "--model", "boosted", "--out", f"{tmp_path}/b")
+    report = spark.read.json(f"{tmp_path}/b/report").first()
+    wanted = tables.read_samples(spark, f"{built}/samples", "eval").count()
+    assert report["count"] == wanted and 0 < report["rmse"] < 1
+    fitted, again = jobs.boost_eval_job(spark, built)
+    assert fitted.features == [*FEATURES, "log_rv"] and len(fitted.trees) == 20
+    assert again.first()["rmspe"] == pytest.approx(report["rmspe"], rel=1e-6)
+
+
 def test_report_and_epochs_of_stored_predictions(spark, tmp_path, monkeypatch):
     rows = [(s, e, i, float(i % 3), (0.1 * e - 0.2) ** 2 + i % 3 if (s, i) != ("eval", 0) else None) for s in split.SPLITS for e in range(4) for i in range(6)]
     names = "split string, epoch int, id int, y_log double, y_log_pred double"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_plans import count, plan
 from volgrid.functions.hashing import hash_unit
-from volgrid.operators import assemble, boosting, custom, features, latency, metrics, ordering
+from volgrid.operators import assemble, boosting, custom, features, latency, metrics, ordering, regpath
 from volgrid.plans.training import volatility
 from volgrid.schemas import BUCKET_KEY, FEATURES, SECOND, SLOT_KEY
 from volgrid.sources import fixtures, layout
@@ -208,6 +208,12 @@ def test_trees_beat_the_line(curved):
 
     constant = boosting.fit_boosted(train, ["a"], rounds=0)
     assert error(model.predict(held), "y_pred") < 0.5 * error(constant.predict(held), "y_pred")
+    # A line under the same weights, on the same features.
+    known = train.na.drop().where("NOT isnan(a)").withColumn("w", 1 / (F.col("y") * F.col("y")))
+    line = regpath.total(regpath.fold_sums(known, ["a", "b"], "y", ["id"], 1, weight="w")).solve(0.0)
+    some = held.na.drop().where("NOT isnan(a)")
+    lined = some.withColumn("p", F.col("a") * line.coefficients[0] + F.col("b") * line.coefficients[1] + line.intercept)
+    assert error(model.predict(some), "y_pred") < 0.8 * error(lined, "p")
     assert "Python" not in plan(model.predict(held)) and count(model.predict(held), "Exchange") <= 1
     nothing = boosting.fit_boosted(curved.limit(0), ["a"])
     assert nothing.trees == [] and nothing.predict(curved).select("y_pred").first()[0] == 0.0

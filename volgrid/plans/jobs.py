@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import exp_label, log_label
-from ..operators import assemble, latency, metrics, model, quality, regpath, split, stats
+from ..operators import assemble, boosting, latency, metrics, model, quality, regpath, split, stats
 from ..schemas import BUCKET_KEY, EPS, EVAL_FRACTION, FEATURES, SHARD_SIZE, SPLIT_SEED, VALIDATION_FRACTION
 from ..session import build_session, scratch_path
 from ..sources import tables
@@ -190,6 +190,23 @@ def train_eval_job(
     return trained, evaluate_job(rows, trained)
 
 
+def boost_eval_job(spark: SparkSession, out: str, rounds: int = 20, depth: int = 3) -> tuple[boosting.Boosted, DataFrame]:
+    """Boosted trees under the percentage error, fitted on train, and their report on eval.
+
+    Same rows as the linear models; trees do not mind the scale or the order of features.
+    """
+    columns = built_features(spark, out)
+    samples = tables.read_samples(spark, f"{out}/samples")
+    path = scratch_path(spark, "summary")
+    model_rows(samples, read_norm(spark, out), columns).write.parquet(path)
+    rows = spark.read.parquet(path)
+    train = rows.where(F.col("split") == "train").withColumn("y", exp_label("y_log"))
+    fitted = boosting.fit_boosted(train, model_features(columns), "y", rounds=rounds, depth=depth)
+    held_out = fitted.predict(rows.where(F.col("split") == "eval"), "y_pred")
+    scored = held_out.withColumn("y_log_pred", log_label(F.greatest(F.col("y_pred"), F.lit(0.0))))
+    return fitted, metrics.eval_report(scored, pred_log="y_log_pred")
+
+
 def score_job(
     spark: SparkSession,
     samples_path: str,
@@ -305,6 +322,7 @@ def _arguments() -> argparse.Namespace:
     for stage, default in ((fit, "eval"), (choose, "validation")):
         stage.add_argument("--split", choices=split.SPLITS, default=default, help="of the predictions")
         stage.add_argument("--missing", choices=["error", "skip"], default="error", help="missing predictions")
+    fit.add_argument("--model", choices=["linear", "boosted"], default="linear")
     fit.add_argument("--by", nargs="*", metavar="COLUMN", help="report on predictions per group")
 
     score = stages.add_parser("score", help="score stored samples")
@@ -356,6 +374,9 @@ def main() -> None:
         epochs, best = epochs_job(spark, args.predictions, args.split, args.missing)
         tables.write_json(epochs, f"{args.out}/epochs")
         tables.write_json(best, f"{args.out}/best")
+    elif args.stage == "evaluate" and args.model == "boosted":
+        _, report = boost_eval_job(spark, args.built)
+        tables.write_json(report, f"{args.out}/report")
     elif args.stage == "evaluate":
         trained, report = train_eval_job(spark, args.built, args.loss)
         tables.write_json(report, f"{args.out}/report")
