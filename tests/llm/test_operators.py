@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -85,6 +86,26 @@ def test_sharding_numbers_in_many_ranges(spark, monkeypatch):
     assert all(max(v) - min(v) <= 1 for v in ([per[s, k] for k in range(16)] for s in {r["source"] for r in out}))
 
 
+def test_interleaving_is_a_sort_by_fraction(spark, monkeypatch):
+    """The order itself, from plain sorts: by hash within a source, then by fractional rank."""
+    monkeypatch.setattr(sharding, "PER_RANGE", 30)
+    rng = random.Random(41)
+    rows = [(i, f"text {i}" * (i % 4), rng.choice(["hot", "hot", "hot", "b", None, ""])) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(docs, shards=9).collect()}
+    by_source = collections.defaultdict(list)
+    for i, _, source in rows:
+        by_source["0" if source is None else f"1{source}"].append((hashlib.md5(f"{sharding.SEED}:{i}".encode()).hexdigest(), i))
+    order = sorted(
+        (Fraction(2 * rank + 1, 2 * len(members)), s, rank, i)
+        for s, members in by_source.items()
+        for rank, (_, i) in enumerate(sorted(members))
+    )
+    for place, (_, _, _, i) in enumerate(order):
+        shard = place * 9 // 700
+        assert got[i] == (shard, place - -(-shard * 700 // 9))
+
+
 def test_personal_data_rules():
     text = "a@b.c_x@y.zz 1.2.3.4.5.6.7.8 300.1.1.1, 4111-1111 1111 1111 +1 (017) 555-7713. +12 @x.y 4111111111111112"
     spans = pii.base_spans(text)
@@ -100,6 +121,19 @@ def test_personal_data_rules():
         got = pii.base_spans(t)
         assert got["email"] == [m.span() for m in email.finditer(t)], t
         assert got["ip"] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))], t
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def luhn(digits):
+        doubled = [int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(digits[::-1])]
+        return sum(doubled) % 10 == 0
+
+    for _ in range(6000):
+        t = "".join(rng.choice("0123456789" * 3 + " -+().x") for _ in range(rng.randint(0, 60)))
+        got = pii.base_spans(t)
+        digits = [(m.span(), re.sub("[^0-9]", "", m[0])) for m in card.finditer(t)]
+        assert got["card"] == [at for at, d in digits if 13 <= len(d) <= 19 and luhn(d)], t
+        digits = [(m.span(), re.sub("[^0-9]", "", m[0])) for m in phone.finditer(t)]
+        assert got["phone"] == [at for at, d in digits if 9 <= len(d) <= 15], t
 
 
 def test_personal_data_field(spark):
@@ -197,6 +231,46 @@ def test_training_rows_are_drawn_by_rate(spark):
     assert len(pii.template_rows()) >= 500 and len(pii.training_rows(docs.limit(0))) == len(pii.template_rows())
 
 
+def test_fit_is_a_maximum_of_the_likelihood():
+    """No direction leads up from the fitted weights; the likelihood is summed over all tag rows."""
+    rows = [
+        (["ab", "1234567", "cd"], ["O", "B-phone", "O"]), (["x@y.zz", "ab"], ["B-email", "O"]), (["12", "ab"], ["O", "O"]),
+        (["+1", "5551234"], ["B-phone", "I-phone"]), (["ab", "1234567", "cd"], ["O", "B-phone", "O"]),
+    ]
+    model = pii.fit(rows, steps=1500)
+    tags, blocked = len(pii.TAGS), pii._allowed()
+    number = {t: i for i, t in enumerate(pii.TAGS)}
+
+    def objective(m):
+        total = 0.0
+        for ws, labels in rows:
+            e = [m.emissions(pii.shape(w)) for w in ws]
+            zero = m.emissions("")
+            emit = np.array([
+                e[t][0] + (e[t - 1] if t else zero)[1] + (e[t + 1] if t + 1 < len(ws) else zero)[2] for t in range(len(ws))
+            ])
+            start = np.array([-1e4 if t[0] == "I" else 0.0 for t in pii.TAGS])
+            scores = emit[0] + start
+            for t in range(1, len(ws)):
+                scores = scores[..., None] + m.moves + blocked + emit[t]
+            gold = scores[tuple(number[t] for t in labels)]
+            top = scores.max()
+            total += gold - top - np.log(np.exp(scores - top).sum())
+        return total / len(rows) - 5e-5 * sum((w**2).sum() for w in (m.own, m.before, m.after, m.moves))
+
+    best = objective(model)
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        parts = [rng.normal(size=w.shape) for w in (model.own, model.before, model.after, model.moves)]
+        norm = np.sqrt(sum((p**2).sum() for p in parts))
+        for step in (0.05, -0.05):
+            own, before, after, moves = (
+                w + step * p / norm for w, p in zip((model.own, model.before, model.after, model.moves), parts)
+            )
+            assert objective(pii.Field(model.index, own, before, after, moves)) <= best + 1e-4
+    assert best > -0.2 and tags == 2 * len(pii.FIELD_KINDS) + 1
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     signs = ["x", "4", "+1", "x@x.x"]
@@ -498,6 +572,50 @@ def test_packing(docs, texts, empty, capacity):
         assert packing.pack(empty, WORD_FILE).count() == 0
 
 
+def plain_two_fit(lengths, capacity):
+    """Best-two-fit piece by piece, without counting equal sequences together."""
+    left = collections.Counter(lengths)
+    out = []
+
+    def longest(room):
+        return max((x for x, n in left.items() if n and x <= room), default=0)
+
+    while longest(capacity):
+        took, gap = [], capacity
+        while gap and longest(gap):
+            took.append(longest(gap))
+            left[took[-1]] -= 1
+            gap -= took[-1]
+        while gap and len(took) > 1:
+            smallest, best = min(took), None
+            room = gap + smallest
+            for a in sorted(x for x, n in left.items() if n and x < room):
+                left[a] -= 1
+                b = longest(room - a)
+                left[a] += 1
+                if b and (best is None or a + b > sum(best)):
+                    best = a, b
+            if best is None or sum(best) <= smallest:
+                break
+            took.remove(smallest)
+            left[smallest] += 1
+            for x in best:
+                took.append(x)
+                left[x] -= 1
+            gap = capacity - sum(took)
+        out.append(tuple(sorted(took, reverse=True)))
+    return sorted(out)
+
+
+def test_packing_against_plain_best_two_fit():
+    rng = random.Random(47)
+    for _ in range(150):
+        capacity = rng.choice([10, 30, 100])
+        lengths = [rng.randint(1, capacity) if rng.random() < 0.7 else rng.randint(1, 5) for _ in range(rng.randint(1, 60))]
+        packed = packing.fillings(dict(collections.Counter(lengths)), capacity)
+        assert sorted(x for taken, n in packed for x in [taken] * n) == plain_two_fit(lengths, capacity)
+
+
 def test_two_fit_replaces_the_smallest():
     # Greedy takes 6 + 2 (gap 2); 2 is replaced by ... nothing larger than 2 in 4 but 1 + 3.
     packed = packing.fillings({6: 1, 3: 1, 1: 1, 2: 1}, capacity=10)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch_path
-from .common import exists, map_texts, remove, ship, written
+from .common import exists, map_texts, remove, ship, written, written_at
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -120,9 +120,9 @@ def _label_flags(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(flags.alias("flags")).withColumn("spread", F.lit(0).cast("long"))
 
 
-def _flagged(seen: DataFrame, labels: DataFrame) -> DataFrame:
+def _flagged(seen: DataFrame, flags: DataFrame) -> DataFrame:
     """The rows with ``flags``. Rows without doc_id are spread over the join's tasks."""
-    flags = _label_flags(labels).withColumnRenamed("doc_id", "_id")
+    flags = flags.withColumnRenamed("doc_id", "_id")
     own = seen.withColumn("_id", F.coalesce("doc_id", F.lit(0).cast("long")))
     return own.join(flags, ["_id", "spread"], "left").select(
         "digest", "part", F.coalesce("flags", F.lit(0)).alias("flags"), "mask", "doc_id"
@@ -237,7 +237,9 @@ def run_stream(spark: SparkSession, path: str, labels: str, folder: str, batches
         .option("maxFileAge", "36500d")
         .parquet(_pattern(path))
     )
-    flagged = _flagged(_seen(docs), own.read.parquet(labels))
+    # Every micro-batch joins them, so they are summed up once.
+    flags, place = written_at(_label_flags(own.read.parquet(labels)), "label-flags")
+    flagged = _flagged(_seen(docs), flags)
     summed = flagged.mapInArrow(_summed(_keys(spark, stored, folder)), _SUMMED)
     changes = summed.groupBy("key").applyInPandasWithState(
         _update, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout
@@ -248,7 +250,10 @@ def run_stream(spark: SparkSession, path: str, labels: str, folder: str, batches
         .trigger(availableNow=True)
         .start(f"{folder}/changes")
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        remove(spark, place)
 
 
 def counters(spark: SparkSession, folder: str) -> DataFrame:
