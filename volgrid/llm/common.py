@@ -25,6 +25,10 @@ BATCH_CHARS = 1_000_000
 LONGEST_KEPT = 64
 
 
+#: Rows of an Arrow batch at most. With Spark's 10,000 rows of text the buffers of an executor,
+#: which it keeps, grow to some hundred MB.
+ROWS_PER_BATCH = 1_000
+
 _shipped: set[str] = set()
 
 
@@ -96,6 +100,13 @@ def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, if they are not bounded lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, ROWS_PER_BATCH)
+
+
 def give_back() -> None:
     """Return unused memory to the system: workers live on for the tasks after this one."""
     gc.collect()
@@ -111,6 +122,7 @@ def map_texts(
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, keep_short, map_texts, small_slices, written
+from .common import give_back, keep_short, map_texts, small_batches, small_slices, written
 
 #: Bounds of the fit: expected labelled documents, and words per category.
 TRAIN_DOCS = 20_000
@@ -365,4 +365,5 @@ def keep(docs: DataFrame, model: Chain | None) -> DataFrame:
         del features
         give_back()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(verdicts, docs.schema)
