@@ -287,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], n: int = TRAI
 
     schema = "features binary, fold int, weight double, " + ", ".join(f"`{c}` double" for c in categories)
     rows = map_texts(sample.select("text", *names), featurise, schema, setup=lambda: Features(vocabulary))
-    found = rows.orderBy(F.sha2("features", 256), *names).toArrow()  # the bounded sample, in an order of its own
+    found = rows.toArrow().sort_by([(c, "ascending") for c in ("features", *names)])  # the bounded sample
     width = len(vocabulary)
     x = np.zeros((found.num_rows, width + len(categories)), dtype=np.float32)
     x[:, :width] = np.frombuffer(b"".join(found["features"].to_pylist()), dtype="<f4").reshape(found.num_rows, width)
