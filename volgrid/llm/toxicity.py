@@ -37,11 +37,13 @@ VOCABULARY = 300
 BEGINNINGS = (4, 6)
 #: A word counts if it is in so many documents of the sample, or in the root of the number of the
 #: rarer label, if that is less.
-MIN_DOCS = 8
+MIN_DOCS = 4
+#: ... and its likelihood ratio is so many times the logarithm of the number of words tried.
+MIN_RATIO = 1.3
 #: A threshold counts if it finds so many standard errors more than chance does.
 MIN_LIFT = 3.0
 FOLDS = 3
-REGULARISATION = 1e-4
+REGULARISATION = 0.01
 ITERATIONS = 200
 #: Above this many labels they are joined by shuffle instead of being broadcast.
 BROADCAST_LABELS = 1_000_000
@@ -182,8 +184,9 @@ def association(both: Column, with_word: Column, positive: float, total: float)
 def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY) -> list[str]:
     """The words that are associated with a category most, ``n`` at most for each.
 
-    Words that as many tries would bring about by chance do not count: those below
-    ``2 ln(words tried)``.
+    Words that as many tries would bring about by chance do not count: those below ``MIN_RATIO``
+    times the logarithm of the number tried. The bound is low, as the penalty of the fit takes care of
+    single ones that pass it by chance.
     """
     plain = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
     starts = [
@@ -205,7 +208,7 @@ def choose_words(sample: DataFrame, categories: list[str], n: int = VOCABULARY)
     for c in categories:
         found = association(F.col(c), F.col("_n").cast("double"), float(totals[c] or 0), float(totals["n"]))
         scored = counts.where(F.col("_n") >= least[c]).select("word", found.alias("g"))
-        best = scored.where(F.col("g") >= 2 * math.log(tried)).orderBy(F.desc("g"), "word").limit(n)
+        best = scored.where(F.col("g") >= MIN_RATIO * math.log(tried)).orderBy(F.desc("g"), "word").limit(n)
         chosen.update((r["word"], None) for r in best.collect())  # n words
     return list(chosen)
 
@@ -327,10 +330,19 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = Non
     return float((p[at] + p[at + 1]) / 2)
 
 
+def _about_threshold(p: np.ndarray, threshold: float) -> np.ndarray:
+    """Probabilities with their odds divided by those of the threshold, which so becomes one half."""
+    if threshold >= 1:
+        return np.zeros_like(p)
+    odds = np.clip(p, 1e-12, 1 - 1e-12)
+    odds = odds / (1 - odds) * (1 - threshold) / max(threshold, 1e-12)
+    return odds / (1 + odds)
+
+
 def score(docs: DataFrame, model: Chain | None) -> DataFrame:
     """``doc_id, probability, toxic`` of every row: the last category of the chain.
 
-    Null text has no words. Without a model (no labels) nothing is toxic.
+    ``probability`` is taken about the threshold: toxic documents have more than one half. Null text has no words. Without a model (no labels) nothing is toxic.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
@@ -339,7 +351,7 @@ def score(docs: DataFrame, model: Chain | None) -> DataFrame:
     def run(part: pa.RecordBatch, features: Features) -> pa.RecordBatch:
         p = probabilities(model, features.of([t or "" for t in part.column(1).to_pylist()]))[:, -1]
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(p), pa.array(p > model.threshold)], names=["doc_id", "probability", "toxic"]
+            [part.column(0), pa.array(_about_threshold(p, model.threshold)), pa.array(p > model.threshold)], names=["doc_id", "probability", "toxic"]
         )
 
     return map_texts(
