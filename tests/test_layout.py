@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_plans import count, plan
 from volgrid.functions.hashing import hash_unit
 from volgrid.operators import assemble, boosting, custom, features, latency, metrics, ordering, regpath
+from volgrid.plans import training
 from volgrid.plans.training import volatility
 from volgrid.schemas import BUCKET_KEY, FEATURES, SECOND, SLOT_KEY
 from volgrid.sources import fixtures, layout
@@ -281,3 +282,23 @@ def test_null_free_keys_come_back(spark, kind, values):
     assert keyed_rows.select(*names).distinct().count() == len(values)
     back = keyed_rows.select(*restored)
     assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def events_in(spark, folder, rows):
+    kinds = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).repartition(3).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_stored_layout_has_more_hash_buckets_for_more_time_buckets(spark, tmp_path, monkeypatch):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1, 12)
+    rows = [(i, start, 16 * i, "view", 1.0, '{"k": 1}') for i in range(40)]
+    sf_dir = events_in(spark, tmp_path, rows)
+    monkeypatch.setattr(training, "PER_HASH", 2)
+    index, slots = training._stored_layout(spark, sf_dir)
+    assert len(spark.table(index).inputFiles()) > 8 and len(spark.table(slots).inputFiles()) > 8
+    frame = layout.bucket_features(spark, index, slots)
+    assert frame.rdd.getNumPartitions() == 20
+    assert frame.count() == 600 * 40

@@ -162,11 +162,20 @@ def bucket_features_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frame.withColumn(flag, F.col(flag).cast("int")))
 
 
-def _stored_layout(spark: SparkSession, sf_dir: str, buckets: int = 8) -> tuple[str, str]:
-    """Names of the stored index and slots of the derived market."""
+LEAST_HASHES, PER_HASH = 8, 2_000
+
+
+def _stored_layout(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> tuple[str, str]:
+    """Names of the stored index and slots of the derived market.
+
+    A task makes the 600 rows of each time bucket in one hash bucket: these are as many as the index
+    needs for about ``PER_HASH`` time buckets each, unless ``buckets`` says how many.
+    """
     folder = scratch_path(spark, "layout")
     name = folder.rsplit("-", 1)[1]
     index, book, trade = fixtures.market(spark, sf_dir)
+    if buckets is None:
+        buckets = max(LEAST_HASHES, -(-index.count() // PER_HASH))
     layout.write_slots(book, trade, f"slots_{name}", f"{folder}/slots", buckets)
     layout.write_index(index, f"index_{name}", f"{folder}/index", buckets)
     return f"index_{name}", f"slots_{name}"
