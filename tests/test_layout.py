@@ -302,3 +302,20 @@ def test_stored_layout_has_more_hash_buckets_for_more_time_buckets(spark, tmp_pa
     frame = layout.bucket_features(spark, index, slots)
     assert frame.rdd.getNumPartitions() == 20
     assert frame.count() == 600 * 40
+
+
+def test_slots_are_not_joined_to_a_few_tasks(spark, tmp_path, monkeypatch):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    hot = [(i, start + datetime.timedelta(seconds=i % 100), 0, "view", float(i), '{"k": 1}') for i in range(300)]
+    more = [(1000 + i, start, 16 * i, "purchase" if i % 2 else "click", 1.0, '{"k": 1}') for i in range(1, 200)]
+    sf_dir = events_in(spark, tmp_path, hot + more)
+    monkeypatch.setattr(fixtures, "MOST_ROWS", 50)
+    book, trade = fixtures.book(spark, sf_dir), fixtures.trade(spark, sf_dir)
+    # 399 book rows and 100 trades; shuffles as small as these are one task if left to coalescing.
+    assert book.rdd.getNumPartitions() == 8 and trade.rdd.getNumPartitions() == 2
+    latest = {r["stock_id"]: r for r in book.collect()}
+    assert len(latest) == 100 and trade.count() == 100
+    # The latest of the hot slot: the largest event of second 99.
+    assert latest[0]["bid_price1"] == pytest.approx(1 + 299 / 1000)

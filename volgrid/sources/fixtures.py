@@ -12,6 +12,8 @@ BOOK_EVENTS = ["view", "click", "signup"]
 TRADE_EVENTS = ["purchase", "error"]
 USERS_PER_STOCK = 16
 SLOT_SECONDS = 144  # a day has 600 slots of 144 seconds
+SLOT_PARTS = 64  # parts that the rows of a slot are combined in
+MOST_ROWS, FEW_ROWS = 200_000, 5_000  # events that a task combines
 PREDICTION_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -37,10 +39,26 @@ def _keyed_events(spark: SparkSession, sf_dir: str, stocks: int | None) -> DataF
     )
 
 
+def _partitions(events: DataFrame) -> int:
+    """Tasks for so many rows: as many as the session says, but none with too many or hardly any."""
+    rows = events.count()
+    usual = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-rows // MOST_ROWS), min(usual, rows // FEW_ROWS), 1)
+
+
 def _latest_per_slot(events: DataFrame, values: list[str]) -> DataFrame:
-    """Latest row per slot, combined before the shuffle so that a hot slot costs nothing."""
-    row = F.max_by(F.struct(*values), F.struct("ts", "event_id")).alias("_row")
-    return events.groupBy(*SLOT_KEY).agg(row).select(*SLOT_KEY, "_row.*")
+    """Latest row per slot. A hot slot is combined in parts first, so that it is no task's alone.
+
+    Rows are wide while they are sorted and small in a shuffle: its size says little about the memory
+    of a task, so the partition count follows the rows instead of being left to coalescing.
+    """
+    partitions = _partitions(events)
+    latest = F.max_by("_row", F.struct("_row.ts", "_row.event_id")).alias("_row")
+    part = F.pmod(F.xxhash64("event_id", F.spark_partition_id()), F.lit(SLOT_PARTS)).alias("_part")
+    rows = events.select(*SLOT_KEY, part, F.struct("ts", "event_id", *values).alias("_row"))
+    parts = rows.repartition(partitions, *SLOT_KEY, "_part").groupBy(*SLOT_KEY, "_part").agg(latest)
+    slots = parts.repartition(partitions, *BUCKET_KEY).groupBy(*SLOT_KEY).agg(latest)
+    return slots.select(*SLOT_KEY, *[F.col(f"_row.{c}") for c in values])
 
 
 def book(spark: SparkSession, sf_dir: str, stocks: int | None = None) -> DataFrame:
