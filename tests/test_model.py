@@ -214,3 +214,11 @@ def test_synthetic_samples_are_repeatable(spark):
     again = {r["k"]: r["x"] for r in requests.synthetic_samples(keys.coalesce(1), 3, 4, seed=1).collect()}
     assert first == again and len(first) == 300 and first[0] != first[1]
     assert requests.synthetic_samples(keys.limit(0), 3, 4).count() == 0
+
+
+def test_synthetic_samples_of_distinct_keys_are_spread(spark):
+    rows = spark.range(40, numPartitions=2).selectExpr("id % 20 AS a", "id % 20 AS b")
+    samples = requests.synthetic_samples(rows.distinct(), 2, 3)
+    # Small keys, placed by their columns already: still a task each for the session's partitions.
+    assert samples.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert samples.count() == 20

@@ -62,7 +62,9 @@ def synthetic_samples(
     the same ones. A short key becomes thousands of values: keys are spread over all partitions.
     """
     partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keys.repartition(partitions, *keys.columns).withColumn("_key", F.xxhash64(*keys.columns))
+    # By the hash, not by the columns: keys that are placed by these already, as after ``distinct``,
+    # would stay in the few tasks that their size asks for.
+    keyed = keys.withColumn("_key", F.xxhash64(*keys.columns)).repartition(partitions, "_key")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
     return keyed.mapInArrow(
         _normal_matrices(seconds, features, seed), f"{fields}, x array<array<float>>"
