@@ -204,3 +204,19 @@ def test_rows_that_differ_fail_and_state_stays_small():
     again = live._Bucket(state)
     assert [again.second() for _ in range(100)] == [bucket.second() for _ in range(100)]
     assert not bucket.held and len(BOOK_VALUES) + len(TRADE_VALUES) == 6
+
+
+def test_many_seconds_at_once_are_those_of_single_steps():
+    at_once, single = live._Bucket(None), live._Bucket(None)
+    for bucket in (at_once, single):
+        for s in range(0, 600, 7):
+            bid = math.nan if s % 5 == 0 else 1.0 + s / 1000
+            bucket.add(s, live.BOOK, (bid, 1.5 + s % 3, 5.0 + s % 11, 6.0, math.nan, math.nan))
+            bucket.add(s + 1, live.TRADE, (math.nan,) * 4 + (math.nan if s % 4 == 0 else 3.0, float(s % 6)))
+    for final in (3, 200, 600):
+        columns = at_once.seconds(final)
+        rows = list(zip(*(c.tolist() for c in columns.values()), strict=True))
+        steps = [single.second() for _ in rows]
+        assert [[repr(v) for v in r] for r in rows] == [[repr(v) for v in r] for r in steps]
+        assert repr(at_once.state()) == repr(single.state())
+    assert not at_once.held

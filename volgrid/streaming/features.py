@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ class _Bucket:
         if second < self.next or source == ANCHOR:
             return
         known = self.held.setdefault((second, source), values)
-        if any(a != b and not (a != a and b != b) for a, b in zip(known, values)):
+        if known is not values and any(a != b and not (a != a and b != b) for a, b in zip(known, values)):
             raise ValueError(f"rows of one source differ at second {second}")
 
     def _quote(self, second: int, bid: float, ask: float, bid_size: float, ask_size: float) -> float:
@@ -100,31 +101,68 @@ class _Bucket:
             self.ofi = ofi
         return math.log(self.wap) - math.log(before) if self.wap > 0 and before > 0 else 0.0
 
-    def second(self) -> tuple:
-        """The features of the next second."""
-        s = self.next
-        self.next += 1
-        log_return = 0.0
-        if (quote := self.held.pop((s, BOOK), None)) is not None:
-            log_return = self._quote(s, *quote[: len(BOOK_VALUES)])
-        size, orders = (self.held.pop((s, TRADE), None) or (_NAN,) * len(_VALUES))[len(BOOK_VALUES) :]
-        if size == size:
-            self.trade_second = s
-        size, orders = (0 if v != v else int(v) for v in (size, orders))
-        self.squares = [*self.squares, log_return * log_return][-_SQUARES:]
-        self.orders = [*self.orders, float(orders)][-_ORDERS:]
-        since_wap, since_trade = (
-            min(s - at if at >= 0 else s + 1, STALE_CAP) for at in (self.wap_second, self.trade_second)
-        )
-        rv = [math.sqrt(sum(self.squares[-WINDOWS[name] :])) for name in ("rv_30s", "rv_120s")]
+    def seconds(self, final: int) -> dict[str, np.ndarray]:
+        """The features of all seconds from the next one to before ``final``."""
+        first, self.next = self.next, final
+        n = final - first
+        log_returns, sizes, orders = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        quoted, quotes = [], [(self.wap, self.spread, self.mid, self.ofi)]
+        priced, traded = [(-1, self.wap_second)], [(-1, self.trade_second)]
+        for s, source in sorted(k for k in self.held if k[0] < final):
+            row, at = self.held.pop((s, source)), s - first
+            if source == BOOK:
+                log_returns[at] = self._quote(s, *row[: len(BOOK_VALUES)])
+                quoted.append(at)
+                quotes.append((self.wap, self.spread, self.mid, self.ofi))
+                priced.append((at, self.wap_second))
+            else:
+                size, count = row[len(BOOK_VALUES) :]
+                if size == size:
+                    self.trade_second = s
+                    traded.append((at, s))
+                sizes[at], orders[at] = (0 if v != v else int(v) for v in (size, count))
+        second = np.arange(first, final)
+        wap, spread, mid, ofi = np.array(quotes)[np.searchsorted(quoted, np.arange(n), side="right")].T
+        if (mid + EPS == 0).any():
+            raise ZeroDivisionError("mid price")
+
+        def since(seen: list[tuple[int, int]]) -> np.ndarray:
+            places, last = np.array(seen).T
+            last = last[np.searchsorted(places, np.arange(n), side="right") - 1]
+            return np.minimum(np.where(last >= 0, second - last, second + 1), STALE_CAP)
+
+        squares = np.concatenate([self.squares, log_returns * log_returns])
+        counts = np.concatenate([self.orders, orders])
+        self.squares, self.orders = squares[-_SQUARES:].tolist(), counts[-_ORDERS:].tolist()
+        since_trade = since(traded)
         values = {
-            "size": size, "order_count": orders, "wap_last": self.wap, "seconds_since_last_wap": since_wap,
-            "log_return": log_return, "rv_30s": rv[0], "rv_120s": rv[1], "spread_last": self.spread,
-            "mid_last": self.mid, "rel_spread_last": self.spread / (self.mid + EPS), "ofi_last": self.ofi,
-            "seconds_since_last_trade": since_trade, "last_trade_gap_geq_cap": int(since_trade >= STALE_CAP),
-            "order_intensity_60s": int(sum(self.orders)),
+            "size": sizes, "order_count": orders, "wap_last": wap, "seconds_since_last_wap": since(priced),
+            "log_return": log_returns, "rv_30s": np.sqrt(_trailing(squares, n, WINDOWS["rv_30s"])),
+            "rv_120s": np.sqrt(_trailing(squares, n, WINDOWS["rv_120s"])), "spread_last": spread,
+            "mid_last": mid, "rel_spread_last": spread / (mid + EPS), "ofi_last": ofi,
+            "seconds_since_last_trade": since_trade, "last_trade_gap_geq_cap": since_trade >= STALE_CAP,
+            "order_intensity_60s": _trailing(counts, n, _ORDERS),
         }
-        return (s, *(values[c] for c in FEATURES))
+        return {SECOND: second, **{c: values[c] for c in FEATURES}}
+
+    def second(self) -> tuple:
+        """The features of the next second."""
+        return tuple(column[0].item() for column in self.seconds(self.next + 1).values())
+
+
+def _trailing(values: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Sums over the last ``window`` values at each of the last ``n``: added from the earliest on."""
+    padded = np.concatenate([np.zeros(window), values])[-(n + window - 1) :]
+    total = np.zeros(n)
+    for back in range(window):
+        total += padded[back : back + n]
+    return total
+
+
+_KINDS = {SECOND: np.int32} | {
+    c: np.int64 if c in _INTEGERS else np.int32 if c in _COUNTERS else np.int8 if c == "last_trade_gap_geq_cap" else np.float64
+    for c in FEATURES
+}
 
 
 def _update(slot_ms: int):
@@ -139,7 +177,7 @@ def _update(slot_ms: int):
                         bucket.start = (ms // slot_ms - second) * slot_ms
                     bucket.add(second, source, tuple(values))
         final = min(BUCKET_SECONDS, max(0, (state.getCurrentWatermarkMs() - bucket.start) // slot_ms))
-        out = [bucket.second() for _ in range(bucket.next, final)]
+        out = bucket.seconds(final) if final > bucket.next else None
         if bucket.next >= BUCKET_SECONDS:
             state.remove()
         else:
@@ -148,7 +186,7 @@ def _update(slot_ms: int):
             due = bucket.start + (bucket.next + 1) * slot_ms
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if out:
-            frame = pd.DataFrame(out, columns=[SECOND, *FEATURES])
+            frame = pd.DataFrame({c: values.astype(_KINDS[c], copy=False) for c, values in out.items()})
             frame.insert(0, "time_id", key[1])
             frame.insert(0, "stock_id", key[0])
             yield frame
