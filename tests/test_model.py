@@ -222,3 +222,19 @@ def test_synthetic_samples_of_distinct_keys_are_spread(spark):
     # Small keys, placed by their columns already: still a task each for the session's partitions.
     assert samples.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert samples.count() == 20
+
+
+def test_samples_reach_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(model, "MODEL_BATCH", 4)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        samples = spark.range(10, numPartitions=1).selectExpr("id", "array(array(1.0f)) AS x")
+        scored = model.score_samples(samples, lambda: lambda x: x[:, 0, 0], [0.0], [1.0], ["id"], seconds=1)
+        assert int(spark.conf.get(key)) == 4 and scored.count() == 10
+        spark.conf.set(key, "3")
+        model.score_samples(samples, lambda: lambda x: x[:, 0, 0], [0.0], [1.0], ["id"], seconds=1)
+        assert int(spark.conf.get(key)) == 3
+    finally:
+        spark.conf.set(key, before)

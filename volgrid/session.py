@@ -56,6 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/volgrid/{name}-{uuid.uuid4().hex}"
 
 
+def bound_arrow_batches(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most so many rows in this session, if they are not bounded lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder and read from there.
 
