@@ -891,3 +891,15 @@ def test_signatures_estimate_similarity():
     b = np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 75, dtype=np.uint64)]))
     x, y = (np.frombuffer(s, "<u2") for s in neardup.signatures([a, b]))
     assert abs((x == y).mean() - 0.85) < 0.12
+
+
+def test_seen_words_are_looked_up_once(monkeypatch):
+    coder = WordIds(WORD_FILE)
+    texts = ["Some words, 12 of them", "", "of them: some WORDS", "y" * 80 + " some", "日本 and words"]
+    first = coder.encode(texts)
+    seen = []
+    values = type(coder.words).values
+    monkeypatch.setattr(type(coder.words), "values", lambda self, parts: seen.extend(parts) or values(self, parts))
+    assert coder.encode(texts) == first
+    # Only a word that is too long to be kept goes the slower way again.
+    assert seen == [["y" * 80]]

@@ -51,7 +51,8 @@ _LETTERS = "a-zß-öø-ſ"
 #: Any other character than these letters, their capitals, ASCII, spaces and line ends, or what
 #: may be a special string.
 _UNSURE = re.compile(r"[^\n -~À-ÖØ-öø-įı-ňŊ-ſ]|<\|")
-_LOWER_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: As ``_WORDS``, letters first: an apostrophe is none, so that the order does not matter to them.
+_LOWER_WORD = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s{_LETTERS}0-9]+")
 
 _BYTE_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -93,7 +94,8 @@ class _Known:
         if len(self.known) + len(unseen) > self.kept:
             self.older, self.known = self.known, {}
             unseen = set(flat)
-        again = unseen.intersection(self.older)
+        # Not set.intersection, which goes through all of the older ones.
+        again = {s for s in unseen if s in self.older}
         self.known.update((s, self.older[s]) for s in again)
         new = list(unseen - again)
         self.known.update(zip(new, self.encoded(new)))
@@ -149,10 +151,30 @@ class WordIds(_Known):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        sure = [self.words is not None and not _UNSURE.search(t) for t in texts]
-        fine = iter(self.words.values([_LOWER_WORD.findall(t.lower()) for t, s in zip(texts, sure) if s]) if any(sure) else ())
-        rough = iter(self.values([t.replace("\n", " ").split(" ") for t, s in zip(texts, sure) if not s]))
-        return [b"".join(next(fine if s else rough)) for s in sure]
+        out: list[bytes] = [b""] * len(texts)
+        new, rough = [], []
+        for at, text in enumerate(texts):
+            if self.words is None or _UNSURE.search(text):
+                rough.append(at)
+                continue
+            words = _LOWER_WORD.findall(text.lower())
+            found = list(map(self.words.known.get, words))
+            if None in found:
+                places = [i for i, ids in enumerate(found) if ids is None]
+                new.append((at, found, places, [words[i] for i in places]))
+            else:
+                out[at] = b"".join(found)
+        # Most words were seen before: only the others take the way through the tokenizer.
+        if new:
+            for (at, found, places, _), ids in zip(new, self.words.values([words for *_, words in new])):
+                for i, some in zip(places, ids):
+                    found[i] = some
+                out[at] = b"".join(found)
+        if rough:
+            parts = [texts[at].replace("\n", " ").split(" ") for at in rough]
+            for at, ids in zip(rough, self.values(parts)):
+                out[at] = b"".join(ids)
+        return out
 
 
 class ByteCounts(_Known):
