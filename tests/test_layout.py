@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_plans import count, plan
 from volgrid.functions.hashing import hash_unit
-from volgrid.operators import assemble, boosting, custom, features, latency, metrics, ordering, regpath
+from volgrid.operators import assemble, boosting, custom, features, grid, latency, metrics, ordering, regpath
 from volgrid.plans import training
 from volgrid.plans.training import volatility
 from volgrid.schemas import BUCKET_KEY, FEATURES, SECOND, SLOT_KEY
@@ -319,3 +319,18 @@ def test_slots_are_not_joined_to_a_few_tasks(spark, tmp_path, monkeypatch):
     assert len(latest) == 100 and trade.count() == 100
     # The latest of the hot slot: the largest event of second 99.
     assert latest[0]["bid_price1"] == pytest.approx(1 + 299 / 1000)
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_tasks_get_no_more_buckets_from_a_larger_index(spark, monkeypatch, unique):
+    monkeypatch.setattr(grid, "BUCKETS_PER_TASK", 2)
+    index = spark.range(40).selectExpr("cast(id as int) AS stock_id", "cast(id % 3 as int) AS time_id")
+    quote = "0 AS seconds_in_bucket, 1.0D AS bid_price1, 1.5D AS ask_price1, 3L AS bid_size1, 4L AS ask_size1"
+    book = index.selectExpr(*BUCKET_KEY, *quote.split(", "))
+    trade = index.selectExpr(*BUCKET_KEY, "5 AS seconds_in_bucket", "1L AS size", "1L AS order_count")
+    frame = features.bucket_features(index, book, trade, unique_slots=unique)
+    # The session's number of shuffle partitions is smaller.
+    assert frame.rdd.getNumPartitions() == 20 and frame.count() == 600 * 40
+    few = features.bucket_features(index.where("stock_id < 3"), book, trade, unique_slots=unique)
+    assert few.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert few.count() == 600 * 3

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import nan_to_null
 from ..schemas import BOOK_VALUES, BUCKET_KEY, BUCKET_SECONDS, SECOND, SLOT_KEY, TRADE_VALUES
 
+# Buckets that a task makes the 600 rows of and sorts them: some 180 MB.
+BUCKETS_PER_TASK = 2_000
+
 
 def by_second() -> WindowSpec:
     return Window.partitionBy(*BUCKET_KEY).orderBy(SECOND)
@@ -136,6 +139,9 @@ def merged_slots(
     beforehand). ``unique_slots=True`` promises that there are no copies, hence at most 1,201
     rows per bucket, which then move to their bucket at once: that saves the shuffle that
     combines copies. The result is the same either way.
+
+    Buckets are placed in as many tasks as the session says, or more if these would get over
+    ``BUCKETS_PER_TASK`` each: the index is counted when this is called.
     """
     anchors = index.select(
         *BUCKET_KEY, F.lit(0).alias(SECOND), *carry, F.lit(1).alias("_anchor")
@@ -146,8 +152,9 @@ def merged_slots(
         .unionByName(anchors, allowMissingColumns=True)
     )
     # A sparse slot stands for many grid rows, so the size of this shuffle says little about
-    # the work behind it: the partition count is given instead of being left to coalescing.
-    partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the work behind it: the partition count follows the buckets instead of being left to coalescing.
+    usual = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(usual, -(-index.count() // BUCKETS_PER_TASK))
     if unique_slots:
         rows = rows.repartition(partitions, *BUCKET_KEY)
     merged = _merge_rows(rows, carry, anchored=True)
