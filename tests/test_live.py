@@ -220,3 +220,61 @@ def test_many_seconds_at_once_are_those_of_single_steps():
         assert [[repr(v) for v in r] for r in rows] == [[repr(v) for v in r] for r in steps]
         assert repr(at_once.state()) == repr(single.state())
     assert not at_once.held
+
+
+def test_several_buckets_at_once_are_those_of_single_ones():
+    together, wanted = live._Seconds(), []
+    for b in range(5):
+        at_once, single = live._Bucket(None), live._Bucket(None)
+        for bucket in (at_once, single):
+            for s in range(b, 600, 5 + b):
+                bucket.add(s, live.BOOK, (math.nan if s % 9 == 0 else 1.0 + s / 1000, 1.5 + s % 3, 5.0 + s % 11, 6.0, math.nan, math.nan))
+                bucket.add(s + 1, live.TRADE, (math.nan,) * 4 + (3.0 + b, float(s % 6)))
+            # Buckets begin at other seconds; one begins anew.
+            bucket.seconds(100 * b) if b else None
+        together.take(at_once, 600 - b, (b, None))
+        wanted += zip(*(c.tolist() for c in single.seconds(600 - b).values()), strict=True)
+        assert repr(at_once.state()) == repr(single.state())
+    rows = list(zip(*(c.tolist() for c in together.columns().values()), strict=True))
+    assert [[repr(v) for v in r] for r in rows] == [[repr(v) for v in r] for r in wanted]
+    batch_of = together.batch()
+    assert batch_of.num_rows == len(rows) and batch_of["time_id"].null_count == len(rows)
+    assert batch_of["stock_id"].to_pylist() == [b for b in range(5) for _ in range(100 * b, 600 - b)]
+
+
+def test_buckets_share_calls_and_state(spark, tmp_path):
+    """The state has a row per group, not one per bucket; null keys are keys; the number of groups stays."""
+    rng = random.Random(4)
+    keys = [(s, t) for s in (*range(20), None) for t in range(5)]
+    book = [(*k, s, at(s), 1.0 + rng.random(), 2.0 + rng.random(), 3, 4) for k in keys for s in rng.sample(range(600), 9)]
+    trade = [(*k, s, at(s), 5, 2) for k in keys for s in rng.sample(range(600), 4)]
+    starts = [(*k, at(0)) for k in keys]
+
+    def arrive(rows, book, trade, index):
+        parts = (book, BOOK_SCHEMA), (trade, TRADE_SCHEMA), (index, "stock_id int, time_id int, ts timestamp")
+        live.bucket_rows(*(spark.createDataFrame(part, schema) for part, schema in parts)).write.mode("append").parquet(rows)
+        return spark.read.parquet(rows).schema
+
+    def run(schema, groups):
+        stream = live.live_features(read_row_stream(spark, f"{tmp_path}/in", schema), "20 seconds", 1, groups)
+        query = live.write_features(stream, f"{tmp_path}/out", f"{tmp_path}/progress", True)
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    early, late = ([[r for r in rows if (r[3] < at(330)) == first] for rows in (book, trade)] for first in (True, False))
+    schema = arrive(f"{tmp_path}/in", *early, starts)
+    assert 0 < run(schema, 6) <= 6 < len(keys)
+    # A bucket far ahead lets the watermark pass the ends of the others.
+    arrive(f"{tmp_path}/in", *late, [(99, 99, at(50_000))])
+    with pytest.raises(Exception, match="6 groups"):
+        run(schema, 7)
+    assert run(schema, 6) == 1
+    found = spark.read.parquet(f"{tmp_path}/out")
+    got = {(r["stock_id"], r["time_id"], r[SECOND]): [r[c] for c in FEATURES] for r in found.collect()}
+    frame = batch.bucket_features(
+        spark.createDataFrame(keys, "stock_id int, time_id int"),
+        spark.createDataFrame(book, BOOK_SCHEMA).drop("ts"), spark.createDataFrame(trade, TRADE_SCHEMA).drop("ts"),
+    )
+    wanted = {(r["stock_id"], r["time_id"], r[SECOND]): [r[c] for c in FEATURES] for r in frame.collect()}
+    assert found.count() == len(got) == 600 * len(keys) and got.keys() == wanted.keys()
+    assert all(same(got[k], wanted[k]) for k in wanted)

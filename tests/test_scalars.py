@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def test_is_finite(spark):
     assert column(spark, [NAN, INF, -INF, None, 0.0], scalars.is_finite) == [False] * 4 + [True]
 
 
+def test_rounding_is_that_of_decimals(spark):
+    rng = random.Random(5)
+    values = [NAN, INF, -INF, None, 0.0, -0.0, 1e300, -1e-300, 5e-7, -5e-7, 4.999e-7, 2147.4836475, -2147.483648, 1.0000005]
+    values += [n / 1e6 + 5e-7 for n in range(-200, 200)] + [rng.uniform(-3000, 3000) for _ in range(500)]
+    values += [rng.randint(-(10**7), 10**7) / 1e6 + 5e-7 + off for off in (1e-9, -1e-9, 1e-12) for _ in range(100)]
+    values += [rng.gauss(0, 1e-5) for _ in range(500)]
+    for digits in (3, 6, 8):
+        quick = column(spark, values, lambda c, d=digits: scalars.round_half_up(c, d) + 0.0)
+        assert [repr(v) for v in quick] == [repr(v) for v in column(spark, values, lambda c, d=digits: F.round(c, d) + 0.0)]
+
+
 def test_gradient_against_numeric_derivative(spark):
     rows = [(math.log(0.005), math.log(0.004)), (-4.0, -5.0), (0.3, -0.2)]
     df = spark.createDataFrame(rows, "p double, y double")

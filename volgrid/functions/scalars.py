@@ -23,6 +23,19 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def round_half_up(c: Column | str, digits: int) -> Column:
+    """``F.round`` of a double, to the same bits: by decimals only near a tie or beyond 2 ** 31 units.
+
+    Elsewhere the next integer is certain, and its quotient by a power of ten is the double next to
+    the decimal. Decimals take some 300 ns a value.
+    """
+    c = as_column(c)
+    units = c * F.lit(10.0**digits)
+    near_tie = F.abs(units - F.floor(units) - 0.5) <= 0.001
+    certain = (F.abs(units) < F.lit(2.0**31)) & ~near_tie
+    return F.when(certain, F.floor(units + 0.5) / F.lit(10.0**digits)).otherwise(F.round(c, digits))
+
+
 def is_finite(c: Column | str) -> Column:
     """True for a finite number; false for null, NaN and both infinities."""
     c = as_column(c).cast("double")
